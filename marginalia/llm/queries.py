@@ -7,20 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import merge_counts
+from marginalia.llm import huffman_files, merge_counts, tier_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, lengths = huffman_files.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return huffman_files.read_blocks(blocks, lengths)
+
+
+def op5_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return merge_counts.token_counts(table(spark, sf_dir, "documents"), model)
+    return merge_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
+        "op5_tier_packing": op5_tier_packing,
         "op8_token_counts": op8_token_counts,
     }
 
