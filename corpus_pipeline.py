@@ -1,15 +1,62 @@
-"""The corpus pipeline: stages are added as their operators land."""
+"""The corpus pipeline: five stages over ``documents``, each written and read by the next.
+
+Languages are recognised and what has none is rejected, near-duplicates reduced to one
+of each group, documents that hold test items dropped, personal data sanitised, and the
+rest packed into training windows.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import bottomk_dedup, containment, disclosure, language_filters, scratch, tier_packing
+
+#: Documents whose best language has a smaller share of the filters' votes are rejected.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what reads as one of the languages learned from the training part of ``docs``; its ``lang`` stays as given."""
+    filters = language_filters.learn(docs.where(~language_filters.held_out(F.col("doc_id"))))
+    found = language_filters.predict(docs, filters, keep=docs.columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bottomk_dedup.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return containment.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return disclosure.sanitised(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tier_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("pack", pack),
+]
 
-STAGES: list = []
+#: Models and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``: each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if place + 1 < len(STAGES):
+            docs = scratch.written(docs, name)
     return docs

@@ -173,7 +173,7 @@ def learn(documents: DataFrame) -> Filters:
     low = F.col("gram").bitwiseAND(0xFFFFFFFF)
     high = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))
     places = member.select("lang", F.explode(F.array(*[(low + i * high).bitwiseAND(ROWS - 1) for i in range(HASHES)])).alias("row"))
-    bits = places.groupBy("row", F.floor(F.col("lang") / 64).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("lang") % 64).cast("int"))).alias("mask")).toPandas()  # at most ROWS rows a word
+    bits = places.groupBy("row", F.floor(F.col("lang") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(lang % 64 as int)))").alias("mask")).toPandas()  # at most ROWS rows a word
     counts.unpersist()
     table = np.zeros((ROWS, (len(languages) + 63) // 64), dtype=_U)
     table[bits["row"].to_numpy(np.int64), bits["word"].to_numpy(np.int64)] = bits["mask"].to_numpy(np.int64).view(_U)
