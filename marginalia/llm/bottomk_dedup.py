@@ -11,11 +11,14 @@ linked; groups are the connected components.
    else a bound whose failure has a chance near 1e-9), so a document needs to be listed
    only under its rarest values, in one global order by list length: passages that many
    documents share come last and mostly open no list.
-4. Overlaps in the lists generate pairs; the union sketch's estimate filters them; exact
+4. Documents that meet in a list of more than LONG_LIST are sketched anew with FINE
+   values, where the same bound is much tighter, and listed among themselves; a pair that
+   meets in a long list only meets there again.
+5. Overlaps in the lists generate pairs; the union sketch's estimate filters them; exact
    Jaccard on the full shingle sets verifies.  A group of copies is not expanded: each
-   list first pairs its members with one hub, twice with different hubs; then only the
-   pairs that still lie in different components are generated, those of a list's
-   smaller components with the rest.  Skipped pairs join members of one component.
+   list first pairs its members with one hub, again with other hubs while many pairs are
+   open; then all pairs that still lie in different components are generated, those of a
+   list's smaller components with the rest.  Skipped pairs join members of one component.
 
 Words are maximal runs outside 0x20 and 0x09-0x0D, A-Z lower-cased.  Fewer than five
 words: the whole sequence is the one shingle.  Null, empty and blank texts have none
@@ -35,19 +38,23 @@ from pyspark.sql import functions as F
 from marginalia.llm import scratch
 from marginalia.llm import textkernel as tk
 from marginalia.llm.components import components
+from marginalia.llm.idfilter import id_filter, may_hold
 
 WIDTH = 5
 PERCENT = 75
 SKETCH = 64
-#: Retained values in common of a linked pair whose sketches are samples: Binomial(64, 0.75) falls below with a chance near 2e-9.
-SAMPLE_COMMON = 24
-#: Sets up to this size can only be linked with sets that are retained whole.
-WHOLE = SKETCH * PERCENT // 100
+FINE = 512
+LONG_LIST = 32
+#: Retained values in common of a linked pair whose sketches are samples: Binomial(k, 0.75) falls below with a chance near 2e-9.
+SAMPLE_COMMON = {SKETCH: 24, FINE: 324}
+#: Hub rounds go on while a list member has more open pairs than this on average.
+OPEN_PAIRS, HUB_ROUNDS = 8, 4
 _U = np.uint64
 
 
-def least_common(n: Column) -> Column:
-    return F.when(n <= WHOLE, F.ceil(n * PERCENT / 100)).otherwise(F.lit(SAMPLE_COMMON)).cast("int")
+def least_common(n: Column, k: int) -> Column:
+    """Sets up to 3/4 k can only be linked with sets that are retained whole, so the bound is exact."""
+    return F.when(n <= k * PERCENT // 100, F.ceil(n * PERCENT / 100)).otherwise(F.lit(SAMPLE_COMMON[k])).cast("int")
 
 
 def sketches(documents: DataFrame) -> DataFrame:
@@ -72,28 +79,36 @@ def sketches(documents: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>")
 
 
-def full_sets(documents: DataFrame) -> DataFrame:
-    """id and all distinct shingle hashes of the given rows (doc_id unique)."""
+def full_sets(documents: DataFrame, words: np.ndarray) -> DataFrame:
+    """id and all distinct shingle hashes, sorted, of the rows whose doc_id the filter lets through."""
+    columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(words)  # 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = tk.take_columns(batch, ["doc_id", "text"])
+            chosen = batch.filter(pa.array(may_hold(shared.value, batch.column(0))))
+            ids, texts = tk.take_columns(chosen, ["doc_id", "text"])
             for part in tk.slices(texts):
                 doc, values = tk.shingles(part, WIDTH)
                 _, values, counts = tk.distinct_per_doc(doc, values.view(np.int64), part.size)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), tk.list_array(values, counts, pa.int64())], names=["id", "shingles"])
 
-    return documents.mapInArrow(run, "id long, shingles array<long>")
+    return columns.mapInArrow(run, "id long, shingles array<long>")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, id, n): each representative under its rarest retained values, lists of one left out."""
-    listed = classes.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+def inverted_lists(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
+    """(value, id, n, members): each node under its rarest retained values, lists of one left out."""
+    sized = nodes.select("id", "n", F.size("sketch").alias("s"), "sketch")
+    listed = sized.select("id", F.explode("sketch").alias("value"))
     frequent = listed.groupBy("value").count().where("count > 1")
     shared = listed.join(frequent, "value")
-    own = shared.groupBy("id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("ordered"))  # at most SKETCH entries
-    prefix = F.col("s") - least_common(F.col("n")) + 1 - (F.col("s") - F.size("ordered"))
-    return own.where(prefix > 0).select("id", "n", F.explode(F.slice("ordered", 1, F.greatest(prefix, F.lit(1)))).alias("x")).select("x.value", "id", "n")
+    own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("ordered"))  # at most k entries
+    own = own.join(sized.drop("sketch"), "id")
+    prefix = F.col("s") - least_common(F.col("n"), k) + 1 - (F.col("s") - F.size("ordered"))
+    lists = own.where(prefix > 0).select("id", "n", F.explode(F.slice("ordered", 1, F.greatest(prefix, F.lit(1)))).alias("x")).select("x.value", "id", "n")
+    lists = scratch.written(lists, "lists")
+    members = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    return lists.join(members, "value")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -109,7 +124,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
     whole = (F.col("n_a") <= SKETCH) & (F.col("n_b") <= SKETCH)
     inter = F.size(F.array_intersect("sketch_a", "sketch_b"))
     exact = inter * 100 >= (F.col("n_a") + F.col("n_b") - inter) * PERCENT
-    likely = both.where(F.when(whole, exact).otherwise(common >= SAMPLE_COMMON)).select("a", "b", "n_a", "n_b")
+    likely = both.where(F.when(whole, exact).otherwise(common >= SAMPLE_COMMON[SKETCH])).select("a", "b", "n_a", "n_b")
     full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     met = likely.join(full("b"), "b").join(full("a"), "a")
     met = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("set_a", "set_b")).alias("k"))
@@ -128,9 +143,17 @@ def _open_lists(lists: DataFrame) -> DataFrame:
     return lists.join(mixed, "value")
 
 
+def _open_pairs(lists: DataFrame) -> tuple[int, int]:
+    """(members, pairs of different components) of the open lists, from counts."""
+    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("c"))
+    one = sizes.groupBy("value").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    row = one.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("p")).first()
+    return row["n"] or 0, int(row["p"] or 0)
+
+
 def hub_pairs(lists: DataFrame, seed: int) -> DataFrame:
     """Each list's members paired with one hub of another component."""
-    order = F.xxhash64("value", "id") if seed else F.col("id")
+    order = F.xxhash64(F.lit(seed), "value", "id") if seed else F.col("id")
     hubs = lists.groupBy("value").agg(F.min_by(F.struct("id", "n", "component"), order).alias("hub"))
     met = lists.join(hubs, "value").where(F.col("component") != F.col("hub.component")).where(_alike("n", "hub.n"))
     return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
@@ -155,28 +178,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     groups = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     classes = scratch.written(groups.withColumnRenamed("n_shingles", "n"), "classes")
     nodes = classes.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("x")).select("id", "x.n", "x.sketch")
-    lists = scratch.written(inverted_lists(nodes), "lists")
-    busy = lists.groupBy("value").agg(F.count("*").alias("c")).where("c > 1").select("value")
-    named = lists.join(busy, "value").select(F.col("id").alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.written(full_sets(texts.join(named, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
+    coarse = scratch.written(inverted_lists(nodes), "coarse-lists")
+    sets = scratch.written(full_sets(documents, id_filter(coarse.select("id").distinct())), "sets")
+    long = coarse.where(F.col("members") > LONG_LIST).select("id").distinct()
+    fine = sets.join(long, "id").select("id", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, FINE).alias("sketch"))
+    lists = coarse.where(F.col("members") <= LONG_LIST).unionByName(inverted_lists(fine, FINE)).select("value", "id", "n")
+    lists = scratch.written(lists, "all-lists")
+    scratch.drop(coarse)
 
     edges: DataFrame | None = None
     found: DataFrame | None = None
-    for step in ("hub", "second hub", "rest"):
+    for step in range(HUB_ROUNDS + 1):
         members = scratch.written(_open_lists(_labelled(lists, found)), "open-lists")
-        if members.isEmpty():
+        n, open_pairs = _open_pairs(members)
+        if not open_pairs:
             scratch.drop(members)
             break
-        pairs = remaining_pairs(members) if step == "rest" else hub_pairs(members, int(step != "hub"))
-        pairs = scratch.written(pairs, "pairs")
+        last = step == HUB_ROUNDS or (step > 0 and open_pairs <= OPEN_PAIRS * n)
+        pairs = scratch.written(remaining_pairs(members) if last else hub_pairs(members, step), "pairs")
         more = verified(pairs, nodes, sets)
         following = scratch.written(more if edges is None else edges.select("a", "b").union(more), "links")
         scratch.drop(members, pairs)
-        if found is not None:
+        if edges is not None:
             scratch.drop(edges)
         edges = following
         found = components(edges)
+        if last:
+            break
     scratch.drop(lists, sets)
 
     ids = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id")
