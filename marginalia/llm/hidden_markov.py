@@ -39,6 +39,8 @@ ENDINGS = 1024
 ROUNDS = 3
 #: Tokens whose recursions a task holds at once; a longer text is a group of its own.
 GROUP_TOKENS = 400_000
+#: Tokens (two bytes each) that a task sorts by length at a time.
+POOL_TOKENS = 8_000_000
 SMOOTH_MOVE, SMOOTH_EMIT = 1.0, 0.05
 END = 0
 _U = np.uint64
@@ -238,18 +240,28 @@ class Group:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    keys, texts, held = [], [], 0
-    for batch in batches:
-        for key, value in zip(batch.column(0).to_pylist(), batch.column(column), strict=True):
-            symbols = np.frombuffer(value.as_py(), "<u2")
+    """Sequences in groups of like length: a pool of them is sorted, so few steps serve few sequences."""
+
+    def cut(pool: list[tuple]) -> Iterator[tuple[list, list[np.ndarray]]]:
+        pool.sort(key=lambda x: len(x[1]))
+        lo = held = 0
+        for hi, (_, symbols) in enumerate(pool):
             if held and held + len(symbols) > GROUP_TOKENS:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-            keys.append(key)
-            texts.append(symbols)
+                yield [k for k, _ in pool[lo:hi]], [s for _, s in pool[lo:hi]]
+                lo, held = hi, 0
             held += len(symbols)
-    if texts:
-        yield keys, texts
+        if pool:
+            yield [k for k, _ in pool[lo:]], [s for _, s in pool[lo:]]
+
+    pool, held = [], 0
+    for batch in batches:
+        for key, value in zip(batch.column(0).to_pylist(), batch.column(column), strict=True):
+            pool.append((key, np.frombuffer(value.as_py(), "<u2")))
+            held += len(pool[-1][1])
+            if held >= POOL_TOKENS:
+                yield from cut(pool)
+                pool, held = [], 0
+    yield from cut(pool)
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
