@@ -1,15 +1,531 @@
-"""All registered queries of the library and their SQL counterparts."""
+"""All registered queries of the library; their SQL counterparts are in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.functions import model_json as M
+from marginalia.functions import text as X
+from marginalia.functions import vectors as V
+from marginalia.operators import extract, graph, index, knowledge, retrieval, store
+from marginalia.plans import agents, oracles, providers
+from marginalia.sources import literature, views
+
+QUESTION = oracles.QUESTION
+DIRECTION = oracles.DIRECTION
+TERM = oracles.TERM
+PROFILE = "v2:mock:mock-embedding:16"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def joined(c: str | Column, sep: str = "; ") -> Column:
+    return F.array_join(c, sep)
+
+
+def iso(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def big(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def query_vector(spark: SparkSession, d: str) -> list[float]:
+    """The stored vector with the smallest id, as the query."""
+    row = views.table(spark, d, "embeddings").orderBy("vec_id").select(V.as_doubles(F.col("embedding")).alias("e")).first()
+    return list(row["e"])
+
+
+# chunks, tokens, lexical retrieval
+
+
+@query
+def normalize_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return views.chunks(spark, d).select("chunk_id", "doc_id", big("page").alias("page"), "text")
+
+
+@query
+def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.lexical_topk(views.chunks(spark, d), QUESTION, 10)
+    return found.select("rank", "chunk_id", big("page").alias("page"), F.round("score", 6).alias("score"))
+
+
+@query
+def lexical_topk_many(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.lexical_topk_many(views.chunks(spark, d), views.questions(spark, d), 5)
+    return found.select("item_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def token_stats(spark: SparkSession, d: str) -> DataFrame:
+    asked, own = X.tokens(F.lit(QUESTION)), X.tokens(F.col("text"))
+    return views.chunks(spark, d).select("chunk_id", big(F.size(own)).alias("n_tokens"), big(F.size(F.array_intersect(asked, own))).alias("shared"))
+
+
+@query
+def direction_rank_top8(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.direction_topk(views.chunks(spark, d), DIRECTION).select("rank", "chunk_id", big("matched").alias("matched"))
+
+
+@query
+def snippet_summary(spark: SparkSession, d: str) -> DataFrame:
+    top = retrieval.direction_topk(views.chunks(spark, d), DIRECTION).where("rank <= 3").select("rank", X.snippet(F.col("text")).alias("s"))
+    return top.agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]), " ").alias("summary"))
+
+
+@query
+def hash_vector16(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.chunks(spark, d).select("chunk_id", F.posexplode(V.hash_vector(F.col("text"))).alias("pos", "value"))
+    return rows.select("chunk_id", big("pos").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return views.chunks(spark, d).select("chunk_id", X.content_hash(F.col("doc_id"), F.col("page"), F.col("text")).alias("content_hash"))
+
+
+@query
+def migration_id(spark: SparkSession, d: str) -> DataFrame:
+    keys = views.entry_events(spark, d).select("profile_key").distinct()
+    return keys.select("profile_key", X.migration_id(F.col("profile_key"), F.lit(index.LEGACY_COLLECTION), F.lit("target")).alias("migration_id"))
+
+
+@query
+def collection_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.table(spark, d, "part").select("p_brand", "p_type").distinct()
+    args = (F.lit(2), F.col("p_brand"), F.col("p_type"), F.lit(16))
+    return rows.select("p_brand", "p_type", X.profile_key(*args).alias("profile_key"), X.collection_slug(*args).alias("collection"))
+
+
+# vector retrieval
+
+
+@query
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.cosine_topk(views.vectors(spark, d), query_vector(spark, d), 10)
+    return found.select("rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def l2_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.distance_topk(views.vectors(spark, d), query_vector(spark, d), 10)
+    return found.select("rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def filtered_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    ids = [str(i) for i in range(0, 50, 2)]
+    found = retrieval.cosine_topk(views.vectors(spark, d), query_vector(spark, d), 5, doc_ids=ids, tags=["even"], module_source="upload")
+    return found.select("rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query
+def overfetch_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.distance_topk(views.vectors(spark, d), query_vector(spark, d), 5, candidate_factor=5, tags=["odd"])
+    return found.select("rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+# stored papers, chunks, histories
+
+
+def _paper(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "title", iso("created_at").alias("created_at"), "is_favorite", joined("tags", ",").alias("tags"))
+
+
+@query
+def list_papers(spark: SparkSession, d: str) -> DataFrame:
+    return _paper(views.papers(spark, d).orderBy(F.desc("created_at")))
+
+
+@query
+def get_paper(spark: SparkSession, d: str) -> DataFrame:
+    return _paper(views.papers(spark, d).where("doc_id = '7'"))
+
+
+@query
+def list_chunks(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.filtered(views.chunks(spark, d), doc_ids=["3", "5", "8"]).orderBy("doc_id", "page")
+    return found.select("chunk_id", "doc_id", big("page").alias("page"), "text")
+
+
+@query
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return views.chunks(spark, d).agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query
+def papers_by_tag_favorite(spark: SparkSession, d: str) -> DataFrame:
+    return _paper(knowledge.listed_papers(views.papers(spark, d), tag="en", favorites_only=True))
+
+
+@query
+def paper_update(spark: SparkSession, d: str) -> DataFrame:
+    return _paper(knowledge.updated_paper(views.papers(spark, d), "7", ["new", "tag"], True))
+
+
+@query
+def merge_papers(spark: SparkSession, d: str) -> DataFrame:
+    papers = views.papers(spark, d)
+    current = papers.where("is_favorite").withColumn("title", F.upper("title"))
+    return _paper(knowledge.merged_papers(current, papers))
+
+
+@query
+def tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.tag_vocabulary(views.papers(spark, d)).orderBy("tag")
+
+
+@query
+def gaps_history(spark: SparkSession, d: str) -> DataFrame:
+    return views.gaps(spark, d).orderBy(F.desc("seq")).select("gap_id", "title", "value_level", "description", joined("evidence_papers").alias("evidence"))
+
+
+@query
+def experiments_history(spark: SparkSession, d: str) -> DataFrame:
+    return _experiment(views.experiments(spark, d).where("gap_id = '1' or gap_id = '4'"))
+
+
+def _experiment(rows: DataFrame) -> DataFrame:
+    return rows.select("experiment_id", "gap_id", "objective", *[joined(c).alias(c) for c in ("datasets", "metrics", "baselines", "support_papers")])
+
+
+# knowledge search
+
+
+@query
+def knowledge_papers(spark: SparkSession, d: str) -> DataFrame:
+    return _paper(knowledge.paper_search(views.papers(spark, d), "SRC1", tag="en"))
+
+
+@query
+def knowledge_papers_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return _paper(knowledge.paper_search(views.papers(spark, d), "no such paper", tag="fr", favorites_only=True))
+
+
+def _chunk(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", "doc_id", big("page").alias("page"))
+
+
+@query
+def knowledge_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk(knowledge.chunk_search(views.chunks(spark, d), views.papers(spark, d), TERM))
+
+
+@query
+def knowledge_chunks_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk(knowledge.chunk_search(views.chunks(spark, d), views.papers(spark, d), "no such text"))
+
+
+@query
+def knowledge_notes(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.note_search(views.notes(spark, d), "TH_N%ing").select("note_id", "title")
+
+
+@query
+def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.gap_search(views.gaps(spark, d), "Nation-1").select("gap_id", "value_level", joined("evidence_papers").alias("evidence"))
+
+
+@query
+def knowledge_experiments(spark: SparkSession, d: str) -> DataFrame:
+    return _experiment(knowledge.experiment_search(views.experiments(spark, d), "urgent 1"))
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.sections(views.papers(spark, d), views.notes(spark, d), views.chunks(spark, d), views.gaps(spark, d), views.experiments(spark, d), "er")
+
+
+@query
+def knowledge_group_counts(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.group_counts(_sections(spark, d))
+
+
+@query
+def top3_per_group(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.first_per_group(_sections(spark, d)).select("section", "place", "id", "title")
+
+
+@query
+def missing_papers(spark: SparkSession, d: str) -> DataFrame:
+    asked = views.table(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("doc_id"))
+    return asked.join(views.papers(spark, d).select("doc_id"), "doc_id", "left_anti")
+
+
+@query
+def experiment_topics(spark: SparkSession, d: str) -> DataFrame:
+    asked = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").cast("string").alias("gap_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("topic"))
+    return knowledge.experiment_topic(asked, views.gaps(spark, d)).select("request_id", "gap_id", "topic")
+
+
+# plan agent
+
+
+@query
+def top3_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return agents.top_gaps(views.gaps(spark, d)).select("rank", "gap_id", "value_level")
+
+
+@query
+def routes(spark: SparkSession, d: str) -> DataFrame:
+    return agents.routes(views.gaps(spark, d), views.experiments(spark, d)).select("gap_id", "value_level", joined("experiment_ids", ",").alias("experiments"))
+
+
+@query
+def plan_cards(spark: SparkSession, d: str) -> DataFrame:
+    cards = agents.cards(views.gaps(spark, d), views.experiments(spark, d), DIRECTION, "summary")
+    return cards.select("gap_id", "title", "research_gap", "entry_point", "experiment_suggestion", "recommended_papers", "next_action")
+
+
+@query
+def recommended_papers(spark: SparkSession, d: str) -> DataFrame:
+    return agents.recommended(views.gaps(spark, d), views.experiments(spark, d)).select("gap_id", joined("papers").alias("papers"))
+
+
+@query
+def support_padding(spark: SparkSession, d: str) -> DataFrame:
+    return views.experiments(spark, d).select("experiment_id", joined(M.padded_support(F.slice("support_papers", 1, (F.col("seq") % 6).cast("int")))).alias("support"))
+
+
+@query
+def plan_trace(spark: SparkSession, d: str) -> DataFrame:
+    agent = agents.PlanAgent(spark, views.papers(spark, d), views.chunks(spark, d), DIRECTION, ["1", "2"])
+    agent.run()
+    return agents.trace_rows(spark, agent.trace)
+
+
+@query
+def model_options(spark: SparkSession, d: str) -> DataFrame:
+    return providers.model_options(spark)
+
+
+# store
+
+
+@query
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.latest_per_key(views.entry_events(spark, d), ["chunk_id", "profile_key"], F.col("updated_at"), F.col("event_id"))
+    return rows.select("chunk_id", "profile_key", "status", "event_id")
+
+
+@query
+def upsert_union(spark: SparkSession, d: str) -> DataFrame:
+    parts = views.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v"))
+    new = parts.where("k % 3 = 0").select((F.col("k") * 2).alias("k"), F.upper("v").alias("v"))
+    return store.upsert(parts, new, ["k"])
+
+
+@query
+def migration_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = store.first_and_last(views.migrations(spark, d))
+    return rows.select("migration_id", "profile_key", "status", iso("started_at").alias("started_at"), iso("completed_at").alias("completed_at"), "writes")
+
+
+@query
+def entry_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return views.entry_events(spark, d).groupBy("profile_key", "status").agg(F.count("*").alias("n"))
+
+
+@query
+def latest_migration(spark: SparkSession, d: str) -> DataFrame:
+    rows = index.latest_migration(views.migrations(spark, d))
+    return rows.select("profile_key", "migration_id", "status", "event_id")
+
+
+# index
+
+
+def _ids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    source = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return source, views.table(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("chunk_id"))
+
+
+@query
+def index_missing(spark: SparkSession, d: str) -> DataFrame:
+    return index.missing(*_ids(spark, d))
+
+
+@query
+def index_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return index.orphans(*_ids(spark, d))
+
+
+@query
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    found = index.status(index.reconciled(*_ids(spark, d)), F.lit(0))
+    return found.withColumn("warnings", joined("warnings"))
+
+
+def _migration(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks (first pages); legacy vectors, of which some texts or lengths differ; a target that holds some chunks."""
+    chunks = views.chunks(spark, d).where("page = 1")
+    n = F.col("doc_id").cast("long")
+    vector = F.transform(F.sequence(F.lit(1), F.when(n % 5 == 0, 8).otherwise(16)), lambda i: i.cast("double"))
+    legacy = chunks.where(n % 2 == 0).select(F.when(n % 7 == 0, F.concat(F.lit("gone-"), "chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(n % 6 == 0, "stale").otherwise(F.col("text")).alias("text"), vector.alias("embedding"))
+    target = chunks.where(n % 3 == 0).select("chunk_id", F.when(n % 9 == 0, "old").otherwise(X.content_hash(F.col("doc_id"), F.col("page"), F.col("text"))).alias("content_hash"), F.lit(PROFILE).alias("profile_key"))
+    return chunks, legacy, target
+
+
+@query
+def migration_plan(spark: SparkSession, d: str) -> DataFrame:
+    return index.migration_plan(*_migration(spark, d), PROFILE, 16)
+
+
+@query
+def migration_classify(spark: SparkSession, d: str) -> DataFrame:
+    return index.classified(*_migration(spark, d), PROFILE, 16).select("chunk_id", "action")
+
+
+# graph
+
+
+@query
+def citation_nodes(spark: SparkSession, d: str) -> DataFrame:
+    kept = graph.nodes(views.works(spark, d), 25)
+    return kept.select("rank", "id", "title", big("year").alias("year"), "importance_score", "is_key")
+
+
+@query
+def citation_links(spark: SparkSession, d: str) -> DataFrame:
+    return graph.links(views.citations(spark, d), graph.nodes(views.works(spark, d), 50))
+
+
+@query
+def citation_star(spark: SparkSession, d: str) -> DataFrame:
+    return graph.links(views.citations(spark, d).limit(0), graph.nodes(views.works(spark, d), 10))
+
+
+@query
+def graph_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    edges = views.citations(spark, d).distinct()
+    refs = edges.groupBy(F.col("source").alias("paper_id")).agg(F.array_sort(F.collect_list("target")).alias("refs"))
+    citing = edges.join(views.works(spark, d).select(F.col("paper_id").alias("source"), "citation_count"), "source").select(F.col("target").alias("paper_id"), F.col("source").alias("citing_id"), "citation_count")
+    found = graph.enriched(refs, citing)
+    return found.select("paper_id", joined("references", ",").alias("references"), joined("citations", ",").alias("citations"))
+
+
+# extraction
+
+
+@query
+def label_extract(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    labels = {"datasets": extract.DATASET_LABELS, "metrics": extract.METRIC_LABELS, "baselines": extract.BASELINE_LABELS}
+    return views.labelled_texts(spark, d).select("part_id", *[joined(X.after_labels(t, v), "|").alias(k) for k, v in labels.items()])
+
+
+@query
+def sentence_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", joined(X.sentences_with(F.col("text"), ["the", "einen"]), "|").alias("sentences"))
+
+
+@query
+def risk_rules(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.fields(views.labelled_texts(spark, d))
+    risks = extract.risks(F.col("datasets"), F.col("metrics"), F.col("baselines"), F.lit(True))
+    return found.select("part_id", joined(risks, "|").alias("risks"))
+
+
+@query
+def json_repair_gaps(spark: SparkSession, d: str) -> DataFrame:
+    texts = views.model_texts(spark, d)
+    default = {"title": F.lit("topic 的证据覆盖仍不完整"), "value_level": F.lit("mid"), "description": F.lit("fallback"), "evidence_papers": F.array(F.lit(M.LOCAL_EVIDENCE))}
+    found = M.with_fallback(texts, M.gap_items(texts, "gap_text", "part_id"), "part_id", default)
+    return found.select("part_id", big("pos").alias("pos"), "title", "value_level", "description", joined("evidence_papers").alias("evidence"))
+
+
+@query
+def json_repair_experiments(spark: SparkSession, d: str) -> DataFrame:
+    texts = views.model_texts(spark, d)
+    found = M.experiment_items(texts, "plan_text", "part_id")
+    return found.select("part_id", big("pos").alias("pos"), "objective", *[joined(c).alias(c) for c in M.EXPERIMENT_LISTS])
+
+
+@query
+def atom_parse(spark: SparkSession, d: str) -> DataFrame:
+    return literature.atom_papers(views.atom_feeds(spark, d)).select("paper_id", "title", "abstract", big("year").alias("year"))
+
+
+@query
+def openalex_decode(spark: SparkSession, d: str) -> DataFrame:
+    works = views.works(spark, d)
+    one = F.to_json(F.struct(F.concat(F.lit("https://openalex.org/W"), "paper_id", F.lit("/")).alias("id"), F.col("title").alias("display_name"), F.when(F.col("first_seen") % 4 == 0, "soon").otherwise(F.col("year").cast("string")).alias("publication_year"), F.col("citation_count").alias("cited_by_count"), F.array(F.concat(F.lit("x/W"), "paper_id")).alias("referenced_works")))
+    answers = works.select(F.concat(F.lit('{"results": ['), one, F.lit("]}")).alias("body"))
+    found = literature.openalex_works(answers)
+    return found.select("paper_id", "title", big("year").alias("year"), "citation_count", joined("refs").alias("refs"))
+
+
+@query
+def qa_sources(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = retrieval.ladder(views.chunks(spark, d), None, QUESTION, None, 5, ["1", "2", "3", "4", "5", "6"])
+    return found.select("rank", "doc_id", "chunk_id", big("page").alias("page"), F.round("score", 6).alias("score"))
+
+
+@query
+def qa_context(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.context_block(retrieval.lexical_topk(views.chunks(spark, d), QUESTION, 3))
+
+
+@query
+def evidence_labels(spark: SparkSession, d: str) -> DataFrame:
+    return extract.joined_texts(views.chunks(spark, d)).select("doc_id", joined("evidence").alias("evidence"), big(F.length("text")).alias("n_chars"))
+
+
+@query
+def reproduction_reports(spark: SparkSession, d: str) -> DataFrame:
+    found = agents.reproduction_reports(views.papers(spark, d), views.chunks(spark, d))
+    return found.select("doc_id", *[joined(c, "|").alias(c) for c in ("datasets", "metrics", "baselines", "evidence")])
+
+
+@query
+def reproduction_trace(spark: SparkSession, d: str) -> DataFrame:
+    return agents.reproduction_trace(spark, True, "template")
+
+
+@query
+def citation_markers(spark: SparkSession, d: str) -> DataFrame:
+    lines = views.table(spark, d, "part").select("p_partkey", F.concat(F.lit("As ["), (F.col("p_partkey") % 9).cast("string"), F.lit("] and [2][x] or ["), F.col("p_size").cast("string"), F.lit("] say")).alias("answer"))
+    return lines.select("p_partkey", joined(F.transform(X.citation_numbers(F.col("answer"), F.lit(5)), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@query
+def warning_classes(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.element_at(F.array(*[F.lit(w) for w in oracles.WARNINGS]), (F.col("p_partkey") % len(oracles.WARNINGS) + 1).cast("int"))
+    return views.table(spark, d, "part").select("p_partkey", extract.shown_warning(raw).alias("shown"), extract.shown_warning(raw, extract.ANSWER_CLASSES).alias("answer_shown"))
+
+
+@query
+def tag_parse(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), "p_brand", F.lit(",, "), "p_type", F.lit(" , "))
+    return views.table(spark, d, "part").select("p_partkey", joined(X.comma_tags(raw), "|").alias("tags"))
+
+
+@query
+def short_titles(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_brand")
+    return views.table(spark, d, "part").select("p_partkey", X.shortened(title).alias("title"))
+
+
+@query
+def history_items(spark: SparkSession, d: str) -> DataFrame:
+    one = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("2024-01-01").alias("created_at")))
+    rows = views.table(spark, d, "part").where("p_partkey <= 12").select(F.struct("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "7").otherwise(one).alias("j")).alias("x"))
+    stored = rows.agg(F.concat(F.lit("["), joined(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]), ","), F.lit("]")).alias("raw"))
+    return literature.history_items(stored).select(big("pos").alias("pos"), "id", "title")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
