@@ -87,10 +87,8 @@ def features(part: tk.Slice, w: tk.Words, hashes: np.ndarray) -> Iterator[tuple[
     yield np.concatenate((w.doc, w.doc[at])), np.concatenate((hashes & half, pairs & half)).astype(np.int64)
     if not len(part.data):
         return
-    head = np.flatnonzero((part.data & 0xC0) != 0x80)
     points = np.frombuffer(part.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(_U)
     doc = np.repeat(np.arange(part.size), _sums((part.data & 0xC0) != 0x80, part.offsets))
-    del head
     if len(points) >= CHAR_GRAM:
         m = len(points) - CHAR_GRAM + 1
         gram = points[:m].copy()
@@ -122,10 +120,11 @@ def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """A bounded, repeatable sample of labelled documents: good, text."""
     votes = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).alias("good"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")  # at most ``rows`` rows
+    columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return columns.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")  # at most ``rows`` rows
 
 
-def _matrix(sample: DataFrame) -> pd.DataFrame:
+def _matrix(sample: DataFrame) -> pa.Table:
     """Sparse rows of the sample (good, buckets, values): made on the executors, at most SAMPLE_ROWS of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,32 +146,32 @@ def _matrix(sample: DataFrame) -> pd.DataFrame:
                     names=["doc_id", "good", "buckets", "vals"],
                 )
 
-    return sample.mapInArrow(run, "doc_id long, good boolean, buckets array<int>, vals array<float>").toArrow().to_pandas()
+    return sample.mapInArrow(run, "doc_id long, good boolean, buckets array<int>, vals array<float>").toArrow()
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     """Weights by gradient descent (Adam), then Platt calibration on the held-back fifth."""
-    data = _matrix(_sample(documents, labels, rows)).sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    if data["good"].nunique() < 2:
+    data = _matrix(_sample(documents, labels, rows))
+    y = data.column("good").to_numpy().astype(np.float64)
+    if len(np.unique(y)) < 2:
         return None
-    y = data["good"].to_numpy(dtype=np.float64)
-    counts = data["buckets"].map(len).to_numpy()
-    doc = np.repeat(np.arange(len(y)), counts)
-    bucket = np.concatenate(data["buckets"].to_list()).astype(np.int64)
-    value = SCALE * np.concatenate(data["vals"].to_list()).astype(np.float64)
-    held = np.arange(len(y)) % 5 == 4
-    use = ~held[doc]
-    fd, fb, fv = doc[use], bucket[use], value[use]
+    buckets, vals = data.column("buckets").combine_chunks(), data.column("vals").combine_chunks()
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(buckets.offsets.to_numpy()))
+    bucket = buckets.flatten().to_numpy()
+    value = vals.flatten().to_numpy() * np.float32(SCALE)
+    place = np.argsort(np.argsort(data.column("doc_id").to_numpy(), kind="stable"))
+    del data, buckets, vals
+    held = place % 5 == 4
     fitted = ~held
-    w, bias = np.zeros(BUCKETS), 0.0
+    w, bias = np.zeros(BUCKETS, np.float32), 0.0
     m, v, rate = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), 0.15
     for step in range(1, EPOCHS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(fd, weights=w[fb] * fv, minlength=len(y)) + bias, -35, 35)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=w[bucket] * value, minlength=len(y)) + bias, -35, 35)))
         error = np.where(fitted, p - y, 0) / fitted.sum()
-        slope = np.append(np.bincount(fb, weights=error[fd] * fv, minlength=BUCKETS) + 1e-5 * w, error.sum())
+        slope = np.append(np.bincount(bucket, weights=error[doc] * value, minlength=BUCKETS) + 1e-5 * w, error.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w -= move[:-1]
+        w -= move[:-1].astype(np.float32)
         bias -= move[-1]
     z = np.bincount(doc, weights=w[bucket] * value, minlength=len(y)) + bias
     a, b = platt(z[held], y[held]) if len(np.unique(y[held])) == 2 else (1.0, 0.0)
