@@ -169,11 +169,11 @@ class Hmm:
 
     @classmethod
     def initial(cls, vocabulary: Vocabulary, states: int = STATES) -> Hmm:
-        """Unigram emissions, tilted by a fixed pseudo-random factor for each state and symbol."""
+        """Unigram emissions, tilted by a fixed pseudo-random factor for each state and symbol; states mostly stay."""
         counts = np.concatenate(([vocabulary.n_end], vocabulary.counts, vocabulary.class_tokens)) + SMOOTH_EMIT
         tilt = tk.mix64(np.arange(len(counts) * states, dtype=_U) + _U(7)).astype(np.float64).reshape(len(counts), states) / 2.0**64
-        emit = counts[:, None] * (0.25 + 1.5 * tilt)
-        move = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
+        emit = counts[:, None] * (0.02 + tilt**4)
+        move = np.full((states, states), 0.05 / states) + 0.95 * np.eye(states)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
     @classmethod
