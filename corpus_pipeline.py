@@ -20,8 +20,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what reads as one of the languages learned from the training part of ``docs``; its ``lang`` stays as given."""
     filters = language_filters.learn(docs.where(~language_filters.held_out(F.col("doc_id"))))
-    found = language_filters.predict(docs, filters, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_filters.recognised(docs, filters, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,20 +181,32 @@ def learn(documents: DataFrame) -> Filters:
     return Filters(languages, table, np.minimum(fill**HASHES, 0.99), max(range(len(languages)), key=lambda i: (totals[languages[i]], -i)))
 
 
-def predict(documents: DataFrame, filters: Filters, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred and score for every document, or the columns ``keep`` with both appended."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # ROWS * 8 bytes a 64 languages
-    source = documents if keep else documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    names = keep or ["doc_id"]
+def predict(documents: DataFrame, filters: Filters) -> DataFrame:
+    """doc_id, lang_pred and score for every document."""
+    shared = documents.sparkSession.sparkContext.broadcast(filters)  # ROWS * 8 bytes a 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            ids, texts = tk.take_columns(batch, ["doc_id", "text"])
             for part in tk.slices(texts):
                 lang, score = shared.value.decide(part)
-                own = [batch.column(batch.schema.get_field_index(c)).slice(part.lo, part.size) for c in names]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names)
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return columns.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def recognised(documents: DataFrame, filters: Filters, least_score: float) -> DataFrame:
+    """The documents (all columns) that read as a learned language with at least ``least_score``."""
+    shared = documents.sparkSession.sparkContext.broadcast(filters)
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for part in tk.slices(batch.column(place)):
+                lang, score = shared.value.decide(part)
+                keep[part.lo : part.hi] = (np.array(lang, dtype=object) != "und") & (score >= least_score)
+            yield batch.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)
