@@ -246,11 +246,32 @@ class Marker:
         return base, more
 
 
-def _marker(terms: DataFrame, most: int) -> Marker:
+def _with_terms(documents: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame, Marker | None]:
+    """The documents and a marker for every task; beyond ``most`` terms, no marker but a last column
+    with each document's own disclosing terms, found by a join on its distinct term hashes."""
     rows = terms.limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} disclosing terms: raise the threshold or BROADCAST_TERMS")
-    return Marker(rows["term"].to_numpy(np.int64), rows["disclosure"].to_numpy(np.float64))
+    if len(rows) <= most:
+        return documents, Marker(rows["term"].to_numpy(np.int64), rows["disclosure"].to_numpy(np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch.column(1)):
+                found = Terms(part)
+                doc, values, _ = tk.distinct_per_doc(found.doc, found.hash.view(np.int64), part.size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.size).take(pa.array(doc)), pa.array(values)], names=["_key", "term"])
+
+    keyed = documents.withColumn("_key", F.xxhash64("text"))
+    own = keyed.select("_key", F.col("text").cast("string").alias("text")).dropDuplicates(["_key"]).mapInArrow(run, "_key long, term long")
+    told = own.join(terms, "term").groupBy("_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("_terms"))  # a document's own terms
+    return keyed.join(told, "_key", "left").select(*[keyed[c] for c in documents.columns], "_terms"), None
+
+
+def _marker_of(shared, batch: pa.RecordBatch, part: tk.Slice) -> Marker:
+    if shared is not None:
+        return shared.value
+    found = batch.column(batch.num_columns - 1).slice(part.lo, part.size).flatten()
+    hashes, first = np.unique(found.field("term").to_numpy(zero_copy_only=False), return_index=True)
+    return Marker(hashes, found.field("disclosure").to_numpy(zero_copy_only=False)[first])
 
 
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long"
@@ -258,14 +279,15 @@ DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 
 def digests(documents: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """Counts and digests of every document's spans."""
-    shared = documents.sparkSession.sparkContext.broadcast(_marker(disclosing_terms(documents, most=most), most))
+    rows, marker = _with_terms(_columns(documents), disclosing_terms(documents, most=most), most)
+    shared = documents.sparkSession.sparkContext.broadcast(marker) if marker is not None else None
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = tk.take_columns(batch, ["doc_id", "text"])
             for part in tk.slices(texts):
-                base, more = shared.value.spans(part)
+                base, more = _marker_of(shared, batch, part).spans(part)
                 n = part.size
                 counts = np.zeros((5, n), np.int64)
                 sha, joined = [empty] * n, [""] * n
@@ -277,7 +299,7 @@ def digests(documents: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
                     joined[d] = written_spans(sorted([*own, *extra]))
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, n), *(pa.array(c) for c in counts[:4]), pa.array(sha), pa.array(joined), pa.array(counts[4])], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    return _columns(documents).mapInArrow(run, DIGEST)
+    return rows.mapInArrow(run, DIGEST)
 
 
 def sanitised_text(text: str, spans: list[tuple[Span, float]]) -> str:
@@ -295,7 +317,9 @@ def sanitised_text(text: str, spans: list[tuple[Span, float]]) -> str:
 
 def sanitised(documents: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """The documents (all columns) with sanitised texts; null texts stay null."""
-    shared = documents.sparkSession.sparkContext.broadcast(_marker(disclosing_terms(documents, most=most), most))
+    rows, marker = _with_terms(documents, disclosing_terms(documents, most=most), most)
+    shared = documents.sparkSession.sparkContext.broadcast(marker) if marker is not None else None
+    width, schema = len(documents.columns), documents.schema
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +327,12 @@ def sanitised(documents: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
             column = batch.column(place)
             texts: list[str | None] = column.to_pylist()
             for part in tk.slices(column):
-                base, more = shared.value.spans(part)
+                base, more = _marker_of(shared, batch, part).spans(part)
                 for d in base.keys() | more.keys():
                     spans = [(s, 0.0) for s in base.get(d, ("", []))[1]] + more.get(d, [])
                     texts[part.lo + d] = sanitised_text(texts[part.lo + d], spans)
-            columns = list(batch.columns)
+            columns = list(batch.columns)[:width]
             columns[place] = pa.array(texts, column.type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return documents.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, schema)

@@ -53,7 +53,7 @@ def test_base_spans_like_the_patterns(spark):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [want.count(f"{k}:") for k in PATTERNS]
 
 
-@pytest.mark.parametrize("most", [disclosure.BROADCAST_TERMS])
+@pytest.mark.parametrize("most", [disclosure.BROADCAST_TERMS, 0])
 def test_terms_that_name_an_entity(spark, most):
     rng = random.Random(6)
     filler = lambda n: " ".join(rng.choice(["some", "plain", "words", "here", "more", "text"]) for _ in range(n))
