@@ -135,27 +135,26 @@ def learn(documents: DataFrame) -> Filters:
     rows = documents.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pd.Series] = []
+        kept: list[pd.DataFrame] = []
+        codes: dict[str, int] = {}
 
-        def merged() -> pd.Series:
-            return pd.concat(kept).groupby(level=[0, 1]).sum()
+        def merged() -> pd.DataFrame:
+            return pd.concat(kept).groupby(["lang", "gram"], sort=False, as_index=False)["n"].sum()
 
         for batch in batches:
             texts, langs = tk.take_columns(batch, ["text", "lang"])
-            code, names = pd.factorize(np.array(langs.to_pylist(), dtype=object))
+            code = np.array([codes.setdefault(name, len(codes)) for name in langs.to_pylist()], dtype=np.int64)
             for part in tk.slices(texts):
                 doc, hashes, _ = grams(part)
                 lang = code[part.lo + doc]
-                for one in np.unique(lang):
+                for one in np.unique(lang).tolist():
                     number, distinct = pd.factorize(hashes[lang == one])
-                    index = pd.MultiIndex.from_arrays([np.full(len(distinct), names[one], dtype=object), distinct])
-                    kept.append(pd.Series(np.bincount(number, minlength=len(distinct)), index=index))
-            if len(kept) > 24:
+                    kept.append(pd.DataFrame({"lang": np.int32(one), "gram": distinct.view(np.int64), "n": np.bincount(number, minlength=len(distinct))}))
+            if len(kept) > 12:
                 kept = [merged()]
         if kept:
-            total = merged()
-            gram = total.index.get_level_values(1).to_numpy().astype(_U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(total.index.get_level_values(0).to_list(), pa.string()), pa.array(gram), pa.array(total.to_numpy(np.int64))], names=["lang", "gram", "n"])
+            total, names = merged(), list(codes)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in total["lang"].tolist()], pa.string()), pa.array(total["gram"].to_numpy()), pa.array(total["n"].to_numpy(np.int64))], names=["lang", "gram", "n"])
 
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
