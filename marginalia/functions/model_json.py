@@ -16,16 +16,18 @@ LOCAL_EVIDENCE = "local uploaded paper context"
 _FENCE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 
 
-def json_object(raw: Column) -> Column:
-    """The object as VARIANT, or null."""
-    strict = F.try_parse_json(raw)
-    fenced = F.regexp_extract(raw, _FENCE, 1)
-    braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    candidate = F.when(raw.rlike(_FENCE), fenced).otherwise(braces)
+def json_objects(frame: DataFrame, raw: str, *keep: str) -> DataFrame:
+    """``keep`` and the object of each text as VARIANT column ``found``, or null.
+
+    Candidates are unnested, so each is parsed once and code stays small."""
+    text = F.col(raw)
+    wrapped = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+    both = frame.select(*keep, F.explode(F.array(F.struct(text.alias("strict"), wrapped.alias("wrapped")))).alias("_t"))
     # a lenient parser stops after the first value; the text must end where the object ends
-    closed = candidate.rlike(r"(?s)^\{.*\}\s*$")
-    found = F.when(strict.isNotNull(), strict).when(closed, F.try_parse_json(candidate))
-    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+    closed = F.col("_t.wrapped").rlike(r"(?s)^\{.*\}\s*$")
+    parsed = F.coalesce(F.try_parse_json("_t.strict"), F.when(closed, F.try_parse_json("_t.wrapped")))
+    one = both.select(*keep, F.explode(F.array(parsed)).alias("found"))
+    return one.select(*keep, F.when(F.schema_of_variant("found").startswith("OBJECT"), F.col("found")).alias("found"))
 
 
 def _text(item: Column, field: str) -> Column:
@@ -38,8 +40,8 @@ def _list(item: Column, field: str) -> Column:
 
 def items(frame: DataFrame, raw: str, key: str, array: str) -> DataFrame:
     """One row an array element: key, pos, item, is_object."""
-    parsed = frame.select(key, F.try_variant_get(json_object(F.col(raw)), f"$.{array}", "array<variant>").alias("found"))
-    rows = parsed.select(key, F.posexplode("found").alias("pos", "item"))
+    found = json_objects(frame, raw, key)
+    rows = found.select(key, F.posexplode(F.try_variant_get("found", f"$.{array}", "array<variant>")).alias("pos", "item"))
     return rows.withColumn("is_object", F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False)))
 
 

@@ -1,6 +1,7 @@
 """Spark results against DuckDB's, as sorted rows of rounded values."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,7 +15,7 @@ def connect(sf_dir):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    shown = lambda x: "NULL" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    shown = lambda x: "NULL" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(shown, r)) for r in frame.itertuples(index=False))
 
 

@@ -26,7 +26,8 @@ def papers(spark):
 @pytest.fixture
 def vectors(spark):
     rows = [("a", "doc-a", ["rag"], "upload", [1.0, 0.0], 0), ("b", "doc-b", ["vision"], "upload", [0.0, 1.0], 1), ("z", "doc-b", [], "upload", [0.0, 0.0], 2), ("l", "doc-a", ["rag"], "upload", [1.0], 3)]
-    return spark.createDataFrame(rows, "chunk_id string, doc_id string, tags array<string>, module_source string, embedding array<double>, seq long")
+    schema = "chunk_id string, doc_id string, tags array<string>, module_source string, embedding array<double>, seq long"
+    return spark.createDataFrame(rows, schema).withColumns({"page": F.lit(1), "text": F.col("chunk_id")})
 
 
 def ids(frame, column="chunk_id", order="rank"):
