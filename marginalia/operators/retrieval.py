@@ -52,9 +52,6 @@ def distance_topk(rows: DataFrame, query: list[float], k: int = 5, candidate_fac
     return ranked(found, [F.col("distance"), F.col("seq")], k).withColumn("score", V.similarity(F.col("distance")))
 
 
-LEXICAL_ORDER = [F.desc, F.asc, F.desc]
-
-
 def _lexical_order() -> list[Column]:
     return [F.desc("score"), F.asc("page"), F.desc("chunk_id")]
 
@@ -80,7 +77,7 @@ def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key:
     asked = asked.select(key, F.size("asked").alias("n_asked"), F.explode("asked").alias("token"))
     own = chunks.select("chunk_id", "page", X.tokens(F.col("text")).alias("own"))
     own = own.select("chunk_id", "page", F.size("own").alias("n_own"), F.explode("own").alias("token"))
-    met = own.join(F.broadcast(asked) if key == "" else asked, "token").groupBy(key, "chunk_id", "page", "n_asked", "n_own").agg(F.count("*").alias("shared"))
+    met = own.join(asked, "token").groupBy(key, "chunk_id", "page", "n_asked", "n_own").agg(F.count("*").alias("shared"))
     scored = met.select(key, "chunk_id", "page", X.token_cosine(F.col("shared"), F.col("n_asked"), F.col("n_own")).alias("score"))
     first = chunks.select("chunk_id", "page").orderBy("page", F.desc("chunk_id")).limit(2 * k)
     zeros = questions.select(key).join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # 2k rows a question

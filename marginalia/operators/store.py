@@ -5,6 +5,8 @@ see the old or the new version and a failed write leaves the old one."""
 
 from __future__ import annotations
 
+import os
+import socket
 import time
 import uuid
 
@@ -107,16 +109,34 @@ class Store:
         self.put("vectors", rows.withColumn("seq", F.row_number().over(order) + F.lit(start)))
 
     def lock(self, owner: str) -> bool:
-        """Take the writer's lock; False if another holds it."""
+        """Take the writer's lock; False if another holds it.  A dead process of this host holds nothing."""
         path = self._path(f"{self.root}/LOCK")
+        if self.locked() and self._holder_is_dead():
+            self.unlock()
         try:
             out = self._fs.create(path, False)
         except Exception:
             return False
-        out.write(bytearray(owner.encode()))
+        out.write(bytearray(f"{socket.gethostname()} {os.getpid()} {owner}\n".encode()))
         out.close()
         return True
 
+    def _holder_is_dead(self) -> bool:
+        stream = self._fs.open(self._path(f"{self.root}/LOCK"))
+        try:
+            host, pid, *_ = (stream.readLine() or "").split(" ") + ["", ""]
+        finally:
+            stream.close()
+        if host != socket.gethostname() or not pid.isdigit():
+            return False
+        try:
+            os.kill(int(pid), 0)
+        except ProcessLookupError:
+            return True
+        except PermissionError:
+            return False
+        return False
+
     def locked(self) -> bool:
         return self._fs.exists(self._path(f"{self.root}/LOCK"))
 

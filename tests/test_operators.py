@@ -212,3 +212,44 @@ def test_streaming_upsert(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
     ingest.upserting(stream, store, "entries", "updated_at").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
     assert {r["chunk_id"]: r["status"] for r in store.read("entries").collect()} == {"a": "ready", "b": "ready"}
+
+
+def fetched(query, limit):
+    return [("p1", query, "a", 2020)] if query == "one" else []
+
+
+def test_literature_source(spark):
+    from marginalia.sources.remote import LiteratureSource
+
+    spark.dataSource.register(LiteratureSource)
+    load = lambda **o: spark.read.format("literature").options(**o).load().collect()
+    assert len(load(query="q", limit=3)) == 3 and load(query=" ") == []
+    assert [r["paper_id"] for r in load(query="one", fetch="tests.test_operators:fetched")] == ["p1"]
+    assert "no results" in load(query="two", fetch="tests.test_operators:fetched")[0]["warning"]
+    assert "failed" in load(query="two", fetch="tests.nowhere:f")[0]["warning"]
+
+
+def test_small_projections(spark, tmp_path):
+    import base64
+    import struct
+
+    from marginalia.functions import display
+
+    raw = base64.b64encode(struct.pack("<3f", 1.0, -2.5, 0.5)).decode()
+    rows = spark.createDataFrame([(raw, 0.5, "abcdefghij"), (None, None, None)], "t string, s double, i string")
+    got = rows.select(display.vector_from_base64(F.col("t")).alias("v"), display.node_radius(F.col("s")).alias("r"), display.fixed_score(F.col("s")).alias("f"), display.short_id(F.col("i")).alias("i")).collect()
+    assert got[0]["v"] == [1.0, -2.5, 0.5] and got[0]["r"] == 11.5 and got[0]["f"] == "0.50" and got[0]["i"] == "abcdefgh" and got[1]["v"] is None
+    answers = spark.createDataFrame([("q", "a [1]", [(2, "c", "text")]), ("q", "a", [])], "question string, answer string, sources array<struct<page: int, chunk_id: string, text: string>>")
+    shown = extract.answer_markdown(answers)
+    texts = [r["markdown"] for r in shown.collect()]
+    assert "1. 第 2 页，c" in texts[0] and "无来源片段" in texts[1]
+    display.write_texts(display.report_json(answers), "report", f"file://{tmp_path}/out")
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 2
+
+
+def test_lock_of_a_dead_process(spark, tmp_path):
+    import socket
+
+    store = Store(spark, f"file://{tmp_path}")
+    (tmp_path / "LOCK").write_text(f"{socket.gethostname()} 99999999 gone\n")
+    assert store.lock("me") and not store.lock("you")
