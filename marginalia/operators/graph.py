@@ -47,13 +47,17 @@ def nodes(works: DataFrame, max_nodes: int = 25) -> DataFrame:
     return placed.select(F.concat(F.lit("openalex-"), "paper_id").alias("id"), "title", "year", F.round(F.col("score") / F.col("best"), 3).alias("importance_score"), (F.col("rank") <= KEY_NODES).alias("is_key"), "rank")
 
 
+def fixed(kept: DataFrame) -> DataFrame:
+    """The capped nodes (at most MOST_NODES rows) computed once, as a local relation."""
+    return kept.sparkSession.createDataFrame(kept.limit(MOST_NODES).collect(), kept.schema)
+
+
 def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Edges with both ends kept, repeats kept; the few node ids go to every task (at most MOST_NODES)."""
+    """Edges with both ends kept, repeats kept; the few ids are literals, so the scan filters on them."""
+    ids = [r["id"].removeprefix("openalex-") for r in kept.select("id").limit(MOST_NODES).collect()]
     name = lambda c: F.concat(F.lit("openalex-"), c)
-    ids = kept.select("id")
-    links = edges.select(name("source").alias("source"), name("target").alias("target"), F.lit("cites").alias("relation"))
-    links = links.join(F.broadcast(ids.withColumnRenamed("id", "source")), "source", "left_semi")
-    return links.join(F.broadcast(ids.withColumnRenamed("id", "target")), "target", "left_semi").select("source", "target", "relation")
+    links = edges.where(F.col("source").isin(*ids) & F.col("target").isin(*ids))
+    return links.select(name("source").alias("source"), name("target").alias("target"), F.lit("cites").alias("relation"))
 
 
 def star(kept: DataFrame) -> DataFrame:
@@ -64,6 +68,7 @@ def star(kept: DataFrame) -> DataFrame:
 
 def links(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """The induced edges, or a star where none is left."""
+    kept = fixed(kept)
     return or_else(induced(edges, kept), star(kept))
 
 

@@ -148,12 +148,12 @@ def list_papers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def get_paper(spark: SparkSession, d: str) -> DataFrame:
-    return _paper(views.papers(spark, d).where("doc_id = '7'"))
+    return _paper(views.papers(spark, d, [7]))
 
 
 @query
 def list_chunks(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.filtered(views.chunks(spark, d), doc_ids=["3", "5", "8"]).orderBy("doc_id", "page")
+    found = retrieval.filtered(views.chunks(spark, d, [3, 5, 8]), doc_ids=["3", "5", "8"]).orderBy("doc_id", "page")
     return found.select("chunk_id", "doc_id", big("page").alias("page"), "text")
 
 
@@ -466,7 +466,7 @@ def openalex_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def qa_sources(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = retrieval.ladder(views.chunks(spark, d), None, QUESTION, None, 5, ["1", "2", "3", "4", "5", "6"])
+    found, _ = retrieval.ladder(views.chunks(spark, d, [1, 2, 3, 4, 5, 6]), None, QUESTION, None, 5, ["1", "2", "3", "4", "5", "6"])
     return found.select("rank", "doc_id", "chunk_id", big("page").alias("page"), F.round("score", 6).alias("score"))
 
 

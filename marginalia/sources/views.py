@@ -13,8 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def papers(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "source"), table(spark, d, "labels").select("doc_id", "quality")
+def documents(spark: SparkSession, d: str, ids: list[int] | None = None) -> DataFrame:
+    """The documents, or the given ones: the filter is on the stored column, so the scan skips row groups."""
+    rows = table(spark, d, "documents")
+    return rows.where(F.col("doc_id").isin(*ids)) if ids else rows
+
+
+def papers(spark: SparkSession, d: str, ids: list[int] | None = None) -> DataFrame:
+    docs, labels = documents(spark, d, ids).select("doc_id", "lang", "source"), table(spark, d, "labels").select("doc_id", "quality")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         F.col("doc_id").cast("string").alias("doc_id"),
@@ -25,8 +31,8 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    cut = table(spark, d, "documents").select("doc_id", F.posexplode(X.pieces(F.col("text"))).alias("pos", "text"))
+def chunks(spark: SparkSession, d: str, ids: list[int] | None = None) -> DataFrame:
+    cut = documents(spark, d, ids).select("doc_id", F.posexplode(X.pieces(F.col("text"))).alias("pos", "text"))
     page, doc_id = (F.col("pos") + 1).cast("int"), F.col("doc_id").cast("string")
     return cut.select(F.concat_ws("-", doc_id, page.cast("string")).alias("chunk_id"), doc_id.alias("doc_id"), page.alias("page"), "text")
 
