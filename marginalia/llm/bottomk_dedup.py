@@ -14,11 +14,13 @@ linked; groups are the connected components.
 4. Documents that meet in a list of more than LONG_LIST are sketched anew with FINE
    values, where the same bound is much tighter, and listed among themselves; a pair that
    meets in a long list only meets there again.
-5. Overlaps in the lists generate pairs; the union sketch's estimate filters them; exact
-   Jaccard on the full shingle sets verifies.  A group of copies is not expanded: each
-   list first pairs its members with one hub, again with other hubs while many pairs are
-   open; then all pairs that still lie in different components are generated, those of a
-   list's smaller components with the rest.  Skipped pairs join members of one component.
+5. Overlaps in the lists generate pairs.  A group of copies is not expanded: each list
+   pairs its members with one hub; the union sketch's estimate filters these pairs, exact
+   Jaccard on the full shingle sets verifies them, and what is linked is one component.
+6. Lists that still hold several components are gathered by their largest one.  Each
+   gathering is dealt into blocks of about BLOCK shingles, and every two blocks meet in a
+   task that counts the exact overlaps of members of different components from postings
+   and emits only links.  Skipped pairs join members of one component.
 
 Words are maximal runs outside 0x20 and 0x09-0x0D, A-Z lower-cased.  Fewer than five
 words: the whole sequence is the one shingle.  Null, empty and blank texts have none
@@ -47,8 +49,8 @@ FINE = 512
 LONG_LIST = 32
 #: Retained values in common of a linked pair whose sketches are samples: Binomial(k, 0.75) falls below with a chance near 2e-9.
 SAMPLE_COMMON = {SKETCH: 24, FINE: 324}
-#: Hub rounds go on while a list member has more open pairs than this on average.
-OPEN_PAIRS, HUB_ROUNDS = 8, 4
+#: Shingles of a block whose members are compared in memory (two blocks a task).
+BLOCK = 300_000
 _U = np.uint64
 
 
@@ -131,9 +133,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
     return met.where(F.col("k") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("k")) * PERCENT).select("a", "b")
 
 
-def _labelled(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
-    if groups is None:
-        return lists.withColumn("component", F.col("id"))
+def _labelled(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -143,32 +143,64 @@ def _open_lists(lists: DataFrame) -> DataFrame:
     return lists.join(mixed, "value")
 
 
-def _open_pairs(lists: DataFrame) -> tuple[int, int]:
-    """(members, pairs of different components) of the open lists, from counts."""
-    sizes = lists.groupBy("value", "component").agg(F.count("*").alias("c"))
-    one = sizes.groupBy("value").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    row = one.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("p")).first()
-    return row["n"] or 0, int(row["p"] or 0)
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Each list's members paired with its smallest id."""
+    hubs = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("hub"))
+    met = lists.join(hubs, "value").where(F.col("id") != F.col("hub.id")).where(_alike("n", "hub.n"))
+    return met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def hub_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Each list's members paired with one hub of another component."""
-    order = F.xxhash64(F.lit(seed), "value", "id") if seed else F.col("id")
-    hubs = lists.groupBy("value").agg(F.min_by(F.struct("id", "n", "component"), order).alias("hub"))
-    met = lists.join(hubs, "value").where(F.col("component") != F.col("hub.component")).where(_alike("n", "hub.n"))
-    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-
-
-def remaining_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of a list that lie in different components: its smaller components' members with all members."""
+def gatherings(lists: DataFrame) -> DataFrame:
+    """(gathering, id, n, component): members of the open lists, once for each largest component that they meet."""
     sizes = lists.groupBy("value", "component").count()
-    largest = sizes.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    few = lists.join(largest, "value").where(F.col("component") != F.col("largest"))
-    x, y = few.alias("x"), lists.join(largest, "value").alias("y")
-    apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
-    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
-    met = x.join(y, apart & once & _alike("x.n", "y.n"))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    largest = sizes.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("gathering"))
+    return lists.join(largest, "value").select("gathering", "id", "n", "component").distinct()
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different components of a gathering, exact, one for two components and blocks."""
+    sized = members.groupBy("gathering").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sized, "gathering").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.select("gathering", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    units = met.select("gathering", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "own")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        _, i, j = (k.as_py() for k in key)
+        a, b = linked(table, i, j)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    full = units.join(sets, "id").select("gathering", "i", "j", "id", "component", "own", "shingles")
+    return full.groupBy("gathering", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def linked(table: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked ids of different components between blocks i and j (within i where both are one)."""
+    ids, component, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
+    lists = table.column("shingles").combine_chunks()
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    code = np.unique(lists.values.to_numpy(), return_inverse=True)[1][offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    n = np.diff(offsets)
+    row = np.repeat(np.arange(len(ids)), n)
+    by = np.argsort(code, kind="stable")
+    postings, begin = row[by], np.concatenate(([0], np.cumsum(np.bincount(code, minlength=1 + int(code.max(initial=0))))))
+    names, label = np.unique(component, return_inverse=True)
+    few = label != np.argmax(np.bincount(label))
+    out_a, out_b, seen = [], [], set()
+    for d in np.flatnonzero(few).tolist():
+        mine = code[offsets[d] : offsets[d + 1]]
+        rows = postings[tk.ragged_gather(begin[mine], begin[mine + 1] - begin[mine])]
+        common = np.bincount(rows, minlength=len(ids))
+        found = (common * 100 >= (n + n[d] - common) * PERCENT) & (common > 0) & (label != label[d])
+        if i != j:
+            found &= own != own[d]
+        for e in np.flatnonzero(found).tolist():
+            pair = (min(label[d], label[e]), max(label[d], label[e]))
+            if pair not in seen:
+                seen.add(pair)
+                out_a.append(min(ids[d], ids[e]))
+                out_b.append(max(ids[d], ids[e]))
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -186,30 +218,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     lists = scratch.written(lists, "all-lists")
     scratch.drop(coarse)
 
-    edges: DataFrame | None = None
-    found: DataFrame | None = None
-    for step in range(HUB_ROUNDS + 1):
-        members = scratch.written(_open_lists(_labelled(lists, found)), "open-lists")
-        n, open_pairs = _open_pairs(members)
-        if not open_pairs:
-            scratch.drop(members)
-            break
-        last = step == HUB_ROUNDS or (step > 0 and open_pairs <= OPEN_PAIRS * n)
-        pairs = scratch.written(remaining_pairs(members) if last else hub_pairs(members, step), "pairs")
-        more = verified(pairs, nodes, sets)
-        following = scratch.written(more if edges is None else edges.select("a", "b").union(more), "links")
-        scratch.drop(members, pairs)
-        if edges is not None:
-            scratch.drop(edges)
-        edges = following
-        found = components(edges)
-        if last:
-            break
-    scratch.drop(lists, sets)
+    pairs = scratch.written(hub_pairs(lists), "pairs")
+    edges = scratch.written(verified(pairs, nodes, sets), "links")
+    found = components(edges)
+    members = scratch.written(gatherings(_open_lists(_labelled(lists, found))), "gatherings")
+    more = scratch.written(block_links(members, sets), "more-links")
+    all_found = components(edges.select("a", "b").union(more.select("a", "b")))
+    scratch.drop(lists, sets, pairs, edges, members, more)
 
     ids = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id")
-    ids = ids.join(found, "id", "left") if found is not None else ids.withColumn("component", F.col("id"))
-    ids = ids.select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    ids = ids.join(all_found, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "h1", "h2").join(ids, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
