@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
