@@ -209,11 +209,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     groups = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     classes = scratch.written(groups.withColumnRenamed("n_shingles", "n"), "classes")
-    nodes = classes.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("x")).select("id", "x.n", "x.sketch")
+    nodes = classes.select("id", "n", "sketch")
     coarse = scratch.written(inverted_lists(nodes), "coarse-lists")
-    sets = scratch.written(full_sets(documents, id_filter(coarse.select("id").distinct())), "sets")
-    long = coarse.where(F.col("members") > LONG_LIST).select("id").distinct()
-    fine = sets.join(long, "id").select("id", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, FINE).alias("sketch"))
+    sets = scratch.written(full_sets(documents, id_filter(coarse.select("id"))), "sets")
+    long = coarse.where(F.col("members") > LONG_LIST).select("id")
+    fine = sets.join(long, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, FINE).alias("sketch"))
     lists = coarse.where(F.col("members") <= LONG_LIST).unionByName(inverted_lists(fine, FINE)).select("value", "id", "n")
     lists = scratch.written(lists, "all-lists")
     scratch.drop(coarse)
