@@ -35,6 +35,12 @@ ROWS = 1 << 20
 HASHES = 3
 MIN_SHARE = 1e-5
 RELATIVE = 0.35
+#: Text whose n-grams a task holds at once; they take some fifty times the bytes.
+SLICE_BYTES = 1 << 19
+#: Counted n-grams that a task adds up at least before it merges them.
+MERGE_ROWS = 500_000
+#: The bits of each byte value.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _U = np.uint64
 
 
@@ -89,15 +95,16 @@ def grams(part: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_doc), np.concatenate(out_hash), has_letter
 
 
-def probes(hashes: np.ndarray) -> list[np.ndarray]:
+def probes(hashes: np.ndarray) -> Iterator[np.ndarray]:
     """The rows of each n-gram, by double hashing."""
     one, two = hashes & _U(0xFFFFFFFF), (hashes >> _U(32)) | _U(1)
-    return [((one + _U(i) * two) & _U(ROWS - 1)).astype(np.int64) for i in range(HASHES)]
+    for i in range(HASHES):
+        yield ((one + _U(i) * two) & _U(ROWS - 1)).view(np.int64)
 
 
 @dataclass
 class Filters:
-    """languages, sorted; rows: ROWS x words of 64 languages; rates: false positives; default: most frequent language."""
+    """languages, sorted; rows: ROWS bytes for every 8 languages; rates: false positives; default: most frequent language."""
 
     languages: list[str]
     rows: np.ndarray
@@ -109,14 +116,12 @@ class Filters:
         n, k = part.size, len(self.languages)
         if not k:
             return ["und"] * n, np.zeros(n)
-        at = probes(hashes)
-        hits = np.zeros((n, k))
-        for word in range(self.rows.shape[1]):
-            mask = self.rows[at[0], word]
-            for rows in at[1:]:
-                mask = mask & self.rows[rows, word]
-            for bit in range(min(64, k - 64 * word)):
-                hits[:, 64 * word + bit] = np.bincount(doc[(mask >> _U(bit)) & _U(1) > 0], minlength=n)
+        masks: list[np.ndarray] = []
+        for at in probes(hashes):
+            found = [rows[at] for rows in self.rows]
+            masks = [m & f for m, f in zip(masks, found, strict=True)] if masks else found
+        by_mask = [np.bincount(doc * 256 + m, minlength=256 * n).reshape(n, 256) for m in masks]  # texts of a batch x byte values
+        hits = np.concatenate([c @ _BITS for c in by_mask], axis=1)[:, :k]
         total = np.bincount(doc, minlength=n)[:, None]
         true = np.clip((hits - total * self.rates) / (1 - self.rates), 0, None)
         best = np.where(true.max(axis=1) > 0, true.argmax(axis=1), self.default)
@@ -137,6 +142,7 @@ def learn(documents: DataFrame) -> Filters:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pd.DataFrame] = []
         codes: dict[str, int] = {}
+        held, most = 0, MERGE_ROWS
 
         def merged() -> pd.DataFrame:
             return pd.concat(kept).groupby(["lang", "gram"], sort=False, as_index=False)["n"].sum()
@@ -144,14 +150,17 @@ def learn(documents: DataFrame) -> Filters:
         for batch in batches:
             texts, langs = tk.take_columns(batch, ["text", "lang"])
             code = np.array([codes.setdefault(name, len(codes)) for name in langs.to_pylist()], dtype=np.int64)
-            for part in tk.slices(texts):
+            for part in tk.slices(texts, SLICE_BYTES):
                 doc, hashes, _ = grams(part)
                 lang = code[part.lo + doc]
                 for one in np.unique(lang).tolist():
                     number, distinct = pd.factorize(hashes[lang == one])
                     kept.append(pd.DataFrame({"lang": np.int32(one), "gram": distinct.view(np.int64), "n": np.bincount(number, minlength=len(distinct))}))
-            if len(kept) > 12:
-                kept = [merged()]
+                    held += len(distinct)
+                if held > most:
+                    kept = [merged()]
+                    held = len(kept[0])
+                    most = max(MERGE_ROWS, 2 * held)
         if kept:
             total, names = merged(), list(codes)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in total["lang"].tolist()], pa.string()), pa.array(total["gram"].to_numpy()), pa.array(total["n"].to_numpy(np.int64))], names=["lang", "gram", "n"])
@@ -163,7 +172,7 @@ def learn(documents: DataFrame) -> Filters:
     languages = sorted(totals)
     if not languages:
         counts.unpersist()
-        return Filters([], np.zeros((ROWS, 1), _U), np.zeros(0), 0)
+        return Filters([], np.zeros((1, ROWS), np.uint8), np.zeros(0), 0)
     number = F.create_map(*[F.lit(v) for pair in ((name, i) for i, name in enumerate(languages)) for v in pair])
     total = F.create_map(*[F.lit(v) for pair in totals.items() for v in pair])
     shares = F.transform("by", lambda x: F.struct(number[x["lang"]].alias("lang"), (x["n"] / total[x["lang"]]).alias("share")))
@@ -172,22 +181,22 @@ def learn(documents: DataFrame) -> Filters:
     low = F.col("gram").bitwiseAND(0xFFFFFFFF)
     high = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))
     places = member.select("lang", F.explode(F.array(*[(low + i * high).bitwiseAND(ROWS - 1) for i in range(HASHES)])).alias("row"))
-    bits = places.groupBy("row", F.floor(F.col("lang") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(lang % 64 as int)))").alias("mask")).toPandas()  # at most ROWS rows a word
+    bits = places.groupBy("row", F.floor(F.col("lang") / 8).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(lang % 8 as int)))").alias("mask")).toPandas()  # at most ROWS rows a byte
     counts.unpersist()
-    table = np.zeros((ROWS, (len(languages) + 63) // 64), dtype=_U)
-    table[bits["row"].to_numpy(np.int64), bits["word"].to_numpy(np.int64)] = bits["mask"].to_numpy(np.int64).view(_U)
-    fill = np.array([((table[:, i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(languages))])
+    table = np.zeros(((len(languages) + 7) // 8, ROWS), dtype=np.uint8)
+    table[bits["byte"].to_numpy(np.int64), bits["row"].to_numpy(np.int64)] = bits["mask"].to_numpy(np.uint8)
+    fill = np.array([((table[i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
     return Filters(languages, table, np.minimum(fill**HASHES, 0.99), max(range(len(languages)), key=lambda i: (totals[languages[i]], -i)))
 
 
 def predict(documents: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred and score for every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(filters)  # ROWS * 8 bytes a 64 languages
+    shared = documents.sparkSession.sparkContext.broadcast(filters)  # ROWS bytes for every 8 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = tk.take_columns(batch, ["doc_id", "text"])
-            for part in tk.slices(texts):
+            for part in tk.slices(texts, SLICE_BYTES):
                 lang, score = shared.value.decide(part)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -203,7 +212,7 @@ def recognised(documents: DataFrame, filters: Filters, least_score: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for part in tk.slices(batch.column(place)):
+            for part in tk.slices(batch.column(place), SLICE_BYTES):
                 lang, score = shared.value.decide(part)
                 keep[part.lo : part.hi] = (np.array(lang, dtype=object) != "und") & (score >= least_score)
             yield batch.filter(pa.array(keep))
