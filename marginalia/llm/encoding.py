@@ -21,6 +21,9 @@ from marginalia.llm import textkernel as tk
 
 #: Distinct chunks of each of the two generations that a worker remembers.
 MEMO_ENTRIES = 400_000
+#: Text that a task encodes at once, and chunks in one call of the library.
+SLICE_BYTES = 1 << 20
+CALL_CHUNKS = 8192
 
 
 _LETTER = np.zeros(256, bool)
@@ -58,28 +61,34 @@ def chunk_starts(part: tk.Slice) -> np.ndarray:
 
 
 class _Pool:
-    """Ids of remembered chunks in one flat array."""
+    """Ids of remembered chunks in one flat array, found by binary search among sorted hashes."""
 
     def __init__(self) -> None:
-        self.at: dict[int, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        get = self.at.get
-        return np.array([get(h, -1) for h in hashes.tolist()], dtype=np.int64)
+        """The place of each chunk, -1 if unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.place[at], -1).astype(np.int64)
 
     def add(self, hashes: np.ndarray, length: np.ndarray, flat: np.ndarray) -> np.ndarray:
         where = np.arange(len(self.start), len(self.start) + len(hashes))
-        self.at.update(zip(hashes.tolist(), where.tolist(), strict=True))
+        by = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[by])
+        self.hashes, self.place = np.insert(self.hashes, at, hashes[by]), np.insert(self.place, at, where[by])
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
+        self.length = np.concatenate((self.length, length.astype(np.int32)))
         self.flat = np.concatenate((self.flat, flat))
         return where
 
     def ids(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        length = self.length[where]
+        length = self.length[where].astype(np.int64)
         return length, self.flat[tk.ragged_gather(self.start[where], length)]
 
 
@@ -100,7 +109,7 @@ class ChunkEncoder:
             return np.zeros(0, np.int32), np.zeros(part.size, np.int64)
         ends = np.concatenate((starts[1:], [len(part.data)]))
         code, distinct = pd.factorize(tk.span_hashes(part.data, starts, ends))
-        if len(self.young.at) >= MEMO_ENTRIES:
+        if len(self.young.hashes) >= MEMO_ENTRIES:
             self.young, self.old = _Pool(), self.young
         where = self.young.find(distinct)
         missing = np.flatnonzero(where < 0)
@@ -112,14 +121,20 @@ class ChunkEncoder:
             fresh = missing[before < 0]
             seen = np.zeros(len(distinct), np.int64)
             seen[code[::-1]] = np.arange(len(code))[::-1]
-            raw = part.data.tobytes()
-            spans = zip(starts[seen[fresh]].tolist(), ends[seen[fresh]].tolist(), strict=True)
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
-            length = np.array([len(x) for x in found], np.int64)
-            where[fresh] = self.young.add(distinct[fresh], length, np.array(list(chain.from_iterable(found)), np.int32))
+            where[fresh] = self.young.add(distinct[fresh], *self._called(part, starts[seen[fresh]], ends[seen[fresh]]))
         length, ids = self.young.ids(where[code])
         return ids, np.bincount(tk.owner(part.offsets, starts), weights=length, minlength=part.size).astype(np.int64)
 
+    def _called(self, part: tk.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of the given chunks from the library."""
+        raw, lengths, ids = part.data.tobytes(), [], []
+        for lo in range(0, len(starts), CALL_CHUNKS):
+            spans = zip(starts[lo : lo + CALL_CHUNKS].tolist(), ends[lo : lo + CALL_CHUNKS].tolist(), strict=True)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
+            lengths.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.array(list(chain.from_iterable(found)), np.int32))
+        return (np.concatenate(lengths), np.concatenate(ids)) if lengths else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
     def encode_with_end(self, part: tk.Slice, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, with ``end_id`` after each document."""
         ids, lengths = self.encode(part)

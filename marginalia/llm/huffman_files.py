@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import scratch
 from marginalia.llm import textkernel as tk
-from marginalia.llm.encoding import worker_encoder
+from marginalia.llm.encoding import SLICE_BYTES, worker_encoder
 
 CODE_BITS = 18
 CHECKPOINT = 128
@@ -131,7 +131,7 @@ def tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_column:
         encoder = worker_encoder(tokenizer_path)
         for batch in batches:
             doc_ids, texts = tk.take_columns(batch, ["doc_id", "text"])
-            for part in tk.slices(texts):
+            for part in tk.slices(texts, SLICE_BYTES):
                 ids, lengths = encoder.encode_with_end(part, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(part.lo, part.size), pa.array(lengths), tk.binary_array(ids.astype("<u2"), lengths)],

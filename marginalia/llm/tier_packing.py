@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from marginalia.llm import textkernel as tk
-from marginalia.llm.encoding import worker_encoder
+from marginalia.llm.encoding import SLICE_BYTES, worker_encoder
 
 TIERS = (4096, 2048, 1024, 512, 256)
 GROUP_TOKENS = 8 * 4096
@@ -154,7 +154,7 @@ def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tu
         for batch in batches:
             doc_ids, texts = tk.take_columns(batch, ["doc_id", "text"])
             doc_ids = doc_ids.to_pylist()
-            for part in tk.slices(texts):
+            for part in tk.slices(texts, SLICE_BYTES):
                 ids, lengths = encoder.encode_with_end(part, end_id)
                 pool, windows = Pool(), []
                 for piece in left:
