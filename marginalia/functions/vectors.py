@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,14 @@ def similarity(distance: Column) -> Column:
     return 1.0 / (1.0 + F.greatest(distance, F.lit(0.0)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is computed once a row: inside a lambda an expression runs for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hash_vector(text: Column, dimension: int = 16) -> Column:
     """Deterministic unit vector: bytes of SHA-256 of ``counter:text`` over 255, cut to the dimension."""
     digests = [F.sha2(F.concat(F.lit(f"{i}:"), text), 256) for i in range((dimension + 31) // 32)]
-    hexed = F.concat(*digests)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255)
-    length = norm(raw)
-    return F.transform(raw, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    raw = bound(F.concat(*digests), lambda h: F.transform(places, lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 255))
+    return bound(raw, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))))
