@@ -5,10 +5,14 @@ is a protected entity.  Corpus co-occurrence then estimates how strongly a term
 of letters) reveals an entity e: with p(e) the share of documents that hold e, and
 p(e|t) the documents that hold t within CONTEXT terms of e over all documents that hold
 t, the disclosure is PMI(t;e) / IC(e) = 1 + log p(e|t) / -log p(e); 1 means that t
-names e.  A term with disclosure of at least GENERALISE for some entity, seen beside it
-in at least MIN_CONTEXTS different contexts (so copies of one passage count once), gets
-a span of kind ``term`` wherever it occurs: generalised to [TERM], or removed from
-REMOVE on.  Base spans stay as they are and become [EMAIL], [IP], [CARD], [PHONE].
+names e.  A term with disclosure of at least GENERALISE for some entity gets a span of
+kind ``term`` wherever it occurs: generalised to [TERM], or removed from REMOVE on.  Base
+spans stay as they are and become [EMAIL], [IP], [CARD], [PHONE].
+
+p(e|t) is smoothed, so that an entity of one document counts with what evidence it has:
+(k + SMOOTH p(e)) / (k + m + SMOOTH), with k the different contexts in which t stands
+beside e (all of a document; copies of one passage count once) and m the documents that
+hold t but not beside e.
 
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased, of at least
 MIN_TERM bytes.  Positions are code points, ends exclusive.  Null and empty texts have
@@ -34,7 +38,7 @@ from marginalia.llm import textkernel as tk
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 6
-MIN_CONTEXTS = 3
+SMOOTH = 0.5
 MIN_TERM = 3
 GENERALISE = 0.9
 REMOVE = 0.98
@@ -149,7 +153,8 @@ def _columns(documents: DataFrame) -> DataFrame:
 
 
 def cooccurrences(documents: DataFrame) -> DataFrame:
-    """One row a document, entity and term beside it (term 0: the entity's presence): entity, term, context."""
+    """One row a document, entity, term beside it (term 0: the entity's presence) and context; ``first`` is 1 in
+    one row of each document, entity and term, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,18 +170,18 @@ def cooccurrences(documents: DataFrame) -> DataFrame:
                     for a, _, b in own:
                         outside &= (end <= a) | (begin >= b)
                     begin, code = begin[outside], code[outside]
-                    met: dict[tuple[int, int], int] = {}
+                    met: dict[tuple[int, int], set[int]] = {}
                     for span in own:
                         e, at = _hash_text(entity(text, span)), int(np.searchsorted(begin, span[0]))
                         near = code[max(0, at - CONTEXT) : at + CONTEXT]
                         context = int(tk.mix64(np.cumsum(near.view(_U) * np.arange(1, len(near) + 1, dtype=_U)))[-1:].view(np.int64).sum())
-                        met[e, 0] = 0
+                        met[e, 0] = {0}
                         for t in near.tolist():
-                            met.setdefault((e, t), context)
-                    rows += [(e, t, c) for (e, t), c in met.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["entity", "term", "context"])
+                            met.setdefault((e, t), set()).add(context)
+                    rows += [(e, t, c, int(i == 0)) for (e, t), seen in met.items() for i, c in enumerate(seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["entity", "term", "context", "first"])
 
-    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entity long, term long, context long")
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entity long, term long, context long, first long")
 
 
 def _sorted_hashes(terms: DataFrame, most: int) -> np.ndarray | None:
@@ -211,17 +216,18 @@ def document_frequencies(documents: DataFrame, terms: DataFrame, most: int = BRO
     return counted if wanted is not None else counted.join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def disclosing_terms(documents: DataFrame, threshold: float = GENERALISE, min_contexts: int = MIN_CONTEXTS, most: int = BROADCAST_TERMS) -> DataFrame:
+def disclosing_terms(documents: DataFrame, threshold: float = GENERALISE, smooth: float = SMOOTH, most: int = BROADCAST_TERMS) -> DataFrame:
     """term and its highest disclosure of any entity, for the terms at or above the threshold."""
-    met = cooccurrences(documents).groupBy("entity", "term", "context").count()
-    pairs = scratch.written(met.groupBy("entity", "term").agg(F.sum("count").alias("n"), F.count("*").alias("contexts")), "cooccurrences")
+    met = cooccurrences(documents).groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
+    pairs = scratch.written(met.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")), "cooccurrences")
     total = documents.count()
     present = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
-    near = pairs.where((F.col("term") != 0) & (F.col("contexts") >= min_contexts))
+    near = pairs.where("term != 0")
     df = document_frequencies(documents, near.select("term").distinct(), most)
     told = near.join(present, "entity").join(df, "term").where(F.col("n_entity") < total)
-    share = F.least(F.col("n") / F.col("df"), F.lit(1.0))
-    score = 1 + F.log2(share) / -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
+    held = F.col("n_entity") / F.lit(float(max(total, 1)))
+    share = (F.col("contexts") + smooth * held) / (F.col("contexts") + F.greatest(F.col("df") - F.col("n"), F.lit(0)) + smooth)
+    score = 1 + F.log2(share) / -F.log2(held)
     return told.select("term", score.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 

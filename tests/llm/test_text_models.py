@@ -69,6 +69,26 @@ def test_terms_that_name_an_entity(spark, most):
     assert clean[200] is None and clean[201] == "" and clean[25] == dict(rows)[25]
 
 
+@pytest.mark.parametrize("most", [disclosure.BROADCAST_TERMS, 0])
+def test_terms_of_entities_in_one_or_two_documents(spark, most):
+    rng = random.Random(16)
+    filler = lambda n: " ".join(rng.choice(["some", "plain", "words", "here", "more", "text"]) for _ in range(n))
+    rows = [(0, f"{filler(8)} Quixby writes from one@rare.example {filler(8)}")]
+    rows += [(1 + i, f"{filler(7)} call Brandle on +49 30 1234567 {filler(7)}") for i in range(2)]
+    rows += [(5, f"{filler(9)} Mumford 10.1.2.3 {filler(20)} 10.1.2.3 Mumford {filler(9)}"), (6, f"Mumford and Quixby {filler(3)}")]
+    rows += [(10 + i, filler(20)) for i in range(300)]
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitised(frame(spark, rows), most).collect()}
+    assert "Brandle" not in clean[1] + clean[2] and "writes" not in clean[0] and "Mumford" not in clean[5] + clean[6]
+    assert "Quixby" in clean[0] + clean[6]  # half of its documents hold it without the entity: too much for 8 bits
+    assert all(clean[i] == t for i, t in rows if i >= 10)
+
+
+def test_all_contexts_of_a_document_count_and_copies_do_not(spark):
+    beside = [(0, "Tarn a@b.cc one two three four five six seven eight nine ten a@b.cc Tarn"), (1, "copy of c@d.ee"), (2, "copy of c@d.ee")]
+    rows = disclosure.cooccurrences(frame(spark, beside)).groupBy("entity", "term").agg(F.sum("first").alias("n"), F.countDistinct("context").alias("contexts")).where("term != 0")
+    assert {(r["n"], r["contexts"]) for r in rows.collect()} == {(1, 2), (1, 1), (2, 1)}
+
+
 def test_private_data_in_awkward_documents(documents):
     assert disclosure.digests(documents).count() == documents.count()
     assert disclosure.sanitised(documents.limit(0)).count() == 0
