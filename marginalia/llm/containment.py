@@ -14,8 +14,9 @@ and documents are never shuffled; larger ones take a join on the retained values
 
 Items and documents with fewer than five words have their whole sequence as one
 shingle.  Null, empty and blank texts have no shingles: such items are contained in
-nothing, such documents contain nothing.  Repeated rows are answered each; repeated
-item_ids count as one item of the united set's first row by text.
+nothing, such documents contain nothing.  Repeated documents are answered each.  Items are
+told apart by item_id (null is one) and shingle set: texts that share an item_id are each
+searched and give a row each; rows with the same set under one item_id are one item.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def least_hits(size: int, percent: int = MIN_PERCENT, sketch: int = SKETCH) -> i
 
 
 def item_sets(items: DataFrame) -> DataFrame:
-    """item_id and its sorted distinct shingle hashes (int64 views)."""
-    one = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).groupBy("item_id").agg(F.min("text").alias("text"))
+    """item_id and sorted distinct shingle hashes (int64 views) of every item."""
+    one = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +59,7 @@ def item_sets(items: DataFrame) -> DataFrame:
                 _, values, counts = tk.distinct_per_doc(*tk.shingles(part, WIDTH), part.size)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), tk.list_array(values.view(np.int64), counts, pa.int64())], names=["item_id", "shingles"])
 
-    return one.mapInArrow(run, "item_id long, shingles array<long>").where("size(shingles) > 0")
+    return one.mapInArrow(run, "item_id long, shingles array<long>").where("size(shingles) > 0").distinct()
 
 
 @dataclass
@@ -134,7 +135,7 @@ def contained(documents: DataFrame, items: DataFrame, percent: int = MIN_PERCENT
     """doc_id, item_id, n_item, n_shared of every contained (document row, item)."""
     index = _small_index(items, percent, broadcast_shingles)
     if index is None:
-        return _by_join(documents, item_sets(items), percent)
+        return _by_join(documents, item_sets(items), percent).drop("doc_key")
     shared = documents.sparkSession.sparkContext.broadcast(index)
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -151,13 +152,14 @@ def contained(documents: DataFrame, items: DataFrame, percent: int = MIN_PERCENT
 
 
 def _by_join(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For benchmarks beyond the broadcast bound: retained values meet in a join.
+    """For benchmarks beyond the broadcast bound: retained values meet in a join; the pairs and ``doc_key``.
 
-    Documents are keyed by (doc_id, text hash); hashes above every threshold stay behind."""
+    Documents are keyed by (doc_id, text hash), items by (item_id, set hash); hashes above every threshold stay behind."""
+    sets = sets.withColumn("item_key", F.xxhash64("shingles"))
     need = F.when(F.size("shingles") <= SKETCH, F.ceil(F.size("shingles") * percent / 100)).otherwise(least_hits(SKETCH + 1, percent))
     flip = F.lit(-(1 << 63)).cast("long")  # orders int64 views as unsigned
     ranked = F.slice(F.array_sort(F.transform("shingles", lambda x: x.bitwiseXOR(flip))), 1, SKETCH)
-    retained = sets.select("item_id", F.size("shingles").alias("n_item"), need.alias("need"), F.explode(ranked).alias("value"))
+    retained = sets.select("item_id", "item_key", F.size("shingles").alias("n_item"), need.alias("need"), F.explode(ranked).alias("value"))
     top = retained.agg(F.max("value")).first()[0]
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -171,10 +173,11 @@ def _by_join(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     hashed = columns.mapInArrow(run, "doc_id long, text string, vals array<long>").select("doc_id", F.xxhash64("text").alias("doc_key"), "vals")
     low = hashed.select("doc_id", "doc_key", F.explode("vals").alias("value")).where(F.col("value") <= top).distinct()
-    pairs = low.join(retained, "value").groupBy("doc_id", "doc_key", "item_id", "n_item", "need").count().where("count >= need")
-    docs = hashed.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.doc_key") == F.col("p.doc_key"))).select("d.doc_id", "vals", "item_id", "n_item")
-    own = sets.select("item_id", F.transform("shingles", lambda x: x.bitwiseXOR(flip)).alias("shingles"))
-    verified = docs.join(own, "item_id").select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect("vals", "shingles")).cast("long").alias("n_shared"))
+    pairs = low.join(retained, "value").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item", "need").count().where("count >= need")
+    docs = hashed.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.doc_key") == F.col("p.doc_key"))).select("d.doc_id", "d.doc_key", "vals", "item_id", "item_key", "n_item")
+    own = sets.select(F.col("item_id").alias("own_id"), F.col("item_key").alias("own_key"), F.transform("shingles", lambda x: x.bitwiseXOR(flip)).alias("shingles"))
+    same = F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("item_key") == F.col("own_key"))
+    verified = docs.join(own, same).select("doc_id", "doc_key", "item_id", F.col("n_item").cast("long").alias("n_item"), F.size(F.array_intersect("vals", "shingles")).cast("long").alias("n_shared"))
     return verified.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
 
 

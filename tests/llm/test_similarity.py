@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import bottomk_dedup, containment
 from marginalia.llm.components import components
@@ -112,3 +113,16 @@ def test_containment_of_awkward_documents(spark, documents):
     assert sorted((r["doc_id"], r["item_id"]) for r in containment.contained(documents, items).collect()) == [(5, 1), (13, 1)]
     assert containment.clean(documents, items).count() == documents.count() - 2
     assert containment.contained(documents, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [containment.BROADCAST_SHINGLES, 0])
+def test_every_item_under_a_repeated_or_null_id_is_searched(spark, bound):
+    rng = random.Random(15)
+    prose = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    texts = [prose() for _ in range(4)]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (1, texts[1].upper()), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    docs = frame(spark, [(i, f"{prose()} {t} {prose()}") for i, t in enumerate(texts)] + [(7, prose())])
+    found = containment.contained(docs, items, broadcast_shingles=bound)
+    assert found.columns == ["doc_id", "item_id", "n_item", "n_shared"]
+    assert sorted(tuple(r) for r in found.select("doc_id", F.coalesce("item_id", F.lit(-1)), "n_shared").collect()) == [(0, 1, 36), (1, 1, 36), (2, -1, 36), (3, -1, 36)]
+    assert [r["doc_id"] for r in containment.clean(docs, items, broadcast_shingles=bound).collect()] == [7]
