@@ -185,8 +185,9 @@ def clean(documents: DataFrame, items: DataFrame, percent: int = MIN_PERCENT, br
     """The documents (all columns) that contain no item."""
     index = _small_index(items, percent, broadcast_shingles)
     if index is None:
-        found = _by_join(documents, item_sets(items), percent).select(F.col("doc_id").alias("_leak_id")).distinct()
-        return documents.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")), "left_anti")
+        found = _by_join(documents, item_sets(items), percent).select(F.col("doc_id").alias("_leak_id"), F.col("doc_key").alias("_leak_key")).distinct()
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_leak_key"))
+        return documents.join(found, same, "left_anti")
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

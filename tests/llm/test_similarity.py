@@ -126,3 +126,12 @@ def test_every_item_under_a_repeated_or_null_id_is_searched(spark, bound):
     assert found.columns == ["doc_id", "item_id", "n_item", "n_shared"]
     assert sorted(tuple(r) for r in found.select("doc_id", F.coalesce("item_id", F.lit(-1)), "n_shared").collect()) == [(0, 1, 36), (1, 1, 36), (2, -1, 36), (3, -1, 36)]
     assert [r["doc_id"] for r in containment.clean(docs, items, broadcast_shingles=bound).collect()] == [7]
+
+
+@pytest.mark.parametrize("bound", [containment.BROADCAST_SHINGLES, 0])
+def test_clean_drops_only_leaking_rows_of_null_and_repeated_ids(spark, bound):
+    item = "one two three four five six seven"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"so {item} it is"), (None, "clean without an id"), (None, None), (3, item), (3, "clean beside a leak"), (3, None), (4, item), (4, item)]
+    clean = containment.clean(frame(spark, rows), items, broadcast_shingles=bound)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in clean.collect()))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
