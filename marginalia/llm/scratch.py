@@ -41,6 +41,15 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:

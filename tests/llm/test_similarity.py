@@ -56,6 +56,7 @@ def corpus(seed, n=160, passage=60):
 def test_groups_like_brute_force(spark, monkeypatch, seed):
     if seed == 2:
         monkeypatch.setattr(bottomk_dedup, "LONG_LIST", 4)
+        monkeypatch.setattr(bottomk_dedup, "BLOCK", 150)  # hubs in several copies, gatherings in several blocks
     rows = corpus(seed)
     want, sets = groups(rows)
     got = {r["doc_id"]: r for r in bottomk_dedup.near_duplicates(frame(spark, rows)).collect()}
@@ -65,6 +66,19 @@ def test_groups_like_brute_force(spark, monkeypatch, seed):
     assert sorted(r[0] for r in kept) == sorted(d for d in want if want[d] == d)
 
 
+def test_rows_that_repeat_a_doc_id(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(9999)}" for _ in range(30)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (9, a), (9, a), (4, c), (4, c), (None, c), (None, c), (7, ""), (7, ""), (8, None), (2, "few words"), (2, "few words")]
+    docs = frame(spark, rows).withColumns({c: F.lit("clash") for c in ("_id", "_key", "_found", "_dropped_id")})
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in bottomk_dedup.near_duplicates(docs).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (9, 3, False), (4, 4, True), (None, None, True), (7, 7, True), (8, 8, True), (2, 2, True)}
+    kept = bottomk_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, docs.where("text is null or text = '' or doc_id is null").select("doc_id", "text").collect() + [type(kept.first())(doc_id=i, text=t) for i, t in ((5, a), (3, b), (4, c), (2, "few words"))]))
+    assert bottomk_dedup.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_awkward_documents(documents):
     rows = bottomk_dedup.near_duplicates(documents).collect()
     assert len(rows) == documents.count()
