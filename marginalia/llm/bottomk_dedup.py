@@ -119,19 +119,22 @@ def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def inverted_lists(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
-    """(value, node, n, members): each node under its rarest retained values, lists of one left out."""
+    """(value, node, n, members, hub, n_hub): each node under its rarest retained values, lists of one left out.
+
+    What is counted a value is written before it is joined, so that Spark can split a frequent value's rows."""
     sized = nodes.select("node", "n", F.size("sketch").alias("s"), "sketch")
     listed = sized.select("node", F.explode("sketch").alias("value"))
-    frequent = listed.groupBy("value").count().where("count > 1")
+    frequent = scratch.written(listed.groupBy("value").count().where("count > 1"), "frequent-values")
     shared = listed.join(frequent, "value")
     own = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("ordered"))  # at most k entries
     own = own.join(sized.drop("sketch"), "node")
     prefix = F.col("s") - least_common(F.col("n"), k) + 1 - (F.col("s") - F.size("ordered"))
     lists = own.where(prefix > 0).select("node", "n", F.explode(F.slice("ordered", 1, F.greatest(prefix, F.lit(1)))).alias("x")).select("x.value", "node", "n")
     lists = scratch.written(lists, "lists")
-    members = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
-    out = scratch.written(lists.join(members, "value"), "shared-lists")
-    scratch.drop(lists)
+    heads = lists.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).where("members > 1")
+    heads = scratch.written(heads.select("value", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub")), "heads")
+    out = scratch.written(lists.join(heads, "value"), "shared-lists")
+    scratch.drop(frequent, lists, heads)
     return out
 
 
@@ -141,26 +144,21 @@ def _alike(a: str, b: str) -> Column:
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b): each list's members b paired with its smallest node a."""
-    hubs = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("hub"))
-    met = lists.join(hubs, "value").where(F.col("node") != F.col("hub.node")).where(_alike("n", "hub.n"))
-    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")).distinct()
+    met = lists.where("node <> hub").where(_alike("n", "n_hub"))
+    return met.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Links (a, b) among written pairs that the union sketch admits and the full sets confirm.
 
     A hub with pairs of more than ``block`` shingles is copied: each copy meets a share of them."""
-    hot = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / block).cast("int").alias("copies")).where("copies > 1")
-    copies = F.coalesce("copies", F.lit(1))
-    dealt = pairs.join(hot, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
-
-    def hubs(table: DataFrame, column: str) -> DataFrame:
-        own = table.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a")).join(hot, "a", "left")
-        return own.select("a", f"{column}_a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    hubs = scratch.written(pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / block).cast("int").alias("copies")), "hubs")
+    dealt = pairs.join(hubs, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
 
     def met(left: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        others = table.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b"))
-        return left.join(others, "b").join(hubs(table.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), column), ["a", "copy"])
+        side = lambda c: table.select(F.col("node").alias(c), F.col(column).alias(f"{column}_{c}"))
+        copied = side("a").join(hubs, "a").select("a", f"{column}_a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        return left.join(side("b"), "b").join(copied, ["a", "copy"])
 
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     both = F.array_intersect("sketch_a", "sketch_b")
@@ -175,24 +173,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) ->
 def open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """(gathering, value, node, n, component): members of the lists that hold several components, gathered by
     their list's largest component."""
-    labelled = lists.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = lists.join(groups.withColumnRenamed("id", "node"), "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
     sizes = labelled.groupBy("value", "component").count()
     largest = sizes.groupBy("value").agg(F.count("*").alias("different"), F.max_by("component", F.struct("count", "component")).alias("gathering"))
-    return labelled.join(largest.where("different > 1"), "value").select("gathering", "value", "node", "n", "component")
+    largest = scratch.written(largest.where("different > 1").select("value", "gathering"), "largest")
+    out = scratch.written(labelled.join(largest, "value").select("gathering", "value", "node", "n", "component"), "open-lists")
+    scratch.drop(largest)
+    return out
 
 
 def block_links(met: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Links (a, b) between members of different components of written open lists, exact, one for two components
-    and a unit.  A unit is a block of ``few`` (members outside the largest component) and a block of members."""
-    members = met.groupBy("gathering", "node").agg(F.min("value").alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
-    homes = members.groupBy("gathering", "home").agg(F.sum("n").alias("size"))
-    sizes = homes.groupBy("gathering").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
-    parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block))
-    own = F.pmod(F.xxhash64("home", parts), F.col("blocks")).cast("int")
+    and a unit.  A unit is a block of members outside the largest component, which ask, and a block of members."""
+    members = scratch.written(met.groupBy("gathering", "node").agg(F.min("value").alias("home"), F.first("n").alias("n"), F.first("component").alias("component")), "members")
+    sizes = scratch.written(members.groupBy("gathering").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")), "gathering-sizes")
+    homes = scratch.written(members.groupBy("gathering", "home").agg(F.ceil(F.sum("n") / block).alias("parts")), "homes")
+    own = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")), F.col("blocks")).cast("int")
     dealt = members.join(homes, ["gathering", "home"]).join(sizes, "gathering").select("gathering", "node", "component", own.alias("own"))
+    dealt = scratch.written(dealt, "dealt")
     placed = met.select("gathering", "value", "node").join(dealt, ["gathering", "node"])
-    few = placed.where("component <> gathering").select("gathering", "value", F.col("own").alias("i")).distinct()
-    units = few.join(placed.select("gathering", "value", F.col("own").alias("j")).distinct(), ["gathering", "value"]).select("gathering", "i", "j").distinct()
+    placed = placed.groupBy("gathering", "value", "own").agg(F.bool_or(F.col("component") != F.col("gathering")).alias("asks"))
+    placed = scratch.written(placed, "placed")
+    few = placed.where("asks").select("gathering", "value", F.col("own").alias("i"))
+    units = few.join(placed.select("gathering", "value", F.col("own").alias("j")), ["gathering", "value"]).select("gathering", "i", "j").distinct()
+    units = scratch.written(units, "units")
     left = dealt.where("component <> gathering").withColumnRenamed("own", "i").join(units, ["gathering", "i"]).withColumn("asks", F.lit(True))
     right = dealt.withColumnRenamed("own", "j").join(units, ["gathering", "j"]).withColumn("asks", F.lit(False))
     sent = left.unionByName(right).join(sets, "node")
@@ -247,11 +251,11 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = coarse.where(F.col("members") > LONG_LIST).select("node").distinct()
     fine = sets.join(long, "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, FINE).alias("sketch"))
     closer = inverted_lists(fine, FINE)
-    lists = coarse.where(F.col("members") <= LONG_LIST).unionByName(closer).select("value", "node", "n")
+    lists = coarse.where(F.col("members") <= LONG_LIST).unionByName(closer)
 
     pairs = scratch.written(hub_pairs(lists), "pairs")
     found = components(verified(pairs, nodes, sets, BLOCK))
-    met = scratch.written(open_lists(lists, found), "open-lists")
+    met = open_lists(lists, found)
     more = block_links(met, sets, BLOCK)
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     scratch.drop(coarse, closer, sets, pairs, met)
@@ -262,6 +266,8 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     reached = reached.join(least, "component").select("node", F.col("component").alias("root"), "least")
     by_set = classes.select("h1", "h2", "n", "node", "id").join(reached, "node", "left")
     by_set = by_set.select("h1", "h2", "n", F.coalesce("root", "node").alias("root"), F.coalesce("least", "id").alias("component"))
+    by_set = scratch.written(by_set, "by-set")
+    scratch.drop(classes)
     return rows.select("doc_id", "text_key", "n", "h1", "h2"), by_set
 
 
