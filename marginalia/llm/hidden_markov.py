@@ -1,22 +1,26 @@
 """Operator 7: hidden Markov language model over words.
 
 Training texts give exact counts of every token (words, A-Z lower-cased, then one end
-token).  The model has STATES latent states that emit symbols: a symbol of its own for
-the end and for each of the OWN most frequent words, and one of ENDINGS classes, by a
-word's last bytes, for all others.  Baum-Welch trains it: every task runs scaled
-forward-backward over its training sequences and emits expected counts, which Spark sums
-across partitions; ROUNDS rounds over all training texts.  The scaled forward recursion
-then gives a text's exact likelihood.  A word without its own symbol adds its add-one
-share of its class, log10((c+1) / (C+V+1)) with C tokens and V distinct words in the
-class, so unseen words have probability too.
-
-The add-one unigram base score is exact for every token.  Frequent words (a bounded
-table) are looked up in the task; occurrences of all others meet the counts in a join,
-keyed by word hash.
-
-Null and empty texts are the end token alone.  Null doc_ids are in training (they have no
-crc32).  Repeated rows train and are scored each.  Without training texts every count is
-0 and the model is uniform.
+token).  The model has STATES latent states that emit symbols: one for the end, one for
+each of the OWN most frequent words, and ENDINGS classes, by a word's last bytes, for all
+others.  Baum-Welch trains it: every task runs scaled forward-backward over its training
+sequences and emits expected counts, which Spark sums across partitions; ROUNDS rounds
+over all training texts.  The last round also sums the expected counts of every other
+word by state, in a table that grows with the vocabulary: in state k, word w of class g has
+the share (c_k(w) + a) / (c_k(g) + a (V_g + 1)) of its class, with c the expected counts,
+V_g the distinct words of the class and a = 1 / STATES; unseen words share one such place.
+So every word of the training texts has emissions of its own.  The scaled forward
+recursion then gives a text's exact likelihood.
+
+Frequent words (a bounded table) are looked up in the task.  Texts lie in blocks of about
+BLOCK_BYTES; a block's other words, once each, meet the table of counts in a join, so a
+frequent word of held-out texts costs one row a block.
+
+The add-one unigram base score is exact for every token.  Null and empty texts are the end
+token alone.  Very long texts are one block.  Null doc_ids are in training (they have no
+crc32).  Repeated rows train and are scored each; equally frequent words are taken by hash.
+Without training texts (or with an empty table) every count is 0 and the model is uniform.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +44,8 @@ ENDINGS = 1024
 ROUNDS = 3
 #: Tokens whose recursions a task holds at once; a longer text is a group of its own.
 GROUP_TOKENS = 400_000
-#: Tokens (two bytes each) that a task sorts by length at a time.
-POOL_TOKENS = 8_000_000
+#: Text of a block of sequences, which a task holds at once.
+BLOCK_BYTES = 8 << 20
 SMOOTH_MOVE, SMOOTH_EMIT = 1.0, 0.05
 END = 0
 _U = np.uint64
@@ -102,28 +107,20 @@ class Vocabulary:
     def symbols(self) -> int:
         return 1 + len(self.words) + ENDINGS
 
-    def read(self, part: tk.Slice) -> dict[str, np.ndarray]:
-        """Symbols of every token (ends included), which words are rare, and the sums that need no join."""
+    def read(self, part: tk.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each document, their symbols (ends included), the other words' hashes in order, and each
+        document's known frequent tokens and their part of the base score."""
         w = tk.words(part)
         hashes = tk.span_hashes(part.data, w.starts, w.ends, lower=True).view(np.int64)
-        kind = endings(part.data, w.ends, w.starts)
-        symbol, rare, known = 1 + len(self.words) + kind, np.ones(len(hashes), bool), np.zeros(len(hashes))
+        symbol, own, log = 1 + len(self.words) + endings(part.data, w.ends, w.starts), np.zeros(len(hashes), bool), np.zeros(len(hashes))
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             own = self.words[at] == hashes
-            symbol, rare = np.where(own, 1 + at, symbol), ~own
-            known = np.where(own, np.log10(self.counts[at] + 1), 0.0)
-        share = np.where(rare, np.log10(self.class_tokens[kind] + self.class_words[kind] + 1), 0.0)
+            symbol = np.where(own, 1 + at, symbol)
+            log = np.where(own, np.log10(self.counts[at] + 1), 0.0)
         total = lambda x: np.bincount(w.doc, weights=x, minlength=part.size)
-        return {
-            "n_tokens": w.counts + 1,
-            "known": total(~rare).astype(np.int64) + (self.n_end > 0),
-            "base": total(known) + np.log10(self.n_end + 1),
-            "share": total(share),
-            "symbols": np.insert(symbol, np.cumsum(w.counts), END),
-            "rare": hashes[rare],
-            "n_rare": total(rare).astype(np.int64),
-        }
+        known = total(own).astype(np.int64) + (self.n_end > 0)
+        return w.counts + 1, np.insert(symbol, np.cumsum(w.counts), END), hashes[~own], known, total(log) + np.log10(self.n_end + 1)
 
 
 def vocabulary(counts: DataFrame, n_train: int, own: int = OWN) -> Vocabulary:
@@ -141,24 +138,81 @@ def vocabulary(counts: DataFrame, n_train: int, own: int = OWN) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy(np.int64)[by], top["n"].to_numpy(np.int64)[by], tokens, distinct, n_train, (whole["n"] or 0) + n_train, whole["v"] + (n_train > 0))
 
 
-def sequences(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One row a document: its symbols (uint16 LE), its rare words' hashes and partial sums."""
+BLOCKS = "block long, doc_ids array<long>, held binary, lengths binary, symbols binary, known binary, base binary, words array<long>, word_at binary"
+
+
+@dataclass
+class Block:
+    """Sequences of a block in order.  ``words``: distinct words without a symbol of their own; ``word_at``: their
+    place in ``words`` for each token of a class, in order."""
+
+    held: np.ndarray
+    lengths: np.ndarray
+    symbols: np.ndarray
+    words: np.ndarray
+    word_at: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        read = lambda c, kind: np.frombuffer(row[c], kind)
+        return cls(read("held", bool), read("lengths", "<i8"), read("symbols", "<u2").astype(np.int64), np.array(row["words"], np.int64), read("word_at", "<i4").astype(np.int64))
+
+    def extended(self, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols with one more for each of ``words`` from ``symbols`` on, and the class of each of these."""
+        out, at = self.symbols.copy(), np.flatnonzero(self.symbols >= symbols - ENDINGS)
+        kind = np.zeros(len(self.words), np.int64)
+        kind[self.word_at] = out[at]
+        out[at] = symbols + self.word_at
+        return out, kind
+
+    def groups(self, symbols: np.ndarray, which: np.ndarray) -> Iterator[tuple[np.ndarray, Group]]:
+        """The chosen sequences in groups of like length, so few steps serve few sequences."""
+        first = np.cumsum(self.lengths) - self.lengths
+        chosen = np.flatnonzero(which)
+        chosen = chosen[np.argsort(self.lengths[chosen], kind="stable")]
+        lo = held = 0
+        for hi, n in enumerate(self.lengths[chosen].tolist()):
+            if held and held + n > GROUP_TOKENS:
+                yield chosen[lo:hi], Group([symbols[first[d] : first[d] + self.lengths[d]] for d in chosen[lo:hi]])
+                lo, held = hi, 0
+            held += n
+        if len(chosen):
+            yield chosen[lo:], Group([symbols[first[d] : first[d] + self.lengths[d]] for d in chosen[lo:]])
+
+
+def blocks(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The documents' sequences, one row a block."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by OWN and ENDINGS
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "share", "symbols", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
+        block, size = TaskContext.get().partitionId() << 36, 0
+        parts: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            doc_ids, held, lengths, symbols, words, known, base = (x if i == 0 else np.concatenate(x) for i, x in enumerate(zip(*parts, strict=True)))
+            words, at = np.unique(words, return_inverse=True)
+            raw = [held.tobytes(), lengths.astype("<i8").tobytes(), symbols.astype("<u2").tobytes(), known.astype("<i8").tobytes(), base.tobytes()]
+            values = [block, [i for ids in doc_ids for i in ids], *raw, words, at.astype("<i4").tobytes()]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
         for batch in batches:
             ids, held, texts = tk.take_columns(batch, ["doc_id", "held_out", "text"])
+            held = np.asarray(held)
             for part in tk.slices(texts):
-                x = shared.value.read(part)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(part.lo, part.size), held.slice(part.lo, part.size), *(pa.array(x[c]) for c in ("n_tokens", "known", "base", "share")), tk.binary_array(x["symbols"].astype("<u2"), x["n_tokens"]), tk.list_array(x["rare"], x["n_rare"], pa.int64())],
-                    names=names,
-                )
+                lengths, symbols, words, known, base = shared.value.read(part)
+                parts.append((ids.slice(part.lo, part.size).to_pylist(), held[part.lo : part.hi], lengths, symbols.astype(np.uint16), words, known, base))
+                size += len(part.data)
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    block, size = block + 1, 0
+                    parts.clear()
+        if parts:
+            yield flush()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, share double, symbols binary, rare array<long>")
-    return scratch.written(out.withColumn("row", F.monotonically_increasing_id()), "sequences")
+    return scratch.written(rows.mapInArrow(run, BLOCKS), "sequences")
 
 
 @dataclass
@@ -177,10 +231,10 @@ class Hmm:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
     @classmethod
-    def from_counts(cls, flat: np.ndarray, states: int) -> Hmm:
-        start = flat[:states] + SMOOTH_MOVE
-        move = flat[states : states + states * states].reshape(states, states) + SMOOTH_MOVE
-        emit = flat[states + states * states :].reshape(-1, states) + SMOOTH_EMIT
+    def from_counts(cls, counts: np.ndarray) -> Hmm:
+        """From summed expected counts: a row of states for the start, each state's moves, and each symbol."""
+        states = counts.shape[1]
+        start, move, emit = counts[0] + SMOOTH_MOVE, counts[1 : 1 + states] + SMOOTH_MOVE, counts[1 + states :] + SMOOTH_EMIT
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -220,7 +274,7 @@ class Group:
         return out, alphas, scales
 
     def expected(self, model: Hmm) -> np.ndarray:
-        """Expected start, move and emission counts, flat."""
+        """Expected counts: a row of states for the start, each state's moves, and each symbol."""
         _, alphas, scales = self.forward(model, keep=True)
         k = len(model.start)
         moves = np.zeros((k, k))
@@ -236,70 +290,92 @@ class Group:
                 beta[:m2] = ahead @ model.move.T
         alphas[: self.active[0]] *= beta
         emit = np.stack([np.bincount(self.symbols, weights=alphas[:, s], minlength=len(model.emit)) for s in range(k)], axis=1)
-        return np.concatenate((alphas[: self.active[0]].sum(axis=0), (moves * model.move).ravel(), emit.ravel()))
-
+        return np.concatenate((alphas[: self.active[0]].sum(axis=0)[None], moves * model.move, emit))
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Sequences in groups of like length: a pool of them is sorted, so few steps serve few sequences."""
 
-    def cut(pool: list[tuple]) -> Iterator[tuple[list, list[np.ndarray]]]:
-        pool.sort(key=lambda x: len(x[1]))
-        lo = held = 0
-        for hi, (_, symbols) in enumerate(pool):
-            if held and held + len(symbols) > GROUP_TOKENS:
-                yield [k for k, _ in pool[lo:hi]], [s for _, s in pool[lo:hi]]
-                lo, held = hi, 0
-            held += len(symbols)
-        if pool:
-            yield [k for k, _ in pool[lo:]], [s for _, s in pool[lo:]]
-
-    pool, held = [], 0
-    for batch in batches:
-        for key, value in zip(batch.column(0).to_pylist(), batch.column(column), strict=True):
-            pool.append((key, np.frombuffer(value.as_py(), "<u2")))
-            held += len(pool[-1][1])
-            if held >= POOL_TOKENS:
-                yield from cut(pool)
-                pool, held = [], 0
-    yield from cut(pool)
-
-
-def train(rows: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch over all training rows; a round's summed counts (one row a parameter) come to the driver."""
+def train(rows: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray, DataFrame]:
+    """Baum-Welch over all training rows: the model, the classes' expected counts (ENDINGS x states), and the table
+    (word, c0, c1, ...) of every other word's.  A round's sums for start, moves and symbols come to the driver."""
     model = Hmm.initial(vocabulary, states)
     context = rows.sparkSession.sparkContext
-    for _ in range(rounds):
-        shared = context.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = None
-            for _, texts in _groups(batches, 1):
-                counts = Group(texts).expected(shared.value)
-                total = counts if total is None else total + counts
-            if total is not None:
-                place = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "n"])
-
-        summed = rows.where("not held_out").select("row", "symbols").mapInArrow(run, "place long, n double").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    columns = [f"c{k}" for k in range(states)]
+    schema = f"word boolean, key long, {', '.join(f'{c} double' for c in columns)}"
+    fixed, summed = 1 + states + vocabulary.symbols, None
+    for turn in range(rounds):
+        shared, last = context.broadcast(model), turn + 1 == rounds
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            def sent(word: bool, key: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), word)), pa.array(key), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(states))], names=["word", "key", *columns])
+
+            total = np.zeros((fixed, states))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    block = Block.of(row)
+                    model, symbols = shared.value, block.symbols
+                    if last:
+                        symbols, kind = block.extended(len(model.emit))
+                        model = Hmm(model.start, model.move, np.concatenate((model.emit, model.emit[kind])))
+                    counts = np.zeros((1 + states + len(model.emit), states))
+                    for _, group in block.groups(symbols, ~block.held):
+                        counts += group.expected(model)
+                    total += counts[:fixed]
+                    if last:
+                        own = counts[fixed:]
+                        np.add.at(total, 1 + states + kind, own)
+                        met = np.flatnonzero(own.any(axis=1))
+                        yield sent(True, block.words[met], own[met])
+            met = np.flatnonzero(total.any(axis=1))
+            yield sent(False, met, total[met])
+
+        columns_read = rows.select("held", "lengths", "symbols", "words", "word_at")
+        found = columns_read.mapInArrow(run, schema).groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in columns])
+        summed = scratch.written(found, "expected-counts")
+        table = summed.where("not word").toPandas()
         shared.unpersist()
-        if not len(summed):
-            break
-        flat = np.zeros(states + states * states + states * vocabulary.symbols)
-        flat[summed["place"].to_numpy(np.int64)] = summed["n"].to_numpy(np.float64)
-        model = Hmm.from_counts(flat, states)
-    return model
-
-
-def scores(rows: DataFrame, model: Hmm) -> DataFrame:
-    """row and the log10 likelihood of its symbols, by the scaled forward recursion."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _groups(batches, 1):
-            loglik, _, _ = Group(texts).forward(shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(loglik / np.log(10))], names=["row", "symbol_score"])
-
-    return rows.select("row", "symbols").mapInArrow(run, "row long, symbol_score double")
+        counts = np.zeros((fixed, states))
+        counts[table["key"].to_numpy(np.int64)] = table[columns].to_numpy(np.float64)
+        if len(table):
+            model = Hmm.from_counts(counts)
+        if not last:
+            scratch.drop(summed)
+    return model, counts[fixed - ENDINGS :], summed.where("word").select(F.col("key").alias("word"), *columns)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def scores(rows: DataFrame, vocabulary: Vocabulary, model: Hmm, classes: np.ndarray, words: DataFrame) -> DataFrame:
+    """SCORES of every document; ``base`` still lacks the logarithm of the total, once a token."""
+    states = classes.shape[1]
+    columns = [f"c{k}" for k in range(states)]
+    shared = rows.sparkSession.sparkContext.broadcast((model, classes))  # bounded by OWN and ENDINGS
+    met = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word")).join(words, "word").select("of", "pos", *columns)
+    distinct, add = vocabulary.class_words, 1 / states
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, classes = shared.value
+        out: list[pa.Table] = []
+        for row in left.to_pylist():
+            block = Block.of(row)
+            symbols, kind = block.extended(len(model.emit))
+            counts = np.zeros((len(block.words), states))
+            counts[right.column("pos").to_numpy()] = np.stack([right.column(c).to_numpy() for c in columns], axis=1)
+            place = kind - (len(model.emit) - ENDINGS)
+            share = (counts + add) / (classes[place] + add * (distinct[place] + 1)[:, None])
+            full = Hmm(model.start, model.move, np.concatenate((model.emit, model.emit[kind] * share)))
+            score = np.zeros(len(block.lengths))
+            for which, group in block.groups(symbols, np.ones(len(score), bool)):
+                score[which] = group.forward(full)[0] / np.log(10)
+            n = np.round(counts.sum(axis=1))[block.word_at]
+            doc = np.repeat(np.arange(len(score)), block.lengths)[block.symbols >= len(model.emit) - ENDINGS]
+            known = np.frombuffer(row["known"], "<i8") + np.bincount(doc, weights=n > 0, minlength=len(score)).astype(np.int64)
+            base = np.frombuffer(row["base"], "<f8") + np.bincount(doc, weights=np.log10(n + 1), minlength=len(score))
+            values = [pa.array(row["doc_ids"], pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(known), pa.array(base), pa.array(score)]
+            out.append(pa.table(values, names=[c.split()[0] for c in SCORES.split(", ")]))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("block").cogroup(met.groupBy("of")).applyInArrow(run, SCORES)
 
 
 def scored(documents: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN) -> DataFrame:
@@ -308,20 +384,9 @@ def scored(documents: DataFrame, states: int = STATES, rounds: int = ROUNDS, own
     n_train = training.count()
     counts = scratch.written(word_counts(training), "word-counts")
     words = vocabulary(counts, n_train, own)
-    rows = sequences(documents, words)
-    model = train(rows, words, states, rounds)
-    occurrences = rows.select("row", F.explode("rare").alias("word"))
-    seen = F.coalesce("n", F.lit(0))
-    rare = occurrences.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(F.sum(F.log10(seen + 1.0)).alias("rare_base"), F.sum((seen > 0).cast("long")).alias("rare_known"))
-    own_sums = rows.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "share")
-    out = own_sums.join(scores(rows, model), "row").join(rare, "row", "left")
-    more = F.coalesce("rare_base", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(words.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(float(np.log10(words.n_tokens + words.n_distinct + 1)))).alias("base_score"),
-        (F.col("symbol_score") + more - F.col("share")).alias("score"),
-    )
+    scratch.drop(counts)
+    rows = blocks(documents, words)
+    out = scores(rows, words, *train(rows, words, states, rounds))
+    each = float(np.log10(words.n_tokens + words.n_distinct + 1))
+    base = F.col("base") - F.col("n_tokens") * F.lit(each)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
