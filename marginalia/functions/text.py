@@ -13,31 +13,58 @@ UNKNOWN = "unknown"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: White space at the ends of a text and, in a pattern, anywhere.
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def stripped(text: Column) -> Column:
+    """No white space (of any kind, not only 0x20) at the ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def normalised(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
 
 
 def pieces(text: Column, size: int = CHUNK_CHARS) -> Column:
-    """Fixed-size pieces of a normalised text; empty for blank and null texts."""
-    n = normalised(text)
-    last = F.floor((F.length(n) - 1) / size).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(n, i * size + 1, F.lit(size)))
-    return F.when(n != "", cut).otherwise(F.array().cast("array<string>"))
+    """Fixed-size pieces of a normalised text, in one pass; empty for blank and null texts."""
+    return F.regexp_extract_all(F.coalesce(normalised(text), F.lit("")), F.lit(f"(?s).{{1,{size}}}"), 0)
+
+
+#: Characters whose case folding is not their lower case, as a rule of Unicode's own tables (ligatures, sharp s, long s, ...).
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c.lower() or c == "Σ"}
+
+
+def _ranges(characters: list[str], gap: int = 16) -> str:
+    """A pattern of a few ranges that hold the characters: a long list of single ones is slow to match."""
+    out: list[list[int]] = []
+    for i in sorted(map(ord, characters)):
+        if out and i - out[-1][1] <= gap:
+            out[-1][1] = i
+        else:
+            out.append([i, i])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in out) + "]"
+
+
+_FOLDABLE = _ranges([c for c in FOLDED if c != "ß"])
 
 
 def fold(text: Column) -> Column:
-    """Case folding: lower case, and sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding; character by character only where a text holds one of FOLDED beside the common sharp s."""
+    text = F.replace(text, F.lit("ß"), F.lit("ss"))
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    special = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.lower(F.when(text.rlike(_FOLDABLE), special).otherwise(text))
 
 
 def tokens(text: Column) -> Column:
     """Distinct folded runs of [a-z0-9_], two characters or more, and bigrams of all CJK characters."""
     folded = F.coalesce(fold(text), F.lit(""))
     latin = F.regexp_extract_all(folded, F.lit("[a-z0-9_]{2,}"), 0)
-    cjk = F.array_join(F.regexp_extract_all(folded, F.lit("[㐀-鿿]"), 0), "")
-    pairs = F.when(F.length(cjk) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length(cjk) - 1, F.lit(1))), lambda i: F.substring(cjk, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_union(latin, pairs)
+    cjk = F.regexp_replace(folded, "[^㐀-鿿]+", "")
+    return F.array_distinct(F.concat(latin, F.regexp_extract_all(cjk, F.lit("(?=(..))"), 1)))
 
 
 def token_cosine(shared: Column, n_query: Column, n_text: Column) -> Column:
@@ -79,7 +106,7 @@ def matched_terms(text: Column, terms: list[str]) -> Column:
 
 
 def snippet(text: Column) -> Column:
-    return F.substring(F.replace(F.trim(text), F.lit("\n"), F.lit(" ")), 1, SNIPPET_CHARS)
+    return F.substring(F.replace(stripped(text), F.lit("\n"), F.lit(" ")), 1, SNIPPET_CHARS)
 
 
 def after_labels(text: Column, labels: list[str]) -> Column:
@@ -87,14 +114,14 @@ def after_labels(text: Column, labels: list[str]) -> Column:
     found = F.lit(None).cast("array<string>")
     for label in reversed(labels):
         pattern = rf"(?iU)\b{re.escape(label)}s?\s*:\s*([^.\n;]+)"
-        values = F.filter(F.transform(F.split(F.regexp_extract(text, pattern, 1), ",| and "), lambda x: F.trim(x)), lambda x: x != "")
+        values = F.filter(F.transform(F.split(F.regexp_extract(text, pattern, 1), ",| and "), stripped), lambda x: x != "")
         found = F.when(text.rlike(pattern), values).otherwise(found)
     return F.coalesce(found, F.array(F.lit(UNKNOWN)))
 
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences: split after . ! ? and their full-width forms where white space follows."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])\s+"), lambda x: F.trim(x)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, f"(?U)(?<=[.!?。！？]){SPACE}+"), stripped), lambda s: s != "")
 
 
 def sentences_with(text: Column, keywords: list[str], most: int = 5) -> Column:
@@ -110,16 +137,16 @@ def sentences_with(text: Column, keywords: list[str], most: int = 5) -> Column:
 
 
 def comma_tags(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), stripped), lambda x: x != "")
 
 
 def clean_text(value: Column) -> Column:
-    return F.trim(F.coalesce(value, F.lit("")))
+    return stripped(F.coalesce(value, F.lit("")))
 
 
 def clean_list(values: Column) -> Column:
     """Trimmed non-blank entries; null reads as empty."""
-    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), stripped), lambda x: x != "")
 
 
 def last_segment(url: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,23 +73,79 @@ def lexical_topk(chunks: DataFrame, question: str, k: int = 5) -> DataFrame:
     return ranked(lexical_scores(chunks, question), _lexical_order(), k)
 
 
+#: Tokens of questions that one pass over the chunks takes to every task, and cells of a task's score table.
+PASS_TOKENS, CELLS = 2_000_000, 2_000_000
+
+
 def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key: str = "item_id") -> DataFrame:
-    """lexical_topk of every question at once: tokens meet in an equi-join, never all pairs.
-
-    Pairs without a shared token score 0 and only matter where a question matches fewer
-    than k chunks; the first 2k chunks of the zero order stand in for them."""
-    asked = questions.select(key, X.tokens(F.col("question")).alias("asked"))
-    asked = asked.select(key, F.size("asked").alias("n_asked"), F.explode("asked").alias("token"))
-    own = chunks.select("chunk_id", "page", X.tokens(F.col("text")).alias("own"))
-    own = own.select("chunk_id", "page", F.size("own").alias("n_own"), F.explode("own").alias("token"))
-    met = own.join(asked, "token").groupBy(key, "chunk_id", "page", "n_asked", "n_own").agg(F.count("*").alias("shared"))
-    scored = met.select(key, "chunk_id", "page", X.token_cosine(F.col("shared"), F.col("n_asked"), F.col("n_own")).alias("score"))
-    first = chunks.select("chunk_id", "page").orderBy("page", F.desc("chunk_id")).limit(2 * k)
-    zeros = questions.select(key).join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # 2k rows a question
-    zeros = zeros.join(scored.select(key, "chunk_id"), [key, "chunk_id"], "left_anti").select(key, "chunk_id", "page", "score")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*_lexical_order()))
-    best = scored.unionByName(zeros).withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
-    return best.join(chunks.drop("page"), "chunk_id")
+    """lexical_topk of every question of a table: key, chunk_id, page, score and rank; join the chunks for their texts.
+
+    One pass over the chunks scores them against up to PASS_TOKENS question tokens, counted first and sent to every
+    task; more questions are dealt to more passes.  A task keeps k chunks a question of each batch, so only these are
+    shuffled.  Questions without a shared token get the first chunks of the zero order.  Rows that repeat a key are
+    one question each where their tokens differ."""
+    asked = questions.select(key, X.tokens(F.col("question")).alias("asked")).distinct()
+    total = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+    passes = total // PASS_TOKENS + 1
+    own = chunks.select("chunk_id", F.col("page").cast("int").alias("page"), X.tokens(F.col("text")).alias("own"))
+    kind = asked.schema[key].dataType.simpleString()
+    found = None
+    for number in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(key, "asked"), F.lit(passes)) == number)
+        rows = part.toArrow()  # at most about PASS_TOKENS tokens
+        best = own.mapInArrow(_scored(chunks.sparkSession.sparkContext.broadcast(rows), k), "place int, chunk_id string, page int, score double")
+        keys = chunks.sparkSession.createDataFrame([(i, v) for i, v in enumerate(rows.column(key).to_pylist())], f"place int, {key} {kind}")
+        place = F.row_number().over(Window.partitionBy("place").orderBy(*_lexical_order()))
+        best = best.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).join(keys, "place").select(key, "chunk_id", "page", "score", "rank")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _scored(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each batch's best k chunks of every question, by score, page and chunk_id descending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value.column("asked").combine_chunks()
+        n_asked = np.asarray(asked.value_lengths()).astype(np.int64)
+        vocabulary = asked.flatten().unique()
+        token = np.asarray(pc.index_in(asked.flatten(), vocabulary)).astype(np.int64)
+        by = np.argsort(token, kind="stable")
+        questions = np.repeat(np.arange(len(n_asked)), n_asked)[by]
+        begin = np.searchsorted(token[by], np.arange(len(vocabulary) + 1))
+        rows = max(1, CELLS // max(1, len(n_asked)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows if len(n_asked) else 0, rows):
+                batch = whole.slice(lo, rows)
+                order = pc.sort_indices(pa.table({"page": batch.column(1), "chunk_id": batch.column(0)}), sort_keys=[("page", "ascending"), ("chunk_id", "descending")])
+                batch = batch.take(order)
+                own = batch.column(2)
+                n_own = np.asarray(own.value_lengths()).astype(np.int64)
+                at = pc.index_in(own.flatten(), vocabulary)
+                known = np.asarray(at.is_valid())
+                row, at = np.repeat(np.arange(len(n_own)), n_own)[known], np.asarray(at.drop_null()).astype(np.int64)
+                width = begin[at + 1] - begin[at]
+                first = np.repeat(begin[at] - np.concatenate(([0], np.cumsum(width)[:-1])), width)
+                cell = np.repeat(row, width) * len(n_asked) + questions[np.arange(int(width.sum())) + first]
+                shared_tokens = np.bincount(cell, minlength=len(n_own) * len(n_asked)).reshape(len(n_own), len(n_asked))
+                score = shared_tokens / np.sqrt((np.maximum(n_asked, 1)[None, :] * np.maximum(n_own, 1)[:, None]).astype(np.float64))
+                kept_row, kept_question = _first_k(score, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kept_question.astype(np.int32)), batch.column(0).take(pa.array(kept_row)), batch.column(1).take(pa.array(kept_row)), pa.array(score[kept_row, kept_question])],
+                    names=["place", "chunk_id", "page", "score"],
+                )
+
+    return run
+
+
+def _first_k(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each column's k largest cells; of equal cells the upper ones."""
+    n = len(score)
+    if n <= k:
+        return tuple(x.ravel() for x in np.indices(score.shape))
+    least = np.partition(score, n - k, axis=0)[n - k]
+    above, equal = score > least, score == least
+    room = k - above.sum(axis=0)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=0) <= room)))
 
 
 def direction_topk(chunks: DataFrame, direction: str, k: int = 8) -> DataFrame:

@@ -123,7 +123,7 @@ _LEX = "score desc, page, chunk_id desc"
 IDS = "src as (select doc_id::varchar as chunk_id from documents), idx as (select (vec_id * 3)::varchar as chunk_id from embeddings)"
 
 _PROFILE = "v2:mock:mock-embedding:16"
-MIGRATION = f"""{CHUNKS}, c as (select *, doc_id::bigint as n, sha256(doc_id || chr(10) || page || chr(10) || text) as h from chunks where page = 1),
+MIGRATION = f"""{CHUNKS}, c as (select *, doc_id::bigint as n, sha256(doc_id || chr(10) || page || chr(10) || text) as h from chunks),
 legacy as (select case when n % 7 = 0 then 'gone-' || chunk_id else chunk_id end as chunk_id, case when n % 6 = 0 then 'stale' else text end as text, case when n % 5 = 0 then 8 else 16 end as dim from c where n % 2 = 0),
 target as (select chunk_id, case when n % 9 = 0 then 'old' else h end as h from c where n % 3 = 0),
 acted as (select c.chunk_id, case when t.h = c.h then 'skip' when l.text = c.text and l.dim = 16 then 'reuse' else 'reembed' end as action
@@ -138,7 +138,7 @@ SQL = {
     "normalize_chunks": f"with {CHUNKS} select chunk_id, doc_id, page, text from chunks",
     "lexical_topk": f"with {TOKENED} select rank, chunk_id, page, round(score, 6) as score from ({_ranked('select chunk_id, page, score from sc', _LEX, 10)})",
     "lexical_topk_many": f"""with {CHUNKS}, tk as (select chunk_id, page, {_tokens("text")} as t from chunks),
-        qs as (select item_id, {_tokens("left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 120)")} as qt from benchmark),
+        qs as (select item_id, {_tokens("trim(regexp_replace(text, '\\s+', ' ', 'g'))")} as qt from benchmark),
         tx as (select chunk_id, page, len(t) as nt, unnest(t) as w from tk), qx as (select item_id, len(qt) as nq, unnest(qt) as w from qs),
         m as (select item_id, chunk_id, nq, nt, count(*) as shared from tx join qx using (w) group by all),
         al as (select item_id, k.chunk_id, k.page, coalesce({_SCORE}, 0) as score from qs cross join tk k left join m using (item_id, chunk_id)),
@@ -220,7 +220,11 @@ SQL = {
     "json_repair_experiments": f"with {MODEL} select part_id, 0::bigint as pos, p_name as objective, p_brand as datasets, 'F1' as metrics, p_type as baselines, 'plan; run' as steps, 'drift' as risks from shape where s <> 3 and m <> 5",
     "atom_parse": "select 'arxiv-' || p_partkey as paper_id, p_name || ' paper' as title, case when p_partkey % 4 <> 0 then 'about ' || p_type else 'No abstract available.' end as abstract, (1990 + p_size)::bigint as year from part",
     "openalex_decode": f"with {WORKS} select 'W' || k as paper_id, title, case when k % 4 <> 0 then year end::bigint as year, n as citation_count, 'W' || k as refs from works",
-    "qa_sources": f"with {TOKENED} select rank, doc_id, chunk_id, page, round(score, 6) as score from ({_ranked('''select doc_id, chunk_id, page, score from sc where doc_id in ('1', '2', '3', '4', '5', '6')''', _LEX, 5)})",
+    "qa_sources": f"""with {CHUNKS}, tk as (select chunk_id, page, doc_id::bigint as d, {_tokens("text")} as t from chunks),
+        qs as (select item_id, {_tokens("trim(regexp_replace(text, '\\s+', ' ', 'g'))")} as qt from benchmark),
+        al as (select item_id, chunk_id, page, len(list_intersect(t, qt)) as shared, len(qt) as nq, len(t) as nt from qs join tk on d % 3 = item_id % 3),
+        r as (select *, {_SCORE} as score, row_number() over (partition by item_id order by {_SCORE} desc, page, chunk_id desc) as rank from al qualify rank <= 5)
+        select item_id, rank, chunk_id, page, round(coalesce(score, 0), 6) as score from r""",
     "qa_context": f"with {TOKENED} select string_agg('[' || rank || '] page ' || page || ', chunk ' || chunk_id || ': ' || text, chr(10) || chr(10) order by rank) as context from ({_ranked('select chunk_id, page, text, score from sc', _LEX, 3)})",
     "evidence_labels": f"with {CHUNKS}, {_DOC_TEXTS.format(sep='; ')} select doc_id, evidence, length(text) as n_chars from joined",
     "reproduction_reports": f"with {PAPERS}, {CHUNKS}, {_DOC_TEXTS.format(sep='|')} select doc_id, coalesce({_DATASETS}, 'unknown') as datasets, coalesce({_METRICS}, 'unknown') as metrics, coalesce({_BASELINES}, 'unknown') as baselines, coalesce(evidence, '') as evidence from papers left join joined using (doc_id)",
@@ -228,5 +232,10 @@ SQL = {
     "warning_classes": f"with w as (select p_partkey, [{', '.join(_q(x) for x in WARNINGS)}][p_partkey % {len(WARNINGS)} + 1] as w from part) select p_partkey, {_shown('w', '当前使用本地测试向量。配置 OPENAI_API_KEY 后可启用生产级语义检索。', '当前使用本地测试回答。配置 DEEPSEEK_API_KEY 后可启用真实模型输出。')} as shown, {_shown('w', '当前使用本地测试向量，检索效果仅供开发验证。', '当前使用本地测试回答，配置 DeepSeek 后可启用真实模型输出。')} as answer_shown from w",
     "tag_parse": "select p_partkey, array_to_string(list_filter(list_transform(string_split(' ' || p_brand || ',, ' || p_type || ' , ', ','), lambda x: trim(x)), lambda x: x <> ''), '|') as tags from part",
     "short_titles": "select p_partkey, case when length(t) > 34 then left(t, 31) || '...' else t end as title from (select p_partkey, p_name || ' ' || p_type || ' ' || p_brand as t from part)",
-    "history_items": "select pos, id, title from (select p_partkey - 1 + (select 0) as p0, (row_number() over (order by p_partkey) - 1)::bigint as pos, p_partkey::varchar as id, p_name as title, p_partkey from part where p_partkey <= 12) where p_partkey % 4 <> 0 order by pos limit 8",
+    "history_items": """select p_brand, pos, id, title from (select p_brand, p_partkey, (row_number() over (partition by p_brand order by p_partkey) - 1)::bigint as pos, p_partkey::varchar as id, p_name as title from part)
+        where p_partkey % 4 <> 0 qualify row_number() over (partition by p_brand order by pos) <= 8""",
+    "text_cleanup": r"""with r as (select p_partkey, p_name || ' ﬁne ſo Straße' || chr(9) || 'data: A,' || chr(10) || ' B ' || chr(9) || ' and C.' as c from part),
+        f as (select *, replace(replace(replace(lower(c), 'ﬁ', 'fi'), 'ſ', 's'), 'ß', 'ss') as fc from r)
+        select p_partkey, left(replace(c, chr(10), ' '), 180) as snippet, c as clean, chr(9) || chr(10) || ' ' || fc || chr(10) || ' ' || chr(12288) as folded,
+        array_to_string(list_sort(list_distinct(regexp_extract_all(fc, '[a-z0-9_]{2,}'))), '|') as tokens, 'A' as values, replace(c, ',' || chr(10) || ' ', '|') as tags from f""",
 }

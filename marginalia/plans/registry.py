@@ -18,6 +18,7 @@ QUESTION = oracles.QUESTION
 DIRECTION = oracles.DIRECTION
 TERM = oracles.TERM
 PROFILE = "v2:mock:mock-embedding:16"
+SHELVES = 3
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -365,8 +366,8 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _migration(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks (first pages); legacy vectors, of which some texts or lengths differ; a target that holds some chunks."""
-    chunks = views.chunks(spark, d).where("page = 1")
+    """All chunks; legacy vectors, of which some texts or lengths differ; a target that holds some chunks."""
+    chunks = views.chunks(spark, d)
     n = F.col("doc_id").cast("long")
     vector = F.transform(F.sequence(F.lit(1), F.when(n % 5 == 0, 8).otherwise(16)), lambda i: i.cast("double"))
     legacy = chunks.where(n % 2 == 0).select(F.when(n % 7 == 0, F.concat(F.lit("gone-"), "chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(n % 6 == 0, "stale").otherwise(F.col("text")).alias("text"), vector.alias("embedding"))
@@ -415,6 +416,15 @@ def graph_enrichment(spark: SparkSession, d: str) -> DataFrame:
 # extraction
 
 
+@query
+def text_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Stripping, folding and snippets of texts with tabs, newlines, ligatures and long s."""
+    raw = F.concat(F.lit("\t\n "), "p_name", F.lit(" ﬁne ſo Straße\tdata: A,\n B \t and C.\n \u3000"))
+    rows = views.table(spark, d, "part").select("p_partkey", raw.alias("t"))
+    t = F.col("t")
+    return rows.select("p_partkey", X.snippet(t).alias("snippet"), X.clean_text(t).alias("clean"), X.fold(t).alias("folded"), joined(F.array_sort(X.tokens(t)), "|").alias("tokens"), joined(X.after_labels(t, ["Data"]), "|").alias("values"), joined(X.comma_tags(t), "|").alias("tags"))
+
+
 @query
 def label_extract(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
@@ -466,8 +476,13 @@ def openalex_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def qa_sources(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = retrieval.ladder(views.chunks(spark, d, [1, 2, 3, 4, 5, 6]), None, QUESTION, None, 5, ["1", "2", "3", "4", "5", "6"])
-    return found.select("rank", "doc_id", "chunk_id", big("page").alias("page"), F.round("score", 6).alias("score"))
+    """Every question, asked of the documents on its shelf (ids with the question's remainder by SHELVES)."""
+    chunks, asked, found = views.chunks(spark, d), views.questions(spark, d), None
+    for shelf in range(SHELVES):
+        stored = chunks.where(F.col("doc_id").cast("long") % SHELVES == shelf)
+        one = retrieval.lexical_topk_many(stored, asked.where(F.col("item_id") % SHELVES == shelf), 5)
+        found = one if found is None else found.unionByName(one)
+    return found.select("item_id", "rank", "chunk_id", big("page").alias("page"), F.round("score", 6).alias("score"))
 
 
 @query
@@ -518,9 +533,10 @@ def short_titles(spark: SparkSession, d: str) -> DataFrame:
 @query
 def history_items(spark: SparkSession, d: str) -> DataFrame:
     one = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("2024-01-01").alias("created_at")))
-    rows = views.table(spark, d, "part").where("p_partkey <= 12").select(F.struct("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "7").otherwise(one).alias("j")).alias("x"))
-    stored = rows.agg(F.concat(F.lit("["), joined(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]), ","), F.lit("]")).alias("raw"))
-    return literature.history_items(stored).select(big("pos").alias("pos"), "id", "title")
+    rows = views.table(spark, d, "part").select("p_brand", F.struct("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "7").otherwise(one).alias("j")).alias("x"))
+    listed = joined(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["j"]), ",")  # a brand's history is one stored text
+    stored = rows.groupBy("p_brand").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("raw"))
+    return literature.history_items(stored, key="p_brand").select("p_brand", big("pos").alias("pos"), "id", "title")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
@@ -45,9 +45,15 @@ def openalex_works(answers: DataFrame, body: str = "body") -> DataFrame:
 HISTORY = "array<struct<id: string, title: string, created_at: string>>"
 
 
-def history_items(stored: DataFrame, raw: str = "raw", most: int = 8) -> DataFrame:
-    """A stored JSON history read item by item: malformed ones dropped, the first ``most`` kept."""
-    items = stored.select(F.posexplode(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")).alias("pos", "v"))
+def history_items(stored: DataFrame, raw: str = "raw", most: int = 8, key: str | None = None) -> DataFrame:
+    """Stored JSON histories, one a row, read item by item: malformed ones dropped, the first ``most`` of each kept.
+
+    ``key`` tells the histories apart; without it the table is one history."""
+    keep = [key] if key else []
+    items = stored.select(*keep, F.posexplode(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")).alias("pos", "v"))
     field = lambda f: F.try_variant_get("v", f"$.{f}", "string")
-    rows = items.where(F.schema_of_variant("v").startswith("OBJECT")).select("pos", field("id").alias("id"), field("title").alias("title"), field("created_at").alias("created_at"))
-    return rows.where("id is not null and title is not null and created_at is not null").orderBy("pos").limit(most)
+    rows = items.where(F.schema_of_variant("v").startswith("OBJECT")).select(*keep, "pos", field("id").alias("id"), field("title").alias("title"), field("created_at").alias("created_at"))
+    rows = rows.where("id is not null and title is not null and created_at is not null")
+    if not key:
+        return rows.orderBy("pos").limit(most)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("place") <= most).drop("place")

@@ -38,7 +38,7 @@ def chunks(spark: SparkSession, d: str, ids: list[int] | None = None) -> DataFra
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.substring(X.normalised(F.col("text")), 1, 120).alias("question"))
+    return table(spark, d, "benchmark").select("item_id", X.normalised(F.col("text")).alias("question"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
