@@ -16,7 +16,10 @@ Items and documents with fewer than five words have their whole sequence as one
 shingle.  Null, empty and blank texts have no shingles: such items are contained in
 nothing, such documents contain nothing.  Repeated documents are answered each.  Items are
 told apart by item_id (null is one) and shingle set: texts that share an item_id are each
-searched and give a row each; rows with the same set under one item_id are one item.
+searched and give a row each; rows with the same set under one item_id are one item.  Equal
+retained values (ties) count for every item that holds them.  Very long documents are
+sampled whole, never cut.  An empty table on either side contains nothing.  Other columns
+are ignored, whatever their names; ``clean`` returns them.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import textkernel as tk
+from marginalia.llm.scratch import unused
 
 WIDTH = 5
 MIN_PERCENT = 75
@@ -185,8 +189,9 @@ def clean(documents: DataFrame, items: DataFrame, percent: int = MIN_PERCENT, br
     """The documents (all columns) that contain no item."""
     index = _small_index(items, percent, broadcast_shingles)
     if index is None:
-        found = _by_join(documents, item_sets(items), percent).select(F.col("doc_id").alias("_leak_id"), F.col("doc_key").alias("_leak_key")).distinct()
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_leak_key"))
+        leak_id, leak_key = unused(documents, "leak_id", "leak_key")
+        found = _by_join(documents, item_sets(items), percent).select(F.col("doc_id").alias(leak_id), F.col("doc_key").alias(leak_key)).distinct()
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(leak_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(leak_key))
         return documents.join(found, same, "left_anti")
     shared = documents.sparkSession.sparkContext.broadcast(index)
 

@@ -16,7 +16,11 @@ hold t but not beside e.
 
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased, of at least
 MIN_TERM bytes.  Positions are code points, ends exclusive.  Null and empty texts have
-no spans.  Rows are judged one by one; repeated rows count as documents each.
+no spans; very long texts are read whole.  Rows are judged one by one; repeated rows count
+as documents each, null doc_ids like any other.  A term that discloses several entities
+counts by the highest; at exactly GENERALISE or REMOVE the stronger rule holds.  An empty
+table gives none.  Other columns are ignored, whatever their names; ``sanitised`` returns
+them.
 
 Pairs are counted after a partial aggregation per task; terms under judgement are
 looked up by hash in every task if at most BROADCAST_TERMS, else joined.
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import scratch
 from marginalia.llm import textkernel as tk
+from marginalia.llm.scratch import unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 6
@@ -264,12 +269,13 @@ def _with_terms(documents: DataFrame, terms: DataFrame, most: int) -> tuple[Data
             for part in tk.slices(batch.column(1)):
                 found = Terms(part)
                 doc, values, _ = tk.distinct_per_doc(found.doc, found.hash.view(np.int64), part.size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.size).take(pa.array(doc)), pa.array(values)], names=["_key", "term"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.lo, part.size).take(pa.array(doc)), pa.array(values)], names=["key", "term"])
 
-    keyed = documents.withColumn("_key", F.xxhash64("text"))
-    own = keyed.select("_key", F.col("text").cast("string").alias("text")).dropDuplicates(["_key"]).mapInArrow(run, "_key long, term long")
-    told = own.join(terms, "term").groupBy("_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("_terms"))  # a document's own terms
-    return keyed.join(told, "_key", "left").select(*[keyed[c] for c in documents.columns], "_terms"), None
+    key, own_terms = unused(documents, "key", "terms")
+    keyed = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    own = keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"]).mapInArrow(run, "key long, term long")
+    told = own.join(terms, "term").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("term", "disclosure")).alias(own_terms))  # a document's own terms
+    return keyed.join(told, key, "left").select(*documents.columns, own_terms), None
 
 
 def _marker_of(shared, batch: pa.RecordBatch, part: tk.Slice) -> Marker:

@@ -1,6 +1,7 @@
 """Whole texts to token ids with the tokenizers library, each distinct chunk once.
 
-A text is cut where the pre-tokenizers of these vocabularies always break: at an
+A text is cut where the pre-tokenizers of KNOWN always break (a tokenizer with any other one
+encodes whole texts): at an
 ASCII space after a character other than white space, at one of ``.,!`` after a
 letter, at a newline after such a character, and after a lone newline that a letter
 follows.  The ids of a text are then the ids of its chunks in order.  The library
@@ -10,6 +11,7 @@ young one is full it becomes the old one, and what is used again moves up."""
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 from itertools import chain
@@ -26,6 +28,21 @@ SLICE_BYTES = 1 << 20
 CALL_CHUNKS = 8192
 
 
+#: Pre-tokenizers and normalizers (as tokenizer files spell them) for which texts may be cut into chunks.
+KNOWN = (
+    ({"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None),
+    (
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    ),
+)
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
@@ -100,11 +117,13 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.chunked = any((spec["pre_tokenizer"], spec["normalizer"]) == known for known in KNOWN)
         self.young, self.old = _Pool(), _Pool()
 
     def encode(self, part: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of the slice in order, ids of each document)."""
-        starts = chunk_starts(part)
+        starts = chunk_starts(part) if self.chunked else np.unique(part.offsets[:-1][part.text_lengths() > 0])
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(part.size, np.int64)
         ends = np.concatenate((starts[1:], [len(part.data)]))
@@ -141,6 +160,13 @@ class ChunkEncoder:
         return np.insert(ids, np.cumsum(lengths), end_id), lengths + 1
 
 
+def vocabulary_size(tokenizer_path: str) -> int:
+    """Ids below this one."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer_path).get_vocab().values()) + 1
+
+
 @lru_cache(maxsize=2)
 def worker_encoder(tokenizer_path: str) -> ChunkEncoder:
     """One encoder a worker process and file; Spark reuses its workers for many tasks."""

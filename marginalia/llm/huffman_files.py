@@ -21,8 +21,10 @@ and beside it the codebook: (token, bits) for every token that occurs; codes are
 assigned in order of (bits, token).  Parquet is the container because Spark commits
 its files atomically when tasks are retried or executors lost.
 
-Null and empty texts are documents of one token, the end id.  Null doc_ids sort
-first.  Repeated doc_ids stay separate documents, ordered by their token bytes.
+Null and empty texts are documents of one token, the end id.  Very long texts are encoded
+whole and lie in one block.  Null doc_ids sort first.  Repeated doc_ids stay separate
+documents, ordered by their token bytes; tokens of equal counts get their codes by id.  An
+empty table gives no blocks.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +41,13 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import scratch
 from marginalia.llm import textkernel as tk
-from marginalia.llm.encoding import SLICE_BYTES, worker_encoder
+from marginalia.llm.encoding import SLICE_BYTES, vocabulary_size, worker_encoder
 
 CODE_BITS = 18
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 18
+#: Ids are held in 16 bits.
+MOST_TOKENS = 1 << 16
 NO_ID = np.iinfo(np.int64).min
 BLOCK_SCHEMA = "part int, block int, part_start long, n_tokens long, doc_ids binary, doc_sizes binary, bits binary, checkpoints binary"
 
@@ -124,7 +128,9 @@ class Code:
 
 
 def tokenised(documents: DataFrame, tokenizer_path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (uint32 LE, or uint16 for small vocabularies are the caller's choice)."""
+    """doc_id, n_tokens and ids (uint16 LE); a vocabulary or end id beyond that is refused."""
+    if max(vocabulary_size(tokenizer_path), end_id + 1) > MOST_TOKENS:
+        raise ValueError(f"ids beyond {MOST_TOKENS - 1} do not fit the files")
     columns = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +151,7 @@ def token_histogram(ids: DataFrame) -> np.ndarray:
     """Occurrences of every token: partial counts per task, one row a token to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, dtype=np.int64)
+        total = np.zeros(MOST_TOKENS, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
                 total += np.bincount(np.frombuffer(value.as_buffer(), "<u2"), minlength=len(total)) if len(value.as_buffer()) > 1 << 16 else 0
@@ -156,7 +162,7 @@ def token_histogram(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int32)), pa.array(total[token])], names=["token", "n"])
 
     rows = ids.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << 16, dtype=np.int64)
+    counts = np.zeros(MOST_TOKENS, dtype=np.int64)
     counts[rows["token"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return counts
 

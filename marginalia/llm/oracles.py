@@ -41,7 +41,7 @@ k as (select *, case when regexp_matches(bare, '^[0-9.]+$') then bare when two i
     case when regexp_matches(bare, '^[0-9.]+$') then '' when two in ('ac.uk','co.jp','co.uk','com.au','com.br','gov.uk','org.uk') then two else string_split(bare, '.')[-1] end as suffix
     from (select *, array_to_string(string_split(bare, '.')[-2:], '.') as two from q)),
 o as (select k.page_id, host, domain, suffix, (quality = 0 or toxic = 1)::bigint as bad from k
-    join labels l on l.doc_id = try_cast(regexp_extract(path, '/(\d{1,18})', 1) as bigint) where quality is not null and toxic is not null),
+    join labels l on l.doc_id = try_cast(regexp_extract(path, '/(\d{1,18})(?:\D|$)', 1) as bigint) where quality is not null and toxic is not null),
 h as (select host, domain, suffix, count(*) as n, sum(bad) as bad from o group by all),
 dm as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all),
 sx as (select suffix, sum(n) as n, sum(bad) as bad from dm group by all),

@@ -59,7 +59,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, bad: a page is a view of the document numbered in its URL path; low quality or toxic is bad."""
-    number = F.try_to_number(F.regexp_extract(host_reputation.path_of(F.col("url")), r"/(\d{1,18})", 1), F.lit("9" * 18)).cast("long")
+    number = F.try_to_number(F.regexp_extract(host_reputation.path_of(F.col("url")), r"/(\d{1,18})(?!\d)", 1), F.lit("9" * 18)).cast("long")
     views = pages.select("page_id", number.alias("doc_id"))
     return views.join(labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")), "doc_id").select("page_id", "bad")
 

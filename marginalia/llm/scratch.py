@@ -1,7 +1,7 @@
 """Written intermediate tables: they cut lineage and survive lost executors.
 
-Tables go to the shared folder named by ``spark.checkpoint.dir``.  Where that is
-unset (tests, one machine) a temporary folder is set as the default."""
+Tables go to the shared folder named by ``spark.checkpoint.dir``.  Where that is unset, a
+session of one machine (local master) gets a temporary folder; a cluster is refused."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ def root(spark: SparkSession) -> str:
     named = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"{CONF} must name a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="marginalia-"))
     return f"file://{_fallback[0]}"

@@ -5,13 +5,16 @@ holds them; longer documents first fill whole windows of the largest tier.  From
 longest tier down, every piece opens a window of its tier, whose gap takes the
 longest shorter pieces that fit and at last the head of one more, so windows are
 full.  What a task has left is carried to its next slice and, at its end, cut at
-powers of two; so nothing is padded.  Windows of one tier are dealt to step groups of
-GROUP_TOKENS tokens in serpentine order of attention work (sum of squared piece
-lengths), so a step's groups cost alike.
+powers of two; so nothing is padded.  Windows of one tier wait until GROUPS step groups
+of GROUP_TOKENS tokens are full and are dealt to them in serpentine order of attention
+work (sum of squared piece lengths), so a step's groups cost alike.  Only the end of a task
+has smaller groups: at most GROUPS a tier, and one for its last pieces.
 
 A task packs its own rows (no shuffle), in slices of bounded size.  Null and empty
-texts are one token, the end id.  Null doc_ids and repeated rows are packed like any
-other row.  sequence_id and step_group are unique over all tasks.
+texts are one token, the end id.  Very long texts fill whole windows.  Null doc_ids and
+repeated rows are packed like any other row; pieces of equal length are taken last in,
+first out.  An empty table gives none.  Other columns are ignored, whatever their names.
+sequence_id and step_group are unique over all tasks.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from marginalia.llm.encoding import SLICE_BYTES, worker_encoder
 
 TIERS = (4096, 2048, 1024, 512, 256)
 GROUP_TOKENS = 8 * 4096
+#: Step groups of a tier that are filled together.
+GROUPS = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 Piece = tuple  # (doc_id, start, ids, doc_tokens)
@@ -106,20 +111,45 @@ def powers(pieces: list[Piece]) -> list[Window]:
     return out
 
 
-def step_groups(windows: list[Window]) -> list[int]:
-    """A group for each window: one tier and GROUP_TOKENS tokens a group, similar attention work."""
-    groups, used = [0] * len(windows), 0
-    tiers: dict[int, list[int]] = {}
-    for i, (tier, _) in enumerate(windows):
-        tiers.setdefault(tier, []).append(i)
-    for tier, members in tiers.items():
-        members.sort(key=lambda i: -sum(len(p[2]) ** 2 for p in windows[i][1]))
-        n = -(-len(members) // max(1, GROUP_TOKENS // tier))
-        for place, i in enumerate(members):
-            turn, col = divmod(place, n)
-            groups[i] = used + (col if turn % 2 == 0 else n - 1 - col)
-        used += n
-    return groups
+def serpentine(work: list[int], groups: int) -> list[int]:
+    """A group for each window: by falling work, dealt there and back, so groups differ by one window at most."""
+    out = [0] * len(work)
+    for place, i in enumerate(sorted(range(len(work)), key=lambda i: -work[i])):
+        turn, col = divmod(place, groups)
+        out[i] = col if turn % 2 == 0 else groups - 1 - col
+    return out
+
+
+class StepGroups:
+    """Windows of a task wait by tier until GROUPS whole step groups can be balanced over them."""
+
+    def __init__(self) -> None:
+        self.waiting: dict[int, list[Window]] = {}
+        self.used = 0
+
+    def add(self, windows: list[Window]) -> Iterator[tuple[Window, int]]:
+        """The given windows join; (window, group) of those that now make up whole groups."""
+        for window in windows:
+            tier = window[0]
+            held = self.waiting.setdefault(tier, [])
+            held.append(window)
+            if len(held) == GROUPS * max(1, GROUP_TOKENS // tier):
+                yield from self._dealt(held, GROUPS)
+                self.waiting[tier] = []
+
+    def rest(self, last: list[Window]) -> Iterator[tuple[Window, int]]:
+        """What waits, in as few groups as hold it; ``last``, the task's unfilled end, is one group."""
+        for tier, held in self.waiting.items():
+            if held:
+                yield from self._dealt(held, -(-len(held) // max(1, GROUP_TOKENS // tier)))
+        self.waiting = {}
+        if last:
+            yield from self._dealt(last, 1)
+
+    def _dealt(self, windows: list[Window], groups: int) -> Iterator[tuple[Window, int]]:
+        own = serpentine([sum(len(p[2]) ** 2 for p in pieces) for _, pieces in windows], groups)
+        yield from zip(windows, (self.used + g for g in own), strict=True)
+        self.used += groups
 
 
 def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -130,23 +160,21 @@ def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(tokenizer_path)
         task = TaskContext.get().partitionId() << 36
-        n_windows = n_groups = 0
+        n_windows, groups = 0, StepGroups()
         left: list[Piece] = []
 
-        def rows(windows: list[Window]) -> pa.RecordBatch:
-            nonlocal n_windows, n_groups
-            groups = step_groups(windows)
+        def rows(windows: Iterator[tuple[Window, int]]) -> pa.RecordBatch:
+            nonlocal n_windows
             out: list[list] = [[] for _ in range(9 + with_ids)]
-            for (tier, pieces), group in zip(windows, groups, strict=True):
+            for (tier, pieces), group in windows:
                 offset = 0
                 for doc_id, start, ids, total in pieces:
                     raw = ids.astype("<u4").tobytes()
-                    row = [doc_id, start, len(ids), zlib.crc32(raw), total, task + n_windows, offset, tier, task + n_groups + group]
+                    row = [doc_id, start, len(ids), zlib.crc32(raw), total, task + n_windows, offset, tier, task + group]
                     for column, value in zip(out, [*row, raw] if with_ids else row, strict=True):
                         column.append(value)
                     offset += len(ids)
                 n_windows += 1
-            n_groups += max(groups, default=-1) + 1
             kinds = [*[pa.int64()] * 7, pa.int32(), pa.int64(), *[pa.binary()] * with_ids]
             names = [c.split()[0] for c in schema.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
@@ -169,10 +197,8 @@ def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tu
                         pool.add((doc_ids[part.lo + k], whole, own[whole:], len(own)))
                 more, left = pack(pool, tiers)
                 windows += more
-                if windows:
-                    yield rows(windows)
-        if left:
-            yield rows(powers(left))
+                yield rows(groups.add(windows))
+        yield rows(groups.rest(powers(left)))
 
     schema = SCHEMA + (", ids binary" if with_ids else "")
     return columns.mapInArrow(run, schema)

@@ -62,6 +62,25 @@ def test_files_round_trip(spark, documents, library):
     assert [r["doc_id"] or -1 for r in ordered][1:] == sorted(r["doc_id"] or -1 for r in ordered)[1:]
 
 
+def test_other_pre_tokenizers_encode_whole_texts(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tokenizer.save(str(tmp_path / "t.json"))
+    texts = ["one two, three", None, "", "it is one two"]
+    encoder = encoding.ChunkEncoder(str(tmp_path / "t.json"))
+    (part,) = tk.slices(pa.array(texts))
+    ids, lengths = encoder.encode(part)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [encode(tokenizer, t) for t in texts]
+
+
+def test_ids_that_do_not_fit_are_refused(documents):
+    with pytest.raises(ValueError, match="do not fit"):
+        huffman_files.tokenised(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=1 << 16)
+
+
 def test_files_of_nothing(spark, documents):
     blocks, lengths = huffman_files.encode_corpus(documents.limit(0), public_tokenizers.path("byte_bpe_50k.json"))
     assert huffman_files.read_blocks(blocks, lengths).count() == 0
@@ -93,8 +112,32 @@ def test_pool_prefers_the_longest_that_fits():
     windows, left = tier_packing.pack(pool)
     assert [(t, [p[0] for p in w]) for t, w in windows] == [(4096, [3000, 900, 100, 200])]
     assert sum(len(p[2]) for p in left) == 104
-    groups = tier_packing.step_groups([(4096, [(0, 0, np.zeros(n), n)]) for n in range(1, 33)])
-    assert sorted(groups.count(g) for g in set(groups)) == [8, 8, 8, 8]
+
+
+def test_step_groups_are_filled_over_slices():
+    groups, window = tier_packing.StepGroups(), lambda n, tier=4096: (tier, [(0, 0, np.zeros(n), n)])
+    per, many = tier_packing.GROUP_TOKENS // 4096, tier_packing.GROUPS
+    out = [x for part in range(3) for x in groups.add([window(n) for n in range(1, 1 + many * per // 2)] + [window(9)])]
+    assert len(out) == many * per and sorted([g for _, g in out].count(g) for g in range(many)) == [per] * many
+    work = [sum(w[1][0][3] ** 2 for w, own in out if own == g) for g in range(many)]
+    assert max(work) < 1.2 * min(work)
+    rest = list(groups.rest([window(3, 4), window(1, 1)]))
+    assert [g for _, g in rest[-2:]] == [max(g for _, g in rest)] * 2 and len(rest) == 3 * (many * per // 2 + 1) - many * per + 2
+
+
+def test_step_groups_of_a_corpus(spark):
+    rows = [(i, "some words that are packed " * (1 + i * 7 % 400)) for i in range(1200)] + [(None, None), (3, "twice"), (3, "twice")]
+    found = tier_packing.packed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public_tokenizers.path("word_bpe_49k.json")).collect()
+    held, tiers = {}, {}
+    for r in found:
+        held[r["step_group"]] = held.get(r["step_group"], 0) + r["length"]
+        tiers.setdefault(r["tier"] if r["tier"] in tier_packing.TIERS else 0, set()).add(r["step_group"])
+    for tier, own in tiers.items():
+        short = [g for g in own if held[g] != tier_packing.GROUP_TOKENS]
+        assert len(short) <= (tier_packing.GROUPS if tier else 1)
+    assert sum(held.values()) == sum({(r["doc_id"], r["doc_tokens"], r["start"]): r["length"] for r in found if r["doc_id"] != 3}.values()) + sum(r["length"] for r in found if r["doc_id"] == 3)
+    assert tier_packing.packed(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
 
 
 def test_counts_like_the_library(documents, texts):
