@@ -3,15 +3,22 @@
 Languages are recognised and what has none is rejected, near-duplicates reduced to one
 of each group, documents that hold test items dropped, personal data sanitised, and the
 rest packed into training windows.  All but the last return the columns of documents.
+
+Null and empty texts, and texts without a letter, have no language and go in the first
+stage.  Null doc_ids are kept and linked with nothing.  Rows that repeat a doc_id are told
+apart by their text; of equal rows one stays.  Very long texts are read whole.  Ties in the
+near-duplicate stage keep the smallest doc_id.  Empty tables give none.  Extra columns pass
+through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bottomk_dedup, containment, disclosure, language_filters, scratch, tier_packing
+from marginalia.llm import bottomk_dedup, containment, disclosure, language_filters, scratch, tier_packing  # isort: skip
+
+import public_tokenizers
 
 #: Documents whose best language has a smaller share of the filters' votes are rejected.
 LEAST_LANGUAGE_SCORE = 0.3
