@@ -6,7 +6,8 @@ each of the OWN most frequent words, and ENDINGS classes, by a word's last bytes
 others.  Baum-Welch trains it: every task runs scaled forward-backward over its training
 sequences and emits expected counts, which Spark sums across partitions; ROUNDS rounds
 over all training texts.  The last round also sums the expected counts of every other
-word by state, in a table that grows with the vocabulary: in state k, word w of class g has
+word by state (a byte a state, beside the exact count), in a table that grows with the
+vocabulary: in state k, word w of class g has
 the share (c_k(w) + a) / (c_k(g) + a (V_g + 1)) of its class, with c the expected counts,
 V_g the distinct words of the class and a = 1 / STATES; unseen words share one such place.
 So every word of the training texts has emissions of its own.  The scaled forward
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -293,22 +295,39 @@ class Group:
         return np.concatenate((alphas[: self.active[0]].sum(axis=0)[None], moves * model.move, emit))
 
 
+COUNTS = "own boolean, key long, kind int, n double, shares long"
+
+
+def packed_shares(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each row's counts by state as shares of ``n``, one byte a state, in one long."""
+    share = np.round(255 * counts / np.maximum(n, 1e-300)[:, None]).astype(_U)
+    return np.bitwise_or.reduce(share << (_U(8) * np.arange(counts.shape[1], dtype=_U)), axis=1).view(np.int64)
+
+
+def unpacked_shares(shares: np.ndarray, states: int) -> np.ndarray:
+    return (shares.view(_U)[:, None] >> (_U(8) * np.arange(states, dtype=_U)) & _U(255)) / 255.0
+
+
 def train(rows: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray, DataFrame]:
     """Baum-Welch over all training rows: the model, the classes' expected counts (ENDINGS x states), and the table
-    (word, c0, c1, ...) of every other word's.  A round's sums for start, moves and symbols come to the driver."""
+    (word, n, shares) of every word without a symbol: its occurrences, and by state their expected share in bytes.
+
+    A round's sums for start, moves and symbols come to the driver.  Rows are (own, key, n): a parameter's place and
+    sum, or (own) a word's hash and occurrences; both kinds are summed in one shuffle."""
+    if states > 8:
+        raise ValueError("at most 8 states have a byte each")
     model = Hmm.initial(vocabulary, states)
     context = rows.sparkSession.sparkContext
-    columns = [f"c{k}" for k in range(states)]
-    schema = f"word boolean, key long, {', '.join(f'{c} double' for c in columns)}"
-    fixed, summed = 1 + states + vocabulary.symbols, None
+    fixed = (1 + states + vocabulary.symbols) * states
+    classes, summed = np.zeros((ENDINGS, states)), None
     for turn in range(rounds):
         shared, last = context.broadcast(model), turn + 1 == rounds
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            def sent(word: bool, key: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), word)), pa.array(key), *(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(states))], names=["word", "key", *columns])
+            def sent(own: bool, key: np.ndarray, kind: np.ndarray, n: np.ndarray, shares: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), own)), pa.array(key), pa.array(kind.astype(np.int32)), pa.array(n.astype(np.float64)), pa.array(shares)], names=[c.split()[0] for c in COUNTS.split(", ")])
 
-            total = np.zeros((fixed, states))
+            total = np.zeros((fixed // states, states))
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block.of(row)
@@ -319,27 +338,35 @@ def train(rows: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds:
                     counts = np.zeros((1 + states + len(model.emit), states))
                     for _, group in block.groups(symbols, ~block.held):
                         counts += group.expected(model)
-                    total += counts[:fixed]
+                    total += counts[: len(total)]
                     if last:
-                        own = counts[fixed:]
+                        own = counts[len(total) :]
                         np.add.at(total, 1 + states + kind, own)
-                        met = np.flatnonzero(own.any(axis=1))
-                        yield sent(True, block.words[met], own[met])
-            met = np.flatnonzero(total.any(axis=1))
-            yield sent(False, met, total[met])
-
-        columns_read = rows.select("held", "lengths", "symbols", "words", "word_at")
-        found = columns_read.mapInArrow(run, schema).groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in columns])
-        summed = scratch.written(found, "expected-counts")
-        table = summed.where("not word").toPandas()
+                        n = np.round(own.sum(axis=1))
+                        met = np.flatnonzero(n)
+                        yield sent(True, block.words[met], kind[met] - (vocabulary.symbols - ENDINGS), n[met], packed_shares(own[met], n[met]))
+            place = np.flatnonzero(total)
+            zeros = np.zeros(len(place), np.int64)
+            yield sent(False, place, zeros, total.ravel()[place], zeros)
+
+        found = rows.select("held", "lengths", "symbols", "words", "word_at").mapInArrow(run, COUNTS)
+        share = lambda k: F.shiftrightunsigned("shares", 8 * k).bitwiseAND(F.lit(255))
+        # a task's keys are distinct but for its few blocks, so rows are shuffled as they are: sums by state are wider
+        found = found.repartition("key").groupBy("own", "key").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"), *[F.sum(F.col("n") * share(k)).alias(f"s{k}") for k in range(states)])
+        bytes_of = [F.shiftleft(F.round(F.col(f"s{k}") / F.col("n")).cast("long"), 8 * k) for k in range(states)]
+        summed = scratch.written(found.select("own", "key", "kind", "n", F.when(F.col("own"), reduce(lambda a, b: a.bitwiseOR(b), bytes_of)).alias("shares")), "expected-counts")
+        table = summed.where("not own").select("key", "n").toPandas()
         shared.unpersist()
-        counts = np.zeros((fixed, states))
-        counts[table["key"].to_numpy(np.int64)] = table[columns].to_numpy(np.float64)
         if len(table):
-            model = Hmm.from_counts(counts)
-        if not last:
+            flat = np.zeros(fixed)
+            flat[table["key"].to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
+            model = Hmm.from_counts(flat.reshape(-1, states))
+        if last:
+            whole = summed.where("own").groupBy("kind").agg(*[F.sum(F.col("n") * share(k)).alias(f"s{k}") for k in range(states)]).toPandas()  # ENDINGS rows
+            classes[whole["kind"].to_numpy(np.int64)] = whole[[f"s{k}" for k in range(states)]].to_numpy(np.float64) / 255
+        else:
             scratch.drop(summed)
-    return model, counts[fixed - ENDINGS :], summed.where("word").select(F.col("key").alias("word"), *columns)
+    return model, classes, summed.where("own").select(F.col("key").alias("word"), "n", "shares")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -348,9 +375,8 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 def scores(rows: DataFrame, vocabulary: Vocabulary, model: Hmm, classes: np.ndarray, words: DataFrame) -> DataFrame:
     """SCORES of every document; ``base`` still lacks the logarithm of the total, once a token."""
     states = classes.shape[1]
-    columns = [f"c{k}" for k in range(states)]
     shared = rows.sparkSession.sparkContext.broadcast((model, classes))  # bounded by OWN and ENDINGS
-    met = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word")).join(words, "word").select("of", "pos", *columns)
+    met = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word")).join(words, "word").select("of", "pos", "n", "shares")
     distinct, add = vocabulary.class_words, 1 / states
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -359,15 +385,17 @@ def scores(rows: DataFrame, vocabulary: Vocabulary, model: Hmm, classes: np.ndar
         for row in left.to_pylist():
             block = Block.of(row)
             symbols, kind = block.extended(len(model.emit))
-            counts = np.zeros((len(block.words), states))
-            counts[right.column("pos").to_numpy()] = np.stack([right.column(c).to_numpy() for c in columns], axis=1)
+            counts, seen = np.zeros((len(block.words), states)), np.zeros(len(block.words))
+            at = right.column("pos").to_numpy()
+            seen[at] = right.column("n").to_numpy()
+            counts[at] = seen[at, None] * unpacked_shares(right.column("shares").to_numpy(), states)
             place = kind - (len(model.emit) - ENDINGS)
             share = (counts + add) / (classes[place] + add * (distinct[place] + 1)[:, None])
             full = Hmm(model.start, model.move, np.concatenate((model.emit, model.emit[kind] * share)))
             score = np.zeros(len(block.lengths))
             for which, group in block.groups(symbols, np.ones(len(score), bool)):
                 score[which] = group.forward(full)[0] / np.log(10)
-            n = np.round(counts.sum(axis=1))[block.word_at]
+            n = seen[block.word_at]
             doc = np.repeat(np.arange(len(score)), block.lengths)[block.symbols >= len(model.emit) - ENDINGS]
             known = np.frombuffer(row["known"], "<i8") + np.bincount(doc, weights=n > 0, minlength=len(score)).astype(np.int64)
             base = np.frombuffer(row["base"], "<f8") + np.bincount(doc, weights=np.log10(n + 1), minlength=len(score))
