@@ -121,10 +121,10 @@ def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 def inverted_lists(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     """(value, node, n, members, hub, n_hub): each node under its rarest retained values, lists of one left out.
 
-    What is counted a value is written before it is joined, so that Spark can split a frequent value's rows."""
+    What is counted a value is kept before it is joined, so that Spark can split a frequent value's rows."""
     sized = nodes.select("node", "n", F.size("sketch").alias("s"), "sketch")
     listed = sized.select("node", F.explode("sketch").alias("value"))
-    frequent = scratch.written(listed.groupBy("value").count().where("count > 1"), "frequent-values")
+    frequent = scratch.kept(listed.groupBy("value").count().where("count > 1"))
     shared = listed.join(frequent, "value")
     own = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("ordered"))  # at most k entries
     own = own.join(sized.drop("sketch"), "node")
@@ -132,7 +132,7 @@ def inverted_lists(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     lists = own.where(prefix > 0).select("node", "n", F.explode(F.slice("ordered", 1, F.greatest(prefix, F.lit(1)))).alias("x")).select("x.value", "node", "n")
     lists = scratch.written(lists, "lists")
     heads = lists.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("hub")).where("members > 1")
-    heads = scratch.written(heads.select("value", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub")), "heads")
+    heads = scratch.kept(heads.select("value", "members", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub")))
     out = scratch.written(lists.join(heads, "value"), "shared-lists")
     scratch.drop(frequent, lists, heads)
     return out
@@ -148,11 +148,13 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
     return met.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, block: int, held: list[DataFrame]) -> DataFrame:
     """Links (a, b) among written pairs that the union sketch admits and the full sets confirm.
 
-    A hub with pairs of more than ``block`` shingles is copied: each copy meets a share of them."""
-    hubs = scratch.written(pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / block).cast("int").alias("copies")), "hubs")
+    A hub with pairs of more than ``block`` shingles is copied: each copy meets a share of them.  ``held`` gets the
+    kept tables, to be dropped once the links are written."""
+    hubs = scratch.kept(pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / block).cast("int").alias("copies")))
+    held.append(hubs)
     dealt = pairs.join(hubs, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
 
     def met(left: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -176,27 +178,28 @@ def open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
     labelled = lists.join(groups.withColumnRenamed("id", "node"), "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
     sizes = labelled.groupBy("value", "component").count()
     largest = sizes.groupBy("value").agg(F.count("*").alias("different"), F.max_by("component", F.struct("count", "component")).alias("gathering"))
-    largest = scratch.written(largest.where("different > 1").select("value", "gathering"), "largest")
+    largest = scratch.kept(largest.where("different > 1").select("value", "gathering"))
     out = scratch.written(labelled.join(largest, "value").select("gathering", "value", "node", "n", "component"), "open-lists")
     scratch.drop(largest)
     return out
 
 
-def block_links(met: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def block_links(met: DataFrame, sets: DataFrame, block: int, held: list[DataFrame]) -> DataFrame:
     """Links (a, b) between members of different components of written open lists, exact, one for two components
     and a unit.  A unit is a block of members outside the largest component, which ask, and a block of members."""
-    members = scratch.written(met.groupBy("gathering", "node").agg(F.min("value").alias("home"), F.first("n").alias("n"), F.first("component").alias("component")), "members")
-    sizes = scratch.written(members.groupBy("gathering").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")), "gathering-sizes")
-    homes = scratch.written(members.groupBy("gathering", "home").agg(F.ceil(F.sum("n") / block).alias("parts")), "homes")
+    members = scratch.kept(met.groupBy("gathering", "node").agg(F.min("value").alias("home"), F.first("n").alias("n"), F.first("component").alias("component")))
+    sizes = scratch.kept(members.groupBy("gathering").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")))
+    homes = scratch.kept(members.groupBy("gathering", "home").agg(F.ceil(F.sum("n") / block).alias("parts")))
     own = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")), F.col("blocks")).cast("int")
     dealt = members.join(homes, ["gathering", "home"]).join(sizes, "gathering").select("gathering", "node", "component", own.alias("own"))
-    dealt = scratch.written(dealt, "dealt")
+    dealt = scratch.kept(dealt)
     placed = met.select("gathering", "value", "node").join(dealt, ["gathering", "node"])
     placed = placed.groupBy("gathering", "value", "own").agg(F.bool_or(F.col("component") != F.col("gathering")).alias("asks"))
-    placed = scratch.written(placed, "placed")
+    placed = scratch.kept(placed)
     few = placed.where("asks").select("gathering", "value", F.col("own").alias("i"))
     units = few.join(placed.select("gathering", "value", F.col("own").alias("j")), ["gathering", "value"]).select("gathering", "i", "j").distinct()
-    units = scratch.written(units, "units")
+    units = scratch.kept(units)
+    held += [members, sizes, homes, dealt, placed, units]
     left = dealt.where("component <> gathering").withColumnRenamed("own", "i").join(units, ["gathering", "i"]).withColumn("asks", F.lit(True))
     right = dealt.withColumnRenamed("own", "j").join(units, ["gathering", "j"]).withColumn("asks", F.lit(False))
     sent = left.unionByName(right).join(sets, "node")
@@ -254,11 +257,12 @@ def grouped(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = coarse.where(F.col("members") <= LONG_LIST).unionByName(closer)
 
     pairs = scratch.written(hub_pairs(lists), "pairs")
-    found = components(verified(pairs, nodes, sets, BLOCK))
+    held: list[DataFrame] = []
+    found = components(verified(pairs, nodes, sets, BLOCK, held))
     met = open_lists(lists, found)
-    more = block_links(met, sets, BLOCK)
+    more = block_links(met, sets, BLOCK, held)
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
-    scratch.drop(coarse, closer, sets, pairs, met)
+    scratch.drop(coarse, closer, sets, pairs, met, *held)
 
     ids = classes.select("node", "id")
     reached = found.select(F.col("id").alias("node"), "component").union(found.select(F.col("component").alias("node"), "component").distinct())
@@ -277,9 +281,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     key = ["h1", "h2", "n"]
     digest = F.struct(*key)
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
-    of_repeated = scratch.written(rows.join(several, "doc_id").join(by_set, key).select("doc_id", "component").distinct(), "repeated-ids")
+    of_repeated = scratch.kept(rows.join(several, "doc_id").join(by_set, key).select("doc_id", "component").distinct())
     first = of_repeated.groupBy("doc_id").agg(F.min("component").alias("a"))
     merged = components(of_repeated.join(first, "doc_id").select("a", F.col("component").alias("b")))
+    scratch.drop(of_repeated)
     whole = by_set.join(merged.select(F.col("id").alias("component"), F.col("component").alias("into")), "component", "left").select(*key, F.coalesce("into", "component").alias("component"))
     out = rows.join(whole, key, "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component"))

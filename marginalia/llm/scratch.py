@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
@@ -43,6 +44,14 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` in Spark's own cache, for small tables that are read a few times: no files, and a lost executor's
+    part is computed again from written tables; see ``drop``."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out._scratch_kept = True
+    return out
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -53,8 +62,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
+    """Delete written and kept tables that nothing reads any more."""
     for df in tables:
+        if getattr(df, "_scratch_kept", False):
+            df.unpersist()
         path = getattr(df, "_scratch_path", None)
         if path:
             spark = df.sparkSession
