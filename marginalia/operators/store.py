@@ -1,7 +1,8 @@
 """Versioned Parquet tables: upserts by key without MERGE, and a writer's lock.
 
-A write goes to a new version folder; a one-line pointer file then names it, so readers
-see the old or the new version and a failed write leaves the old one."""
+A write goes to a new version folder; creating its pointer file then publishes it in one
+step.  Readers take the newest pointer, so they see the old or the new version, and a write
+that fails at any point leaves the old one."""
 
 from __future__ import annotations
 
@@ -10,12 +11,14 @@ import socket
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.errors import EngineError
 from marginalia.schema import KEYS, TABLES
 
+POINTER = "CURRENT."
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key: the greatest by ``order``; aggregated before the shuffle."""
@@ -59,17 +62,16 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _pointers(self, name: str) -> list[str]:
+        """Published versions, oldest first: their names begin with the time."""
+        folder = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(n.removeprefix(POINTER) for n in names if n.startswith(POINTER))
 
     def _version(self, name: str) -> str | None:
-        if not self._fs.exists(self._path(self._pointer(name))):
-            return None
-        stream = self._fs.open(self._path(self._pointer(name)))
-        try:
-            return stream.readLine()
-        finally:
-            stream.close()
+        return next(reversed(self._pointers(name)), None)
 
     def read(self, name: str) -> DataFrame:
         """The current version; an empty table before the first write."""
@@ -81,17 +83,14 @@ class Store:
     def replace(self, name: str, rows: DataFrame) -> None:
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:6]}"
         rows.select(*TABLES[name].fieldNames()).write.parquet(f"{self.root}/{name}/{version}")
-        target = self._path(f"{self._pointer(name)}.{version}")
-        out = self._fs.create(target, True)
-        out.write(bytearray(f"{version}\n".encode()))
-        out.close()
-        self._fs.delete(self._path(self._pointer(name)), False)
-        if not self._fs.rename(target, self._path(self._pointer(name))):
-            raise EngineError(f"version {version} of {name} could not be published", 503)
+        older = self._pointers(name)
+        self._fs.create(self._path(f"{self.root}/{name}/{POINTER}{version}"), False).close()
+        for gone in older:
+            self._fs.delete(self._path(f"{self.root}/{name}/{POINTER}{gone}"), False)
 
     def put(self, name: str, rows: DataFrame) -> None:
-        """Replace rows by key; keys that are not given stay."""
-        self.replace(name, upsert(self.read(name), rows, KEYS[name]))
+        """Replace rows by key, one row a key; keys that are not given stay."""
+        self.replace(name, upsert(self.read(name), rows.dropDuplicates(KEYS[name]), KEYS[name]))
 
     def add(self, name: str, rows: DataFrame) -> None:
         """Plain insert; a key that exists is an error."""
@@ -100,13 +99,15 @@ class Store:
         self.replace(name, self.read(name).unionByName(rows))
 
     def put_vectors(self, rows: DataFrame, dimension: int) -> None:
-        """Validated vector upsert: every vector has the dimension; rewritten rows move to the end."""
+        """Validated vector upsert: every vector has the dimension; rewritten rows move to the end.
+
+        Only the order of ``seq`` counts, so a sort over ranges numbers the rows, not one task."""
         known = self.read("vectors")
         start = known.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
         if not rows.where((F.size("embedding") != dimension) | F.col("embedding").isNull()).isEmpty():
             raise EngineError(f"vectors must have dimension {dimension}", 409)
-        order = Window.orderBy("seq") if "seq" in rows.columns else Window.orderBy("chunk_id")
-        self.put("vectors", rows.withColumn("seq", F.row_number().over(order) + F.lit(start)))
+        ordered = rows.orderBy("seq" if "seq" in rows.columns else "chunk_id")
+        self.put("vectors", ordered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start + 1)))
 
     def lock(self, owner: str) -> bool:
         """Take the writer's lock; False if another holds it.  A dead process of this host holds nothing."""

@@ -141,6 +141,17 @@ def test_store_upsert_and_lock(spark, tmp_path):
         store.add("chunks", store.read("chunks"))
 
 
+def test_a_crash_between_the_steps_leaves_a_whole_version(spark, tmp_path):
+    store, rows = stored(spark, tmp_path), spark.createDataFrame([("b", "d", 1, "x"), ("b", "d", 1, "x")], "chunk_id string, doc_id string, page int, text string")
+    rows.write.parquet(f"file://{tmp_path}/chunks/v99-unpublished")
+    assert store.read("chunks").count() == 1
+    (tmp_path / "chunks" / "CURRENT.v0-old").touch()  # an older pointer that was not deleted
+    assert store.read("chunks").first()["chunk_id"] == "a"
+    store.put("chunks", rows)
+    assert sorted(r["chunk_id"] for r in store.read("chunks").collect()) == ["a", "b"]
+    assert len([f for f in (tmp_path / "chunks").iterdir() if f.name.startswith("CURRENT.")]) == 1
+
+
 def test_migration_is_resumable(spark, tmp_path):
     store = stored(spark, tmp_path)
     legacy = spark.createDataFrame([("a", "text", [0.5] * 16)], "chunk_id string, text string, embedding array<double>")
