@@ -239,3 +239,24 @@ SQL = {
         select p_partkey, left(replace(c, chr(10), ' '), 180) as snippet, c as clean, chr(9) || chr(10) || ' ' || fc || chr(10) || ' ' || chr(12288) as folded,
         array_to_string(list_sort(list_distinct(regexp_extract_all(fc, '[a-z0-9_]{2,}'))), '|') as tokens, 'A' as values, replace(c, ',' || chr(10) || ' ', '|') as tags from f""",
 }
+
+_QA = SQL["qa_sources"]
+_STEPS = "[('extract_reproduction_info'), ('generate_code_skeleton'), ('generate_simulation_template'), ('assess_risks'), ('generate_report')]"
+SQL |= {
+    "qa_answers": f"""with f as ({_QA}), g as (select item_id, count(*) as n, string_agg(chunk_id, '; ' order by rank) as chunks from f where item_id % 5 <> 0 group by item_id)
+        select item_id, case when n is null then '证据不足：未在已上传论文中检索到可用于回答该问题的片段。' else '根据已检索片段，论文给出了相关方法与结果 [1]。' end as answer, coalesce(n, 0) as n_sources, case when n is null then '' else '1' end as citations, coalesce(chunks, '') as chunks from benchmark left join g using (item_id)""",
+    "suggested_experiments": f"""with {MODEL} select part_id, case when s <> 3 and m <> 5 then p_name else '评估 ' || part_id || ' 的实验证据充分性。' end as objective, case when s <> 3 and m <> 5 then 'plan; run' else '准备评估划分; 运行基线系统; 比较核心指标; 分析失败案例' end as steps, 1::bigint as n, 'p1; fallback-support-paper-2; fallback-support-paper-3' as support,
+        case when s = 3 then 'The model gave no JSON of experiments; the default plan stands.' when m = 5 then 'An experiment with empty fields was left out.|No experiment was left; the default plan stands.' else '' end as warnings from shape""",
+    "analysed_gaps": f"""with {MODEL}, a as (select *, title <> '' as has from shape)
+        select part_id, case when s = 3 then 'topic 的证据覆盖仍不完整' when has then title || '; second' else 'second' end as titles, case when s = 3 then 'mid' when has then level || '; high' else 'high' end as levels,
+        case when s = 3 or not has then 'p1: one' when s = 2 then 'p1: one; p1: one' else p_brand || '; x; p1: one' end as evidence,
+        case when s = 3 then 1 when not has then 3 else 2 + (s = 2)::int + (part_id % 3 = 2)::int end::bigint as n_warnings from a""",
+    "reproduction_goals": f"""with {PAPERS}, {CHUNKS}, n as (select distinct doc_id from chunks)
+        select papers.doc_id, case when n.doc_id is null then '为《' || title || '》生成辅助复现实验报告。' else '根据论文《' || title || '》和用户需求“quick”，整理可辅助复现的目标、数据、指标和基线。' end as goal, 'focused' as mode, 3::bigint as n_plan, n.doc_id is not null as has_code, false as has_simulation from papers left join n using (doc_id)""",
+    "reproduction_trace": f"""with {PAPERS}, {CHUNKS}, n as (select doc_id, count(*) as n from chunks where doc_id::bigint % 7 <> 0 group by doc_id),
+        t as (select papers.doc_id, coalesce(n, 0) as n, ['retrieve_paper_context'] || case when n is null then ['generate_report'] else {_STEPS} end as tools from papers left join n using (doc_id)),
+        u as (select *, unnest(range(1, len(tools) + 1)) as step_index from t)
+        select doc_id, step_index, tools[step_index] as tool_name, case when step_index = 1 then 'paper_id=' || doc_id else 'mode=template; chunks=' || n || '; requirement=quick' end as input_summary, coalesce(tools[step_index + 1], 'complete') as next_decision from u""",
+    "model_options": """select * from (values ('embedding', 'mock', 'mock-embedding', true, null), ('embedding', 'openai', 'text-embedding-3-small', false, 'OPENAI_API_KEY is not configured.'), ('embedding', 'local-bge-m3', 'bge-m3', true, null), ('embedding', 'xfyun-spark', 'query', false, 'XFYUN_API_KEY is not configured.'),
+        ('chat', 'mock', 'mock-chat', true, null), ('chat', 'deepseek', 'deepseek-chat', false, 'DEEPSEEK_API_KEY is not configured.'), ('chat', 'openai', 'gpt-4o-mini', false, 'OPENAI_API_KEY is not configured.')) v(kind, provider, model, available, warning)""",
+}

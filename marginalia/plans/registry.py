@@ -11,7 +11,7 @@ from marginalia.functions import model_json as M
 from marginalia.functions import text as X
 from marginalia.functions import vectors as V
 from marginalia.operators import extract, graph, index, knowledge, retrieval, store
-from marginalia.plans import agents, oracles, providers
+from marginalia.plans import agents, chains, oracles, providers
 from marginalia.sources import literature, views
 
 QUESTION = oracles.QUESTION
@@ -503,7 +503,38 @@ def reproduction_reports(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reproduction_trace(spark: SparkSession, d: str) -> DataFrame:
-    return agents.reproduction_trace(spark, True, "template")
+    papers, chunks = views.papers(spark, d), views.chunks(spark, d)
+    found = agents.reproduction_trace(papers, chunks.where(F.col("doc_id").cast("long") % 7 != 0), "template", " quick ")
+    return found.select("doc_id", big("step_index").alias("step_index"), "tool_name", "input_summary", "next_decision")
+
+
+@query
+def reproduction_goals(spark: SparkSession, d: str) -> DataFrame:
+    found = agents.reproduction_reports(views.papers(spark, d), views.chunks(spark, d), "focused", " quick ")
+    return found.select("doc_id", "goal", "mode", big(F.size("implementation_plan")).alias("n_plan"), (F.col("code_template") != "").alias("has_code"), (F.col("simulation_template") != "").alias("has_simulation"))
+
+
+@query
+def qa_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every question answered from its best chunks; every fifth is asked of a shelf that holds none."""
+    found = qa_sources(spark, d).where("item_id % 5 <> 0").join(views.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    out = chains.answers(views.questions(spark, d), found, "item_id")
+    return out.select("item_id", "answer", big(F.size("sources")).alias("n_sources"), joined(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), joined(F.transform("sources", lambda s: s["chunk_id"])).alias("chunks"))
+
+
+@query
+def suggested_experiments(spark: SparkSession, d: str) -> DataFrame:
+    texts = views.model_texts(spark, d).select("part_id", F.col("part_id").cast("string").alias("query"), F.array(F.lit("p1")).alias("support_papers"), F.col("plan_text").alias("raw"))
+    found = chains.experiment_plans(texts)
+    one = F.col("experiments")[0]
+    return found.select("part_id", one["objective"].alias("objective"), joined(one["steps"]).alias("steps"), big(F.size("experiments")).alias("n"), joined("support_papers").alias("support"), joined("warnings", "|").alias("warnings"))
+
+
+@query
+def analysed_gaps(spark: SparkSession, d: str) -> DataFrame:
+    texts = views.model_texts(spark, d).select("part_id", F.lit("topic").alias("query"), F.array(F.lit("p1: one")).alias("evidence"), F.col("gap_text").alias("raw"))
+    found = chains.gap_analyses(texts)
+    return found.select("part_id", joined(F.transform("gaps", lambda g: g["title"])).alias("titles"), joined(F.transform("gaps", lambda g: g["value_level"])).alias("levels"), joined(F.flatten(F.transform("gaps", lambda g: g["evidence_papers"]))).alias("evidence"), big(F.size("warnings")).alias("n_warnings"))
 
 
 @query

@@ -8,7 +8,7 @@ from marginalia.functions import model_json as M
 from marginalia.functions import vectors as V
 from marginalia.operators import extract, graph, index, knowledge, retrieval
 from marginalia.operators.store import Store
-from marginalia.plans import agents, providers
+from marginalia.plans import agents, chains, providers
 from marginalia.sources import documents, literature
 
 
@@ -195,8 +195,28 @@ def test_reproduction(spark, papers):
     chunks = spark.createDataFrame([("a", "doc-a", 1, "The method is new. Dataset: CIFAR. Metric: accuracy. Baseline: X.")], "chunk_id string, doc_id string, page int, text string")
     rows = {r["doc_id"]: r for r in agents.reproduction_reports(papers, chunks, "template").collect()}
     assert rows["doc-a"]["datasets"] == ["CIFAR"] and rows["doc-b"]["datasets"] == ["unknown"]
-    assert [r["tool_name"] for r in agents.reproduction_trace(spark, True, "template").collect()][:2] == ["retrieve_paper_context", "extract_reproduction_info"]
-    assert agents.reproduction_trace(spark, False).count() == 2
+    assert rows["doc-a"]["code_template"] and rows["doc-a"]["simulation_template"] and not rows["doc-b"]["code_template"] and len(rows["doc-b"]["non_claims"]) == 4
+    steps = agents.reproduction_trace(papers, chunks, "focused", " now ").orderBy("step_index").collect()
+    of_a, of_b = ([r for r in steps if r["doc_id"] == doc] for doc in ("doc-a", "doc-b"))
+    assert [r["tool_name"] for r in of_a] == ["retrieve_paper_context", *agents.REPRODUCTION_ORDER["focused"]] and of_a[1]["input_summary"] == "mode=focused; chunks=1; requirement=now"
+    assert [r["next_decision"] for r in of_b] == ["generate_report", "complete"] and all(r["thought"] and r["observation"] for r in steps)
+
+
+def test_chains(spark):
+    asked = spark.createDataFrame([(1, "what?"), (2, None)], "k int, question string")
+    found = spark.createDataFrame([(1, 2, 3, "b", "y"), (1, 1, 3, "a", "x")], "k int, rank bigint, page int, chunk_id string, text string")
+    one, two = chains.answers(asked, found, "k").orderBy("k").collect()
+    assert one["citations"] == [1] and [s["chunk_id"] for s in one["sources"]] == ["a", "b"]
+    assert two["answer"] == chains.INSUFFICIENT and two["sources"] == [] and two["citations"] == []
+    assert chains.answers(asked, found, "k", chat=lambda p: p).where("k = 1").first()["answer"].endswith("what?\n\n[1] page 3, chunk a: x\n\n[2] page 3, chunk b: y")
+    raw = ["", None, "[1]", '{"experiments": 3}', '{"experiments": [7, {"objective": "o"}]}', '{"experiments": []}']
+    rows = spark.createDataFrame([(i, "q", None, r) for i, r in enumerate(raw)], "i int, query string, support_papers array<string>, raw string")
+    plans = chains.experiment_plans(rows).orderBy("i").collect()
+    told = chains.WARNINGS["experiments"]
+    assert [p["warnings"] for p in plans] == [[told[0]], [told[0]], [told[0]], [told[1]], [told[2], told[3], told[4]], [told[4]]]
+    assert all(len(p["experiments"]) == 1 and len(p["support_papers"]) == 3 for p in plans)
+    empty = rows.limit(0)
+    assert chains.experiment_plans(empty).count() == 0 and chains.gap_analyses(empty.withColumnRenamed("support_papers", "evidence")).count() == 0
 
 
 def test_providers(spark):
