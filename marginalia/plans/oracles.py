@@ -241,7 +241,7 @@ SQL = {
 }
 
 _QA = SQL["qa_sources"]
-_STEPS = "[('extract_reproduction_info'), ('generate_code_skeleton'), ('generate_simulation_template'), ('assess_risks'), ('generate_report')]"
+_STEPS = "['extract_reproduction_info', 'generate_code_skeleton', 'generate_simulation_template', 'assess_risks', 'generate_report']"
 SQL |= {
     "qa_answers": f"""with f as ({_QA}), g as (select item_id, count(*) as n, string_agg(chunk_id, '; ' order by rank) as chunks from f where item_id % 5 <> 0 group by item_id)
         select item_id, case when n is null then '证据不足：未在已上传论文中检索到可用于回答该问题的片段。' else '根据已检索片段，论文给出了相关方法与结果 [1]。' end as answer, coalesce(n, 0) as n_sources, case when n is null then '' else '1' end as citations, coalesce(chunks, '') as chunks from benchmark left join g using (item_id)""",
@@ -259,4 +259,9 @@ SQL |= {
         select doc_id, step_index, tools[step_index] as tool_name, case when step_index = 1 then 'paper_id=' || doc_id else 'mode=template; chunks=' || n || '; requirement=quick' end as input_summary, coalesce(tools[step_index + 1], 'complete') as next_decision from u""",
     "model_options": """select * from (values ('embedding', 'mock', 'mock-embedding', true, null), ('embedding', 'openai', 'text-embedding-3-small', false, 'OPENAI_API_KEY is not configured.'), ('embedding', 'local-bge-m3', 'bge-m3', true, null), ('embedding', 'xfyun-spark', 'query', false, 'XFYUN_API_KEY is not configured.'),
         ('chat', 'mock', 'mock-chat', true, null), ('chat', 'deepseek', 'deepseek-chat', false, 'DEEPSEEK_API_KEY is not configured.'), ('chat', 'openai', 'gpt-4o-mini', false, 'OPENAI_API_KEY is not configured.')) v(kind, provider, model, available, warning)""",
+    "plan_trace": f"""with {CHUNKS}, n as (select least(8, count(*)) as n from chunks where doc_id in ('1', '2')),
+        told as (select unnest([('understand_goal', 'Research direction parsed as ' || chr(39) || {_q(DIRECTION)} || chr(39) || ' without current experiment evidence.'), ('plan_steps', 'Plan created: retrieve context, summarize papers, analyze gaps, suggest experiments, recommend papers, generate cards.'),
+        ('knowledge_search_tool', 'Retrieved ' || n || ' context chunks from 2 selected paper(s).'), ('paper_summary_tool', 'Paper summary created from ' || least(3, n) || ' top chunk(s).'), ('gap_analysis_tool', 'Analyzed 1 research gap(s).'), ('select_top_3_gaps', 'Selected 1 top gap(s), prioritizing high-value items.'),
+        ('experiment_suggestion_tool', 'Generated 1 experiment suggestion(s) for selected gaps.'), ('paper_recommendation_tool', 'Recommended 5 follow-up paper(s).'), ('research_report_tool', 'Generated 1 research execution card(s).')]) as t, unnest(range(1, 10)) as step_index from n)
+        select step_index::int as step_index, t[1] as tool_name, t[2] as observation, coalesce('Next call: ' || lead(t[1]) over (order by step_index) || '.', 'Agent finished.') as next_decision from told""",
 }
