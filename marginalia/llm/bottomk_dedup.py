@@ -29,7 +29,7 @@ words: the whole sequence is the one shingle.  Null, empty and blank texts have
 and are linked with nothing.  A null doc_id is linked with nothing, has a null
 component and is kept.  Rows that repeat a doc_id are one document: each is answered
 with its own set size, and all with one component, reached through any of their texts.
-Very long texts are sketched in one piece (a task holds one text at a time beyond 2 MB).
+Very long texts are sketched in one piece (a task holds one text at a time beyond 0.5 MB).
 Ties (equal sets) have the smallest doc_id as their component.  An empty table gives
 none.  Other columns are ignored, whatever their names; ``one_of_each`` returns them.
 """

@@ -36,8 +36,8 @@ HASHES = 3
 MIN_SHARE = 1e-5
 RELATIVE = 0.35
 #: Text whose n-grams a task holds at once; they take some fifty times the bytes.
-SLICE_BYTES = 1 << 19
-#: Counted n-grams that a task adds up at least before it merges them.
+SLICE_BYTES = 1 << 18
+#: Counted n-grams that a task holds before it adds them up; sums of more than half as many are passed on.
 MERGE_ROWS = 500_000
 #: The bits of each byte value.
 _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
@@ -142,11 +142,15 @@ def learn(documents: DataFrame) -> Filters:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pd.DataFrame] = []
         codes: dict[str, int] = {}
-        held, most = 0, MERGE_ROWS
+        held = 0
 
         def merged() -> pd.DataFrame:
             return pd.concat(kept).groupby(["lang", "gram"], sort=False, as_index=False)["n"].sum()
 
+        def counted(total: pd.DataFrame) -> pa.RecordBatch:
+            names = list(codes)
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in total["lang"].tolist()], pa.string()), pa.array(total["gram"].to_numpy()), pa.array(total["n"].to_numpy(np.int64))], names=["lang", "gram", "n"])
+
         for batch in batches:
             texts, langs = tk.take_columns(batch, ["text", "lang"])
             code = np.array([codes.setdefault(name, len(codes)) for name in langs.to_pylist()], dtype=np.int64)
@@ -157,13 +161,14 @@ def learn(documents: DataFrame) -> Filters:
                     number, distinct = pd.factorize(hashes[lang == one])
                     kept.append(pd.DataFrame({"lang": np.int32(one), "gram": distinct.view(np.int64), "n": np.bincount(number, minlength=len(distinct))}))
                     held += len(distinct)
-                if held > most:
+                if held > MERGE_ROWS:
                     kept = [merged()]
                     held = len(kept[0])
-                    most = max(MERGE_ROWS, 2 * held)
+                    if 2 * held > MERGE_ROWS:
+                        yield counted(kept[0])
+                        kept, held = [], 0
         if kept:
-            total, names = merged(), list(codes)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in total["lang"].tolist()], pa.string()), pa.array(total["gram"].to_numpy()), pa.array(total["n"].to_numpy(np.int64))], names=["lang", "gram", "n"])
+            yield counted(merged())
 
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
