@@ -96,3 +96,19 @@ def default_graph(spark, keyword: str, max_nodes: int = 25) -> tuple[DataFrame,
     ids = {r[0] for r in rows}
     kept = spark.createDataFrame(rows, "id string, title string, year int, importance_score double, is_key boolean, rank long")
     return kept, spark.createDataFrame([(a, b, "cites") for a, b in DEFAULT_LINKS if a in ids and b in ids], "source string, target string, relation string")
+
+
+def counts(kept: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: how many nodes, key nodes and links a graph has."""
+    held = kept.agg(F.count("*").alias("n_nodes"), F.count_if("is_key").alias("n_key"))
+    return held.join(F.broadcast(edges.agg(F.count("*").alias("n_links"))))  # one row each
+
+
+def from_source(spark, keyword: str, works: DataFrame | None = None, edges: DataFrame | None = None, max_nodes: int = 25, warnings: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Nodes, links and warnings: of the given works, else, where there are none, of the default graph."""
+    if works is None or edges is None:
+        return *default_graph(spark, keyword, max_nodes), [*warnings, "No citation source is in use; the graph is a fixed example."]
+    if works.isEmpty():
+        return *default_graph(spark, keyword, max_nodes), list(warnings or ("The citation source knows no works; the graph is a fixed example.",))
+    kept = nodes(works, max_nodes)
+    return kept, links(edges, kept), list(warnings)

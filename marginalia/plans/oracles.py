@@ -200,10 +200,16 @@ SQL = {
         (select count(*) from src where chunk_id not in (select chunk_id from idx)) as missing_count, (select count(*) from idx where chunk_id not in (select chunk_id from src)) as orphan_count)
         select *, 0::bigint as failed_count, case when missing_count > 0 then 'migration_required' else 'ready' end as state,
         concat_ws('; ', case when missing_count > 0 then missing_count || ' SQLite chunks are missing from the active vector index.' end, case when orphan_count > 0 then orphan_count || ' vectors do not have a matching SQLite chunk.' end) as warnings from n""",
+    "vector_dimension": f"with {VECTORS} select len(e) as dimension from vectors order by seq limit 1",
+    "vector_entry": f"with {VECTORS} select chunk_id, doc_id, array_to_string(tags, '; ') as tags, module_source, len(e) as n from vectors where chunk_id = '17'",
+    "active_collections": f"""with {EVENTS}, p as (select distinct profile_key, length(profile_key) as n from entries)
+        select profile_key, case when n % 3 = 1 then 'set_' || profile_key when n % 2 = 0 then 'paper_chunks' else 'own_' || profile_key end as collection from p""",
     "migration_plan": f"with {MIGRATION} select (select count(*) from acted) as chunk_count, (select count(*) from acted where action = 'skip') as already_current_count, (select count(*) from acted where action <> 'skip') as pending_count, (select count(distinct chunk_id) from legacy) as legacy_vector_count, (select count(distinct chunk_id) from legacy where chunk_id not in (select chunk_id from c)) as legacy_orphan_count",
     "migration_classify": f"with {MIGRATION} select chunk_id, action from acted",
     "citation_nodes": f"with {WORKS}, {_nodes(25)} select rank, id, title, year::bigint as year, round(score / max(score) over (), 3) as importance_score, rank <= 3 as is_key from kept",
     "citation_links": f"with {WORKS}, {_nodes(50)}, {CITATIONS} select 'openalex-' || source as source, 'openalex-' || target as target, 'cites' as relation from cites where source in (select k from kept) and target in (select k from kept)",
+    "graph_counts": f"""with {WORKS}, {_nodes(50)}, {CITATIONS}, n as (select count(*) as n_nodes, count(*) filter (rank <= 3) as n_key from kept), l as (select count(*) as c from cites where source in (select k from kept) and target in (select k from kept))
+        select n_nodes, n_key, case when c = 0 then n_nodes - 1 else c end as n_links from n, l""",
     "citation_star": f"with {WORKS}, {_nodes(10)} select (select id from kept where rank = 1) as source, id as target, 'cites' as relation from kept where rank > 1",
     "graph_enrichment": f"""with {WORKS}, {CITATIONS}, e as (select distinct source::varchar as s, target::varchar as t from cites),
         r as (select s, list_sort(list(t))[:2] as refs from e group by s), ru as (select s, unnest(refs) as ref, unnest(range(0, len(refs))) as i from r),

@@ -365,6 +365,28 @@ def index_status(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("warnings", joined("warnings"))
 
 
+@query
+def vector_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return index.dimension(views.vectors(spark, d))
+
+
+@query
+def vector_entry(spark: SparkSession, d: str) -> DataFrame:
+    found = index.entry(views.vectors(spark, d), "17", include_embedding=True)
+    return found.select("chunk_id", "doc_id", joined("tags").alias("tags"), "module_source", big(F.size("embedding")).alias("n"))
+
+
+@query
+def active_collections(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles of the events: of three lengths, some with a recorded collection, some with a blank one."""
+    key, vectors = F.col("profile_key"), views.vectors(spark, d)
+    n = F.length(key)
+    sizes = views.entry_events(spark, d).select("profile_key").distinct().join(F.broadcast(index.dimension(vectors)))
+    profiles = sizes.select("profile_key", (F.col("dimension") + n % 2).alias("dimension"), F.concat(F.lit("own_"), key).alias("collection_name"))
+    states = profiles.where(n % 3 != 0).select("profile_key", F.when(n % 3 == 1, F.concat(F.lit("set_"), key)).otherwise("").alias("active_collection"))
+    return index.active_collection(profiles, states, vectors)
+
+
 def _migration(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All chunks; legacy vectors, of which some texts or lengths differ; a target that holds some chunks."""
     chunks = views.chunks(spark, d)
@@ -399,6 +421,12 @@ def citation_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.links(views.citations(spark, d), graph.nodes(views.works(spark, d), 50))
 
 
+@query
+def graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    kept = graph.nodes(views.works(spark, d), 50)
+    return graph.counts(kept, graph.links(views.citations(spark, d), kept))
+
+
 @query
 def citation_star(spark: SparkSession, d: str) -> DataFrame:
     return graph.links(views.citations(spark, d).limit(0), graph.nodes(views.works(spark, d), 10))

@@ -30,16 +30,16 @@ def offline_papers(spark: SparkSession, query: str, limit: int = 5) -> DataFrame
     )
 
 
-def openalex_works(answers: DataFrame, body: str = "body") -> DataFrame:
-    """paper_id, title, year, citation_count, refs of every work with an id and a name.
+def openalex_works(answers: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``keep``, and paper_id, title, year, citation_count, refs of every work with an id and a name.
 
     A year that is no integer is null, a count that is none is 0; references count only
     where they are a list of strings."""
-    work = answers.select(F.explode(F.from_json(F.col(body), WORKS)["results"]).alias("w"))
+    work = answers.select(*keep, F.explode(F.from_json(F.col(body), WORKS)["results"]).alias("w"))
     whole = lambda c: F.when(F.col(c).rlike(r"^-?\d{1,18}$"), F.col(c).cast("long"))
     refs = F.coalesce(F.from_json("w.referenced_works", "array<string>"), F.array().cast("array<string>"))
     rows = work.where("w.id <> '' and w.display_name <> ''")
-    return rows.select(X.last_segment(F.col("w.id")).alias("paper_id"), F.trim("w.display_name").alias("title"), whole("w.publication_year").cast("int").alias("year"), F.coalesce(whole("w.cited_by_count"), F.lit(0)).alias("citation_count"), F.transform(refs, X.last_segment).alias("refs"))
+    return rows.select(*keep, X.last_segment(F.col("w.id")).alias("paper_id"), F.trim("w.display_name").alias("title"), whole("w.publication_year").cast("int").alias("year"), F.coalesce(whole("w.cited_by_count"), F.lit(0)).alias("citation_count"), F.transform(refs, X.last_segment).alias("refs"))
 
 
 HISTORY = "array<struct<id: string, title: string, created_at: string>>"

@@ -52,3 +52,49 @@ class LiteratureReader(DataSourceReader):
                 warning = f"arXiv request failed ({error}); using deterministic fallback."
         for n in range(1, self.limit + 1):
             yield f"arxiv-{n}", f"arXiv study on {self.query} #{n}", ABSTRACT, 2025, warning
+
+
+class WorksSource(DataSource):
+    """Answers of a works service as JSON texts, for ``literature.openalex_works``.
+
+        spark.read.format("openalex").option("query", q).option("fetch", "module:name").option("key", k).load()
+        ... .option("cites", "W1,W2")   # works that cite each of these, one partition an id
+
+    ``fetch``: an importable function from request parameters (a dict) to the JSON text.  A search without words,
+    key or function, or whose request fails, gives one row with a warning; a failed request for citing works gives no row."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "openalex"
+
+    def schema(self) -> str:
+        return "cites string, body string, warning string"
+
+    def reader(self, schema) -> WorksReader:
+        return WorksReader(dict(self.options))
+
+
+class WorksReader(DataSourceReader):
+    FIELDS = "id,display_name,publication_year,cited_by_count"
+    MOST = 25
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in self.options["cites"].split(",") if i] if "cites" in self.options else [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        query, key, fetch, cited = (*(self.options.get(n, "").strip() for n in ("query", "key", "fetch")), partition.value)
+        lacks = next((n for n, v in (("a query", cited or query), ("a key", key), ("a fetch function", fetch)) if not v), None)
+        if lacks:
+            yield cited, None, f"The works service needs {lacks}."
+            return
+        limit = max(1, min(int(self.options.get("limit", 2 if cited else self.MOST)), self.MOST))
+        asked = {"filter": f"cites:{cited}", "select": self.FIELDS} if cited else {"search": query, "select": f"{self.FIELDS},referenced_works"}
+        module, _, name = fetch.partition(":")
+        try:
+            yield cited, getattr(import_module(module), name)(asked | {"per-page": str(limit), "sort": "cited_by_count:desc", "api_key": key}), None
+        except Exception as error:
+            if not cited:
+                yield None, None, f"The works service failed ({error})."
