@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import bottomk_dedup, containment, disclosure, hidden_markov, host_reputation, huffman_files, language_filters, merge_counts, quality_model, tier_packing
+from marginalia.llm import bottomk_dedup, containment, disclosure, filter_audit, hidden_markov, host_reputation, huffman_files, language_filters, merge_counts, merkle_manifest, quality_model, tier_packing, vantage_search
 from marginalia.llm.oracles import SQL
 
 
@@ -69,11 +69,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judged(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_search.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_token_files, op2_near_duplicates, op3_contained_items, op4_disclosure, op5_tier_packing, op6_quality, op7_hidden_markov, op8_token_counts, op9_language, op10_url_filter,
+    op11_filter_audit, op12_neighbours, op13_manifest,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_token_files, op2_near_duplicates, op3_contained_items, op4_disclosure, op5_tier_packing, op6_quality, op7_hidden_markov, op8_token_counts, op9_language, op10_url_filter)
-    }
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
