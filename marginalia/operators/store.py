@@ -1,23 +1,30 @@
-"""Versioned Parquet tables: upserts by key without MERGE, and a writer's lock.
+"""Parquet tables in buckets of their key: upserts that rewrite only the buckets they touch.
 
-A write goes to a new version folder; creating its pointer file then publishes it in one
-step.  Readers take the newest pointer, so they see the old or the new version, and a write
-that fails at any point leaves the old one."""
+A table's folder is partitioned by ``bucket``, a hash of the first key column.  A put
+evaluates its rows once into a staged table, writes the new content of the touched buckets
+beside the table, and then overwrites just these partitions from it (dynamic partition
+overwrite), so that the cost follows the buckets touched, not the table.  What is beside the
+table is complete before anything in the table changes; a put that ends in between is
+finished from it by the next one, or by ``recover``."""
 
 from __future__ import annotations
 
 import os
 import socket
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.errors import EngineError
 from marginalia.schema import KEYS, TABLES
 
-POINTER = "CURRENT."
+#: Buckets of the tables of a new store; a store keeps its number.
+BUCKETS = 16
+PENDING, SIZE = "_pending", "_BUCKETS."
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -54,66 +61,118 @@ def first_and_last(rows: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables of a root folder that Spark can read and write (any Hadoop file system)."""
+    """Tables of a root folder that Spark can read and write (any Hadoop file system).
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    Names that begin with ``_`` are the store's own and are not read as data.  One writer a table: a second one is
+    refused while a put is under way."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self._wanted = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointers(self, name: str) -> list[str]:
-        """Published versions, oldest first: their names begin with the time."""
-        folder = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
-        return sorted(n.removeprefix(POINTER) for n in names if n.startswith(POINTER))
-
-    def _version(self, name: str) -> str | None:
-        return next(reversed(self._pointers(name)), None)
-
-    def read(self, name: str) -> DataFrame:
-        """The current version; an empty table before the first write."""
-        version = self._version(name)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = f"v{time.time_ns()}-{uuid.uuid4().hex[:6]}"
-        rows.select(*TABLES[name].fieldNames()).write.parquet(f"{self.root}/{name}/{version}")
-        older = self._pointers(name)
-        self._fs.create(self._path(f"{self.root}/{name}/{POINTER}{version}"), False).close()
-        for gone in older:
-            self._fs.delete(self._path(f"{self.root}/{name}/{POINTER}{gone}"), False)
+    def _listed(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    @property
+    def buckets(self) -> int:
+        """How many buckets every table has, from the store's first put on."""
+        return next((int(n.removeprefix(SIZE)) for n in self._listed(self.root) if n.startswith(SIZE)), self._wanted)
+
+    def held(self, name: str) -> list[int]:
+        """The buckets of a table that hold rows."""
+        return sorted(int(n.removeprefix("bucket=")) for n in self._listed(f"{self.root}/{name}") if n.startswith("bucket="))
+
+    def bucket(self, name: str) -> Column:
+        """The bucket of a row: tables whose first key is the same place it in the same one."""
+        return F.pmod(F.xxhash64(KEYS[name][0]), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets; an empty table before the first put."""
+        schema = TABLES[name]
+        if not self.held(name):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{name}")
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))).drop("bucket")
+
+    @contextmanager
+    def _writing(self, name: str) -> Iterator[None]:
+        lock = f"{self.root}/{name}/_WRITER"
+        if not self._take(lock, "put"):
+            raise EngineError(f"{name}: another put is under way", 503)
+        try:
+            yield
+        finally:
+            self._delete(lock)
+
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` evaluated once into a table of their own, which is gone afterwards."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self._delete(path)
 
     def put(self, name: str, rows: DataFrame) -> None:
         """Replace rows by key, one row a key; keys that are not given stay."""
-        self.replace(name, upsert(self.read(name), rows.dropDuplicates(KEYS[name]), KEYS[name]))
+        schema, keys = TABLES[name], KEYS[name]
+        rows = rows.select(*schema.fieldNames()).withColumn("bucket", self.bucket(name))
+        with self.staged(rows.dropDuplicates(keys)) as new, self._writing(name):
+            self._finish(name)
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most the table's buckets
+            if not touched:
+                return
+            mark = self._path(f"{self.root}/{SIZE}{self.buckets}")
+            if not self._fs.exists(mark):
+                self._fs.create(mark, False).close()
+            old = self.read(name, touched).withColumn("bucket", self.bucket(name))
+            upsert(old, new, keys).write.parquet(f"{self.root}/{name}/{PENDING}/{uuid.uuid4().hex}")
+            self._finish(name)
+
+    def _finish(self, name: str) -> None:
+        """Move what is complete beside the table into it, and drop what is not."""
+        for one in self._listed(f"{self.root}/{name}/{PENDING}"):
+            path = f"{self.root}/{name}/{PENDING}/{one}"
+            if self._fs.exists(self._path(f"{path}/_SUCCESS")):
+                whole = self.spark.read.parquet(path)
+                whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+            self._delete(path)
+
+    def recover(self, name: str) -> None:
+        """Finish the puts of a writer that died."""
+        with self._writing(name):
+            self._finish(name)
 
     def add(self, name: str, rows: DataFrame) -> None:
         """Plain insert; a key that exists is an error."""
-        if not self.read(name).join(rows, KEYS[name], "left_semi").isEmpty():
+        if not self.read(name).join(rows.select(*KEYS[name]), KEYS[name], "left_semi").isEmpty():
             raise EngineError(f"{name}: key exists", 409)
-        self.replace(name, self.read(name).unionByName(rows))
+        self.put(name, rows)
 
     def put_vectors(self, rows: DataFrame, dimension: int) -> None:
         """Validated vector upsert: every vector has the dimension; rewritten rows move to the end.
 
+        The rows, and so their embeddings, are evaluated once; what was written is validated and put.
         Only the order of ``seq`` counts, so a sort over ranges numbers the rows, not one task."""
-        known = self.read("vectors")
-        start = known.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        if not rows.where((F.size("embedding") != dimension) | F.col("embedding").isNull()).isEmpty():
-            raise EngineError(f"vectors must have dimension {dimension}", 409)
-        ordered = rows.orderBy("seq" if "seq" in rows.columns else "chunk_id")
-        self.put("vectors", ordered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start + 1)))
-
-    def lock(self, owner: str) -> bool:
-        """Take the writer's lock; False if another holds it.  A dead process of this host holds nothing."""
-        path = self._path(f"{self.root}/LOCK")
-        if self.locked() and self._holder_is_dead():
-            self.unlock()
+        start = self.read("vectors").agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+        with self.staged(rows) as written:
+            if not written.where((F.size("embedding") != dimension) | F.col("embedding").isNull()).isEmpty():
+                raise EngineError(f"vectors must have dimension {dimension}", 409)
+            ordered = written.orderBy("seq" if "seq" in rows.columns else "chunk_id")
+            self.put("vectors", ordered.withColumn("seq", F.monotonically_increasing_id() + F.lit(start + 1)))
+
+    def _take(self, lock: str, owner: str) -> bool:
+        """Create a lock file; False if another holds it.  A dead process of this host holds nothing."""
+        path = self._path(lock)
+        if self._fs.exists(path) and self._holder_is_dead(path):
+            self._delete(lock)
         try:
             out = self._fs.create(path, False)
         except Exception:
@@ -122,8 +181,12 @@ class Store:
         out.close()
         return True
 
-    def _holder_is_dead(self) -> bool:
-        stream = self._fs.open(self._path(f"{self.root}/LOCK"))
+    def lock(self, owner: str) -> bool:
+        """Take the migration's lock; False if another holds it."""
+        return self._take(f"{self.root}/LOCK", owner)
+
+    def _holder_is_dead(self, path) -> bool:
+        stream = self._fs.open(path)
         try:
             host, pid, *_ = (stream.readLine() or "").split(" ") + ["", ""]
         finally:

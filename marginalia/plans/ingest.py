@@ -31,6 +31,5 @@ def ingest(store: Store, files: DataFrame, provider: Embedding, configured: Embe
     store.add("papers", named)
     store.put("chunks", documents.chunk_rows(files, documents.pages(files, pages_of)))
     stored = store.read("chunks").join(files.select("doc_id"), "doc_id", "left_semi")  # parsed once
-    vector, _ = provider.embed(F.col("text"))
-    index.index_chunks(store, stored, provider.key, vector, provider.dimension)
+    index.index_chunks(store, stored, provider)
     return files.select("doc_id", "title").join(stored.groupBy("doc_id").agg(F.count("*").alias("chunk_count")), "doc_id")

@@ -199,7 +199,7 @@ SQL = {
     "index_status": f"""with {IDS}, n as (select (select count(*) from src) as source_count, (select count(*) from src where chunk_id in (select chunk_id from idx)) as indexed_count,
         (select count(*) from src where chunk_id not in (select chunk_id from idx)) as missing_count, (select count(*) from idx where chunk_id not in (select chunk_id from src)) as orphan_count)
         select *, 0::bigint as failed_count, case when missing_count > 0 then 'migration_required' else 'ready' end as state,
-        concat_ws('; ', case when missing_count > 0 then missing_count || ' SQLite chunks are missing from the active vector index.' end, case when orphan_count > 0 then orphan_count || ' vectors do not have a matching SQLite chunk.' end) as warnings from n""",
+        concat_ws('; ', case when missing_count > 0 then missing_count || ' stored chunks have no vector in the index.' end, case when orphan_count > 0 then orphan_count || ' vectors belong to no stored chunk.' end) as warnings from n""",
     "vector_dimension": f"with {VECTORS} select len(e) as dimension from vectors order by seq limit 1",
     "vector_entry": f"with {VECTORS} select chunk_id, doc_id, array_to_string(tags, '; ') as tags, module_source, len(e) as n from vectors where chunk_id = '17'",
     "active_collections": f"""with {EVENTS}, p as (select distinct profile_key, length(profile_key) as n from entries)

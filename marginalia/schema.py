@@ -18,6 +18,7 @@ VECTORS = _struct(chunk_id=_S, doc_id=_S, page=_I, text=_S, tags=_A, module_sour
 ENTRIES = _struct(chunk_id=_S, profile_key=_S, collection_name=_S, content_hash=_S, status=_S, error=_S, updated_at=_TS)
 INDEX_STATE = _struct(profile_key=_S, active_collection=_S, state=_S, updated_at=_TS)
 MIGRATIONS = _struct(migration_id=_S, profile_key=_S, source_collection=_S, target_collection=_S, status=_S, started_at=_TS, completed_at=_TS, processed_count=_I, skipped_count=_I, failed_count=_I, error=_S)
+BATCHES = _struct(migration_id=_S, batch=_I, status=_S, processed_count=_I, skipped_count=_I, failed_count=_I, finished_at=_TS)
 
-TABLES = {"papers": PAPERS, "chunks": CHUNKS, "gaps": GAPS, "experiments": EXPERIMENTS, "notes": NOTES, "vectors": VECTORS, "entries": ENTRIES, "index_state": INDEX_STATE, "migrations": MIGRATIONS}
-KEYS = {"papers": ["doc_id"], "chunks": ["chunk_id"], "gaps": ["gap_id"], "experiments": ["experiment_id"], "notes": ["note_id"], "vectors": ["chunk_id", "profile_key"], "entries": ["chunk_id", "profile_key"], "index_state": ["profile_key"], "migrations": ["migration_id"]}
+TABLES = {"papers": PAPERS, "chunks": CHUNKS, "gaps": GAPS, "experiments": EXPERIMENTS, "notes": NOTES, "vectors": VECTORS, "entries": ENTRIES, "index_state": INDEX_STATE, "migrations": MIGRATIONS, "batches": BATCHES}
+KEYS = {"papers": ["doc_id"], "chunks": ["chunk_id"], "gaps": ["gap_id"], "experiments": ["experiment_id"], "notes": ["note_id"], "vectors": ["chunk_id", "profile_key"], "entries": ["chunk_id", "profile_key"], "index_state": ["profile_key"], "migrations": ["migration_id"], "batches": ["migration_id", "batch"]}

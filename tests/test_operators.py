@@ -7,7 +7,7 @@ from marginalia.errors import EngineError
 from marginalia.functions import model_json as M
 from marginalia.functions import vectors as V
 from marginalia.operators import extract, graph, index, knowledge, retrieval
-from marginalia.operators.store import Store
+from marginalia.operators.store import Store, upsert_migrations
 from marginalia.plans import agents, chains, providers
 from marginalia.sources import documents, literature
 
@@ -129,49 +129,191 @@ def stored(spark, root):
     return store
 
 
+CHUNK = "chunk_id string, doc_id string, page int, text string"
+
+
 def test_store_upsert_and_lock(spark, tmp_path):
     store = stored(spark, tmp_path)
-    store.put("chunks", spark.createDataFrame([("a", "d", 2, "new"), ("b", "d", 1, "more")], "chunk_id string, doc_id string, page int, text string"))
+    store.put("chunks", spark.createDataFrame([("a", "d", 2, "new"), ("b", "d", 1, "more")], CHUNK))
     assert [(r["chunk_id"], r["page"]) for r in store.read("chunks").orderBy("chunk_id").collect()] == [("a", 2), ("b", 1)]
     assert store.lock("me") and not store.lock("you")
     with pytest.raises(EngineError):
-        index.index_chunks(store, store.read("chunks"), "p", V.hash_vector(F.col("text")), 16)
+        index.index_chunks(store, store.read("chunks"), providers.embedding("mock"))
     store.unlock()
     with pytest.raises(EngineError):
         store.add("chunks", store.read("chunks"))
+    store.put("chunks", store.read("chunks").limit(0))
+    assert store.read("chunks").count() == 2
 
 
-def test_a_crash_between_the_steps_leaves_a_whole_version(spark, tmp_path):
-    store, rows = stored(spark, tmp_path), spark.createDataFrame([("b", "d", 1, "x"), ("b", "d", 1, "x")], "chunk_id string, doc_id string, page int, text string")
-    rows.write.parquet(f"file://{tmp_path}/chunks/v99-unpublished")
-    assert store.read("chunks").count() == 1
-    (tmp_path / "chunks" / "CURRENT.v0-old").touch()  # an older pointer that was not deleted
-    assert store.read("chunks").first()["chunk_id"] == "a"
+def files_of(folder):
+    return {p.relative_to(folder): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_a_put_leaves_other_buckets_alone(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}", buckets=8)
+    rows = spark.createDataFrame([(f"c{i}", "d", i, "text") for i in range(200)], CHUNK)
     store.put("chunks", rows)
+    before = files_of(tmp_path / "chunks")
+    assert len({p.parts[0] for p in before}) == 8 == store.buckets
+    changed = spark.createDataFrame([("c7", "d", 7, "changed"), ("c7", "d", 7, "changed")], CHUNK)
+    touched = f"bucket={changed.select(store.bucket('chunks')).first()[0]}"
+    Store(spark, f"file://{tmp_path}", buckets=3).put("chunks", changed)  # the number of the first put stands
+    after = files_of(tmp_path / "chunks")
+    assert {p: t for p, t in before.items() if p.parts[0] != touched} == {p: t for p, t in after.items() if p.parts[0] != touched}
+    assert all(p not in after for p in before if p.parts[0] == touched)
+    assert {r["chunk_id"]: r["text"] for r in store.read("chunks").collect()} == {f"c{i}": "changed" if i == 7 else "text" for i in range(200)}
+
+
+def test_a_put_that_stops_half_way_is_finished(spark, tmp_path, monkeypatch):
+    store, rows = stored(spark, tmp_path), spark.createDataFrame([("b", "d", 1, "x"), ("b", "d", 1, "x")], CHUNK)
+    finish, calls = Store._finish, []
+    monkeypatch.setattr(Store, "_finish", lambda self, name: calls.append(name) or (finish(self, name) if len(calls) == 1 else 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        store.put("chunks", rows)
+    monkeypatch.undo()
+    assert store.read("chunks").count() == 1
+    rows.write.parquet(f"file://{tmp_path}/chunks/_pending/unfinished")
+    (tmp_path / "chunks" / "_pending" / "unfinished" / "_SUCCESS").unlink()
+    store.recover("chunks")
     assert sorted(r["chunk_id"] for r in store.read("chunks").collect()) == ["a", "b"]
-    assert len([f for f in (tmp_path / "chunks").iterdir() if f.name.startswith("CURRENT.")]) == 1
+    assert not list((tmp_path / "chunks" / "_pending").iterdir())
+    (tmp_path / "chunks" / "_WRITER").write_text(f"{__import__('socket').gethostname()} 1 put\n")  # a living process
+    with pytest.raises(EngineError) as error:
+        store.put("chunks", rows)
+    assert error.value.code == 503
+
+
+def test_gaps_and_experiments_are_upserted(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}", buckets=2)
+    for level in ("mid", "high"):
+        store.put("gaps", spark.createDataFrame([("g", "t", level, "d", ["p"], None)], "gap_id string, title string, value_level string, description string, evidence_papers array<string>, created_at timestamp"))
+        lists = [["d"], ["m"], ["b"], ["s"], [level], ["p"]]
+        store.put("experiments", spark.createDataFrame([("e", "g", level, *lists)], "experiment_id string, gap_id string, objective string, datasets array<string>, metrics array<string>, baselines array<string>, steps array<string>, risks array<string>, support_papers array<string>"))
+    assert [r["value_level"] for r in store.read("gaps").collect()] == ["high"]
+    assert [(r["objective"], r["risks"]) for r in store.read("experiments").collect()] == [("high", ["high"])]
+
+
+def test_migration_upsert_keeps_the_first_start(spark):
+    kinds = "migration_id string, profile_key string, status string, started_at timestamp, completed_at timestamp"
+    at = lambda day: __import__("datetime").datetime(2024, 1, day)
+    old = spark.createDataFrame([("m", "p", "running", at(1), None), ("n", "p", "complete", at(1), at(2))], kinds)
+    new = spark.createDataFrame([("m", "q", "complete", at(3), at(4)), ("n", "p", "running", at(5), at(5)), ("o", "p", "failed", at(6), at(7))], kinds)
+    rows = {r["migration_id"]: (r["profile_key"], r["status"], r["started_at"].day, r["completed_at"] and r["completed_at"].day) for r in upsert_migrations(old, new).collect()}
+    assert rows == {"m": ("p", "complete", 1, 4), "n": ("p", "running", 1, None), "o": ("p", "failed", 6, 7)}
+
+
+def counting(folder, fails=(), dimension=4):
+    """A transport that leaves a file a call, and fails for texts of the given words."""
+
+    def call(texts):
+        import uuid
+        from pathlib import Path
+
+        (Path(folder) / uuid.uuid4().hex).write_text(str(len(texts)))
+        if any(f in t for t in texts for f in fails):
+            raise OSError("no answer")
+        return [[float(len(t)), 1.0, 2.0, 3.0][:dimension] for t in texts]
+
+    return call
+
+
+def asked(folder):
+    return sum(int(p.read_text()) for p in folder.iterdir())
+
+
+def test_every_chunk_is_embedded_once(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, f"file://{tmp_path}/s", buckets=4)
+    store.put("chunks", spark.createDataFrame([(f"c{i}", "d", i, f"text {i}") for i in range(100)], CHUNK))
+    provider = providers.Embedding("local", "m", 4, transport=counting(tmp_path / "calls"), batch=10)
+    assert index.index_chunks(store, store.read("chunks"), provider) == {"indexed": 100, "failed": 0}
+    assert asked(tmp_path / "calls") == 100
+    assert store.read("vectors").count() == 100 and store.read("index_state").first()["state"] == "ready"
+
+
+def test_a_failing_batch_is_flagged_and_refused(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, f"file://{tmp_path}/s", buckets=2)
+    store.put("chunks", spark.createDataFrame([(f"c{i}", "d", i, "bad" if i == 3 else f"text {i}") for i in range(12)], CHUNK))
+    provider = providers.Embedding("local", "m", 4, transport=counting(tmp_path / "calls", ["bad"]), batch=1, retries=2)
+    rows = {r["chunk_id"]: r for r in provider.embedded(store.read("chunks")).collect()}
+    assert asked(tmp_path / "calls") == 11 + 3
+    assert [k for k, r in rows.items() if r["is_fallback"]] == ["c3"] and "no answer" in rows["c3"]["embedding_error"]
+    own = spark.createDataFrame([("bad",)], "t string").select(V.hash_vector(F.col("t"), 4).alias("v")).first()["v"]
+    assert rows["c3"]["embedding"] == own and rows["c4"]["embedding"] == [6.0, 1.0, 2.0, 3.0]
+    assert index.index_chunks(store, store.read("chunks"), provider) == {"indexed": 11, "failed": 1}
+    assert {r["status"]: r["n"] for r in index.entry_counts(store.read("entries"), provider.key).collect()} == {"ready": 11, "failed": 1}
+    assert "c3" not in {r["chunk_id"] for r in store.read("vectors").collect()} and store.read("index_state").first()["state"] == "degraded"
+
+
+def test_wrong_shapes_and_null_texts_fall_back(spark):
+    rows = spark.createDataFrame([("x",), (None,), ("",)], "text string").coalesce(1)
+    short = providers.Embedding("local", "m", 4, transport=lambda texts: [[1.0] * 3] * len(texts))
+    few = providers.Embedding("local", "m", 4, transport=lambda texts: [[1.0] * 4])
+    none = providers.Embedding("local", "m", 4)
+    for provider in (short, few, none):
+        found = provider.embedded(rows).collect()
+        assert len(found) == 3 and all(len(r["embedding"]) == 4 and r["embedding_error"] for r in found) and all(r["is_fallback"] for r in found)
+    assert not any(r["is_fallback"] for r in providers.embedding("mock").embedded(rows).collect())
+    assert none.embedded(rows.limit(0)).count() == 0 and providers.Embedding("Local BGE", "m--3", 4).collection == "paper_chunks_v2_local_bge_m_3_4"
 
 
 def test_migration_is_resumable(spark, tmp_path):
-    store = stored(spark, tmp_path)
+    store = Store(spark, f"file://{tmp_path}", buckets=2)
+    store.put("chunks", spark.createDataFrame([("a", "d", 1, "text")], CHUNK))
     legacy = spark.createDataFrame([("a", "text", [0.5] * 16)], "chunk_id string, text string, embedding array<double>")
     mock = providers.embedding("mock")
-    plan = index.migrate(store, mock.key, 16, mock.embed, legacy, apply=False)
-    assert plan["pending_count"] == 1 and plan["legacy_vector_count"] == 1
-    first = index.migrate(store, mock.key, 16, mock.embed, legacy)
+    plan = index.migrate(store, mock, legacy, apply=False)
+    assert plan["pending_count"] == 1 and plan["legacy_vector_count"] == 1 and store.read("migrations").count() == 0
+    first = index.migrate(store, mock, legacy)
     assert first["processed_count"] == 1 and first["activated"]
-    again = index.migrate(store, mock.key, 16, mock.embed, legacy)
+    again = index.migrate(store, mock, legacy)
     assert again["processed_count"] == 0 and again["skipped_count"] == 1
 
 
-def test_failed_write_is_marked(spark, tmp_path):
-    store = stored(spark, tmp_path)
+def test_migration_stops_and_resumes(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, f"file://{tmp_path}/s", buckets=3)
+    store.put("chunks", spark.createDataFrame([(f"c{i}", "d", i, "bad" if i == 5 else f"text {i}") for i in range(30)], CHUNK))
+    legacy = spark.createDataFrame([(f"c{i}", f"text {i}", [0.5] * 4) for i in range(0, 30, 3)], "chunk_id string, text string, embedding array<double>")
+    provider = providers.Embedding("local", "m", 4, transport=counting(tmp_path / "calls", ["bad"]), batch=1, retries=0)
+
+    def stop(batch):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        index.migrate(store, provider, legacy, after_batch=stop)
+    row = store.read("migrations").first()
+    assert row["status"] == "running" and row["completed_at"] is None and not store.locked()
+    assert store.read("index_state").first()["state"] == "migrating" and store.read("batches").count() == 1
+    once = asked(tmp_path / "calls")
+    done = index.migrate(store, provider, legacy)
+    assert (done["processed_count"], done["failed_count"], done["missing_count"], done["activated"]) == (29, 1, 1, False)
+    assert asked(tmp_path / "calls") == 20 > once > 0  # ten of thirty are reused, none embedded twice
+    end = store.read("migrations").first()
+    assert (end["status"], end["started_at"], end["processed_count"], end["failed_count"]) == ("failed", row["started_at"], 29, 1) and end["completed_at"] >= row["started_at"]
+    entries = {r["chunk_id"]: (r["status"], r["error"]) for r in store.read("entries").collect()}
+    assert len(entries) == 30 and entries["c5"][0] == "failed" and "no answer" in entries["c5"][1] and entries["c0"] == ("ready", None)
+    assert store.read("vectors").where("chunk_id = 'c3'").first()["embedding"] == [0.5] * 4
+    cured = providers.Embedding("local", "m", 4, transport=counting(tmp_path / "calls"), batch=1)
+    last = index.migrate(store, cured, legacy)
+    assert (last["processed_count"], last["skipped_count"], last["failed_count"], last["activated"]) == (1, 29, 0, True)
+    assert store.read("migrations").first()["status"] == "complete" and store.read("index_state").first()["active_collection"] == cured.collection
+
+
+def test_failed_write_is_marked(spark, tmp_path, monkeypatch):
+    store, mock = stored(spark, tmp_path), providers.embedding("mock")
+    monkeypatch.setattr(Store, "put_vectors", lambda *a: 1 / 0)
     with pytest.raises(EngineError):
-        index.index_chunks(store, store.read("chunks"), "p", V.hash_vector(F.col("text"), 8), 16)
-    assert {r["status"]: r["n"] for r in index.entry_counts(store.read("entries"), "p").collect()} == {"failed": 1}
+        index.index_chunks(store, store.read("chunks"), mock)
+    monkeypatch.undo()
+    assert {r["status"]: r["n"] for r in index.entry_counts(store.read("entries"), mock.key).collect()} == {"failed": 1}
     assert store.read("index_state").first()["state"] == "degraded" and store.read("chunks").count() == 1
     with pytest.raises(EngineError):
-        index.index_chunks(store, store.read("chunks"), "p", V.hash_vector(F.col("text")), 16, is_fallback=True, mock=False)
+        index.index_chunks(store, store.read("chunks"), providers.embedding("openai"))
+    with pytest.raises(EngineError):
+        store.put_vectors(store.read("chunks").withColumns({"embedding": F.array(F.lit(1.0)), "tags": F.array().cast("array<string>"), "module_source": F.lit(""), "content_hash": F.lit(""), "profile_key": F.lit("p")}), 16)
 
 
 def test_status_precedence(spark):
