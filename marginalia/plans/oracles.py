@@ -155,6 +155,8 @@ SQL = {
     "l2_similarity_topk": f"with {VECTORS} select rank, chunk_id, round(score, 6) as score from ({_ranked(f'select chunk_id, seq, {_L2} as score from vectors, q', 'score desc, seq', 10)})",
     "filtered_cosine_topk": f"""with {VECTORS} select rank, chunk_id, round(score, 6) as score from ({_ranked(f"select chunk_id, seq, {_COSINE} as score from vectors, q where doc_id::int % 2 = 0 and list_contains(tags, 'even') and module_source = 'upload'", 'score desc, seq', 5)})""",
     "overfetch_topk": f"""with {VECTORS}, near as (select chunk_id, seq, tags, {_L2} as score from vectors, q order by score desc, seq limit 25) select rank, chunk_id, round(score, 6) as score from ({_ranked("select chunk_id, seq, score from near where list_contains(tags, 'odd')", 'score desc, seq', 5)})""",
+    "indexed_topk": """with v as (select vec_id, embedding::double[] as e from embeddings), s as (select a.vec_id as item_id, b.vec_id, pow(list_distance(a.e, b.e), 2) as d from v a join v b on a.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by item_id order by d, vec_id) as rank from s qualify rank <= 5) select item_id, rank, vec_id::varchar as chunk_id, round(1 / (1 + d), 6) as score from r""",
     "list_papers": f"with {PAPERS} select {_PAPER} from papers",
     "get_paper": f"with {PAPERS} select {_PAPER} from papers where doc_id = '7'",
     "list_chunks": f"with {CHUNKS} select chunk_id, doc_id, page, text from chunks where doc_id in ('3', '5', '8')",

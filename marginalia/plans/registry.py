@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import model_json as M
 from marginalia.functions import text as X
 from marginalia.functions import vectors as V
-from marginalia.operators import extract, graph, index, knowledge, retrieval, store
+from marginalia.operators import cells, extract, graph, index, knowledge, retrieval, store
 from marginalia.plans import agents, chains, oracles, providers
-from marginalia.sources import literature, views
+from marginalia.sources import literature, views, workspace
 
 QUESTION = oracles.QUESTION
 DIRECTION = oracles.DIRECTION
@@ -135,6 +135,15 @@ def overfetch_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query
+def indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth vector as a question to a collection built of all of them."""
+    vectors = views.vectors(spark, d)
+    collection = cells.CellIndex.build(vectors, workspace.folder(spark, "collection"))
+    found = cells.search(collection, vectors.where("seq % 50 = 0").select(F.col("seq").alias("item_id"), F.col("embedding").alias("query")))
+    return found.select("item_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # stored papers, chunks, histories
 
 
