@@ -248,6 +248,7 @@ SQL = {
         array_to_string(list_sort(list_distinct(regexp_extract_all(fc, '[a-z0-9_]{2,}'))), '|') as tokens, 'A' as values, replace(c, ',' || chr(10) || ' ', '|') as tags from f""",
 }
 
+SQL["postings_topk"] = SQL["lexical_topk_many"]
 _QA = SQL["qa_sources"]
 _STEPS = "['extract_reproduction_info', 'generate_code_skeleton', 'generate_simulation_template', 'assess_risks', 'generate_report']"
 SQL |= {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import model_json as M
 from marginalia.functions import text as X
 from marginalia.functions import vectors as V
-from marginalia.operators import cells, extract, graph, index, knowledge, retrieval, store
+from marginalia.operators import cells, extract, graph, index, knowledge, postings, retrieval, store
 from marginalia.plans import agents, chains, oracles, providers
 from marginalia.sources import literature, views, workspace
 
@@ -66,6 +66,13 @@ def lexical_topk_many(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query
+def postings_topk(spark: SparkSession, d: str) -> DataFrame:
+    """lexical_topk_many from an inverted index."""
+    built = postings.PostingIndex.build(views.chunks(spark, d), workspace.folder(spark, "postings"))
+    return built.search(views.questions(spark, d), 5).rows.select("item_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     asked, own = X.tokens(F.lit(QUESTION)), X.tokens(F.col("text"))
