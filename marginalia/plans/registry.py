@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -566,6 +567,29 @@ def qa_answers(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", "answer", big(F.size("sources")).alias("n_sources"), joined(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), joined(F.transform("sources", lambda s: s["chunk_id"])).alias("chunks"))
 
 
+def _sometimes(texts: list[str]) -> list[list[float]]:
+    """Hash vectors by a provider that refuses texts whose length four divides."""
+    if any(len(t) % 4 == 0 for t in texts):
+        raise OSError("refused")
+    raw = [[b / 255 for b in hashlib.sha256(f"0:{t}".encode()).digest()[:16]] for t in texts]
+    return [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in raw]
+
+
+@query
+def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every question in one call: of all papers, of two, of two that have no vectors, or of one that is not stored; some have no vector."""
+    chunks = views.chunks(spark, d).withColumn("n", F.col("doc_id").cast("long"))
+    stored = chunks.where("n % 7 <> 0").withColumns({"embedding": V.hash_vector(F.col("text")), "seq": F.col("n") * 1000 + F.col("page"), "tags": F.array().cast("array<string>")}).drop("n")
+    index_of = cells.CellIndex.build(stored, workspace.folder(spark, "collection"))
+    item = F.col("item_id")
+    ids = lambda *c: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("string") for x in c])
+    of = F.when(item % 4 == 0, F.array().cast("array<string>")).when(item % 4 == 1, ids(item * 3 % 90 + 1, item * 5 % 70 + 1)).when(item % 4 == 2, ids(7, 14)).otherwise(ids("missing"))
+    asked = views.questions(spark, d).withColumn("doc_ids", of)
+    provider = providers.Embedding("local-hash", "sha", 16, transport=_sometimes, batch=1, retries=0)
+    out = chains.ask(asked, chunks.drop("n"), index_of, provider)
+    return out.select("item_id", "rung", "answer", joined(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), joined(F.transform("sources", lambda s: s["chunk_id"])).alias("chunks"), joined("warnings", "|").alias("warnings"))
+
+
 @query
 def suggested_experiments(spark: SparkSession, d: str) -> DataFrame:
     texts = views.model_texts(spark, d).select("part_id", F.col("part_id").cast("string").alias("query"), F.array(F.lit("p1")).alias("support_papers"), F.col("plan_text").alias("raw"))
