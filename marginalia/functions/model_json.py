@@ -54,8 +54,8 @@ def gap_items(frame: DataFrame, raw: str, key: str, evidence: Column | None = No
     known, none = F.col("level").isin(*GAP_LEVELS), F.size("evidence") == 0
     warnings = F.filter(
         F.array(
-            F.when(~known, F.concat(F.lit("Normalized unsupported value_level for gap '"), "title", F.lit("' to mid."))),
-            F.when(none, F.concat(F.lit("Filled missing evidence papers for gap '"), "title", F.lit("'."))),
+            F.when(~known, F.concat(F.lit("Level of gap '"), "title", F.lit("' read as mid."))),
+            F.when(none, F.concat(F.lit("Evidence of gap '"), "title", F.lit("' filled in."))),
         ),
         lambda x: x.isNotNull(),
     )

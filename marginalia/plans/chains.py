@@ -138,6 +138,32 @@ def evidence_lines(papers: DataFrame) -> Column:
     return F.concat("paper_id", F.lit(": "), "title", F.lit(". "), "abstract")
 
 
+def _with_literature(requests: DataFrame, literature: DataFrame, key: str) -> DataFrame:
+    """The requests with ``listed``: line, title line and paper_id of each one's few papers, in order."""
+    one = F.struct("n", evidence_lines(literature).alias("line"), F.concat("paper_id", F.lit(": "), "title").alias("short"), "paper_id")
+    held = literature.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("listed"))
+    return requests.join(held, key, "left").withColumn("listed", F.coalesce("listed", F.array().cast(held.schema["listed"].dataType)))
+
+
+def _prompt(marker: str, wish: str) -> Column:
+    lines = F.array_join(F.transform("listed", lambda x: x["line"]), "\n")
+    return F.concat(F.lit(f"{marker}\n{wish}\n\n"), F.coalesce("query", F.lit("")), F.lit("\n\n"), lines)
+
+
+def analyse(requests: DataFrame, literature: DataFrame, chat: Chat = providers.mock_answer, key: str = "request_id") -> DataFrame:
+    """From topics to research gaps: ``requests`` (key, query), ``literature`` (key, n, paper_id, title, abstract: a few a request)."""
+    asked = _with_literature(requests.select(key, "query"), literature, key)
+    raw = chat(_prompt("GAP_JSON", "List the open research gaps of this topic as JSON, in Chinese, with the papers that show them."))
+    return gap_analyses(asked.select(key, "query", F.transform("listed", lambda x: x["short"]).alias("evidence"), raw.alias("raw")))
+
+
+def suggest(requests: DataFrame, literature: DataFrame, chat: Chat = providers.mock_answer, key: str = "request_id") -> DataFrame:
+    """From topics to experiment plans; the literature's papers support them."""
+    asked = _with_literature(requests.select(key, "query"), literature, key)
+    raw = chat(_prompt("EXPERIMENT_JSON", "Plan experiments on this topic as JSON, in Chinese: objective, datasets, metrics, baselines, steps and risks."))
+    return experiment_plans(asked.select(key, "query", F.transform("listed", lambda x: x["paper_id"]).alias("support_papers"), raw.alias("raw")))
+
+
 def _text(v: Column, field: str) -> Column:
     return X.clean_text(F.try_variant_get(v, F.lit(f"$.{field}"), "string"))
 

@@ -26,7 +26,7 @@ def ingest(store: Store, files: DataFrame, provider: Embedding, configured: Embe
     if configured and configured.key != provider.key:
         raise EngineError(f"The index holds {configured.key}, the vectors are {provider.key}.", 409)
     if store.locked():
-        raise EngineError("Vector index migration is in progress.", 503)
+        raise EngineError("A migration is under way.", 503)
     named = files.select("doc_id", "title", F.current_timestamp().alias("created_at"), F.lit(False).alias("is_favorite"), F.array().cast("array<string>").alias("tags"))
     store.add("papers", named)
     store.put("chunks", documents.chunk_rows(files, documents.pages(files, pages_of)))

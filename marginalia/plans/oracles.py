@@ -281,9 +281,19 @@ SQL |= {
         select doc_id, step_index, tools[step_index] as tool_name, case when step_index = 1 then 'paper_id=' || doc_id else 'mode=template; chunks=' || n || '; requirement=quick' end as input_summary, coalesce(tools[step_index + 1], 'complete') as next_decision from u""",
     "model_options": """select * from (values ('embedding', 'mock', 'mock-embedding', true, null), ('embedding', 'openai', 'text-embedding-3-small', false, 'OPENAI_API_KEY is not configured.'), ('embedding', 'local-bge-m3', 'bge-m3', true, null), ('embedding', 'xfyun-spark', 'query', false, 'XFYUN_API_KEY is not configured.'),
         ('chat', 'mock', 'mock-chat', true, null), ('chat', 'deepseek', 'deepseek-chat', false, 'DEEPSEEK_API_KEY is not configured.'), ('chat', 'openai', 'gpt-4o-mini', false, 'OPENAI_API_KEY is not configured.')) v(kind, provider, model, available, warning)""",
-    "plan_trace": f"""with {CHUNKS}, n as (select least(8, count(*)) as n from chunks where doc_id in ('1', '2')),
-        told as (select unnest([('understand_goal', 'Research direction parsed as ' || chr(39) || {_q(DIRECTION)} || chr(39) || ' without current experiment evidence.'), ('plan_steps', 'Plan created: retrieve context, summarize papers, analyze gaps, suggest experiments, recommend papers, generate cards.'),
-        ('knowledge_search_tool', 'Retrieved ' || n || ' context chunks from 2 selected paper(s).'), ('paper_summary_tool', 'Paper summary created from ' || least(3, n) || ' top chunk(s).'), ('gap_analysis_tool', 'Analyzed 1 research gap(s).'), ('select_top_3_gaps', 'Selected 1 top gap(s), prioritizing high-value items.'),
-        ('experiment_suggestion_tool', 'Generated 1 experiment suggestion(s) for selected gaps.'), ('paper_recommendation_tool', 'Recommended 5 follow-up paper(s).'), ('research_report_tool', 'Generated 1 research execution card(s).')]) as t, unnest(range(1, 10)) as step_index from n)
-        select step_index::int as step_index, t[1] as tool_name, t[2] as observation, coalesce('Next call: ' || lead(t[1]) over (order by step_index) || '.', 'Agent finished.') as next_decision from told""",
+}
+
+_RUNS = f"""{CHUNKS}, req as (select c_custkey as request_id, {_q(DIRECTION)} || ' ' || c_mktsegment as direction, c_custkey % 3 = 0 as has_result, case when c_custkey % 10 = 0 then ['missing'] else [(c_custkey % 90 + 1)::varchar, (c_custkey % 70 + 2)::varchar] end as ids from customer),
+    ctx as (select request_id, page, doc_id, chunk_id, text, len(list_filter(list_distinct(string_split(lower(direction), ' ')), lambda w: contains(lower(text), w))) as matched from req join chunks on list_contains(ids, doc_id)),
+    pl as (select *, row_number() over (partition by request_id order by matched desc, doc_id, page, chunk_id) as place from ctx qualify place <= 8),
+    run as (select req.*, coalesce(n, 0) as n, s from req left join (select request_id, count(*) as n, string_agg(left(replace(trim(text), chr(10), ' '), 180), ' ' order by place) filter (place <= 3) as s from pl group by all) using (request_id))"""
+_TOOLS = "['understand_goal', 'plan_steps', 'knowledge_search_tool', 'paper_summary_tool', 'gap_analysis_tool', 'select_top_3_gaps', 'experiment_suggestion_tool', 'paper_recommendation_tool', 'research_report_tool']"
+SQL |= {
+    "plan_trace": f"""with {_RUNS}, t as (select *, case when n > 0 then {_TOOLS} else {_TOOLS}[:2] || [{_TOOLS}[3] for i in range(8)] end as tools from run), u as (select *, unnest(range(1, len(tools) + 1)) as step_index from t)
+        select request_id, step_index, tools[step_index] as tool_name, coalesce(tools[step_index + 1], 'complete') as next_decision, case tools[step_index] when 'understand_goal' then 'Goal: ' || direction || case when has_result then '; results at hand.' else '; no results yet.' end
+        when 'plan_steps' then '9 steps are planned, 10 at most.' when 'knowledge_search_tool' then n || ' passages found in ' || len(ids) || ' papers.' when 'paper_summary_tool' then 'Summary of ' || least(n, 3) || ' passages.' when 'gap_analysis_tool' then '1 gaps.'
+        when 'select_top_3_gaps' then '1 gaps kept, those of high value first.' when 'experiment_suggestion_tool' then '1 experiments.' when 'paper_recommendation_tool' then '5 papers named.' else '1 cards.' end as observation from u""",
+    "plan_run_cards": f"""with {_RUNS} select request_id, direction || '：评估覆盖不足' as title, '已有研究主要围绕 ' || direction || ' 展开。证据片段：' || s as background, '缺少跨领域评估。' as research_gap, '从“评估覆盖不足”入手，先复现实有证据，再补齐 high 价值缺口。' as entry_point,
+        '验证检索质量 数据集：公开基准；指标：NDCG。' as experiment_suggestion, array_to_string(['arxiv-' || i || ': arXiv study on ' || direction || ' 评估覆盖不足 #' || i for i in range(1, 6)], '; ') as recommended_papers, '标签噪声' as risks, '准备数据' as next_action from run where n > 0""",
+    "plan_warnings": f"with {_RUNS} select request_id, case when n > 0 then 'Evidence of gap ' || chr(39) || '评估覆盖不足' || chr(39) || ' filled in.' else 'The steps were used up before any passage was found; there are no cards.' end as warnings from run",
 }

@@ -313,11 +313,28 @@ def support_padding(spark: SparkSession, d: str) -> DataFrame:
     return views.experiments(spark, d).select("experiment_id", joined(M.padded_support(F.slice("support_papers", 1, (F.col("seq") % 6).cast("int")))).alias("support"))
 
 
+def _plan_runs(spark: SparkSession, d: str) -> agents.PlanRuns:
+    """A request a customer, of two documents each; every tenth names one that is not stored, every third has a result."""
+    key = F.col("c_custkey")
+    ids = F.when(key % 10 == 0, F.array(F.lit("missing"))).otherwise(F.array((key % 90 + 1).cast("string"), (key % 70 + 2).cast("string")))
+    asked = views.table(spark, d, "customer").select(key.alias("request_id"), F.concat(F.lit(f" {DIRECTION} "), "c_mktsegment").alias("direction"), ids.alias("paper_ids"), F.when(key % 3 == 0, F.concat(F.lit("0."), key.cast("string"))).alias("experiment_result"))
+    return agents.plan_runs(asked, views.chunks(spark, d))
+
+
 @query
 def plan_trace(spark: SparkSession, d: str) -> DataFrame:
-    agent = agents.PlanAgent(spark, views.papers(spark, d), views.chunks(spark, d), DIRECTION, ["1", "2"])
-    agent.run()
-    return agents.trace_rows(spark, agent.trace)
+    return _plan_runs(spark, d).trace.select("request_id", big("step_index").alias("step_index"), "tool_name", "observation", "next_decision")
+
+
+@query
+def plan_run_cards(spark: SparkSession, d: str) -> DataFrame:
+    cards = _plan_runs(spark, d).cards
+    return cards.select("request_id", "title", "background", "research_gap", "entry_point", "experiment_suggestion", joined("recommended_papers").alias("recommended_papers"), joined("risks").alias("risks"), "next_action")
+
+
+@query
+def plan_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return _plan_runs(spark, d).warnings.select("request_id", joined("warnings", "|").alias("warnings"))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 
+STAND_IN = "A stand-in: no literature service was asked."
 ATOM = "entry array<struct<id: string, title: string, summary: string, published: string>>"
 NO_ABSTRACT = "No abstract available."
 WORKS = "results array<struct<id: string, display_name: string, publication_year: string, cited_by_count: string, referenced_works: string>>"
@@ -22,12 +23,14 @@ def atom_papers(feeds: DataFrame, feed: str = "feed") -> DataFrame:
     return rows.select(paper.alias("paper_id"), X.normalised(title).alias("title"), X.normalised(F.when(summary == "", NO_ABSTRACT).otherwise(summary)).alias("abstract"), X.leading_year(X.clean_text(F.col("e.published"))).alias("year"))
 
 
-def offline_papers(spark: SparkSession, query: str, limit: int = 5) -> DataFrame:
-    """Numbered stand-ins where no literature service can be reached; none for a blank query."""
-    rows = spark.range(1, limit + 1 if query.strip() else 1).select(F.col("id").cast("string").alias("n"))
-    return rows.select(
-        F.concat(F.lit("arxiv-"), "n").alias("paper_id"), F.concat(F.lit(f"arXiv study on {query} #"), "n").alias("title"), F.lit("This mock arXiv result discusses recent methods and unresolved experimental coverage.").alias("abstract"), F.lit(2025).alias("year")
-    )
+def stand_ins(requests: DataFrame) -> DataFrame:
+    """Numbered stand-ins where no literature service can be reached: request_id, n, paper_id, title, abstract and year.
+
+    ``requests``: request_id, query, most.  None for a blank query."""
+    asked = requests.where(F.coalesce(X.stripped(F.col("query")), F.lit("")) != "").where("most > 0")
+    rows = asked.select("request_id", "query", F.explode(F.sequence(F.lit(1), "most")).alias("n"))
+    text = F.col("n").cast("string")
+    return rows.select("request_id", "n", F.concat(F.lit("arxiv-"), text).alias("paper_id"), F.concat(F.lit("arXiv study on "), "query", F.lit(" #"), text).alias("title"), F.lit(STAND_IN).alias("abstract"), F.lit(2025).alias("year"))
 
 
 def openalex_works(answers: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -52,6 +52,36 @@ def test_works_source(spark):
     assert all(r["body"] is None and r["warning"] for o in ({"query": " ", "key": "k"}, {"query": "q"}, {"query": "down", "key": "k"}) for r in load(**o).collect())
 
 
+def paged(query, rows, start):
+    if start == 4:
+        raise OSError("away")
+    return [(f"p{n}", f"{query} {n}", "a", 2020) for n in range(start, min(start + rows, 9))]
+
+
+def paged_works(asked):
+    number = int(asked.get("page", 1))
+    if number == 2:
+        raise OSError("away")
+    return json.dumps({"results": [{"id": f"https://x/W{number}", "display_name": "n", "publication_year": 2020, "cited_by_count": 3, "referenced_works": []}]})
+
+
+def test_pages_of_sources(spark):
+    from marginalia.sources.remote import LiteratureSource, WorksSource
+
+    spark.dataSource.register(LiteratureSource)
+    spark.dataSource.register(WorksSource)
+    load = lambda **o: spark.read.format("literature").options(query="q", fetch="tests.test_ingest:paged", limit=11, page=2, **o).load()
+    for concurrency in (1, 3, 50):
+        rows = load(concurrency=concurrency)
+        assert rows.rdd.getNumPartitions() == min(concurrency, 6)
+        found = {r["paper_id"]: r["warning"] for r in rows.collect()}
+        assert set(found) == {"p0", "p1", "p2", "p3", "arxiv-5", "arxiv-6", "p6", "p7", "p8"}
+        assert [k for k, told in found.items() if told] == ["arxiv-5", "arxiv-6"] and "row 5 on (away)" in found["arxiv-5"]
+    works = spark.read.format("openalex").options(query="q", key="k", fetch="tests.test_ingest:paged_works", pages=3).load()
+    assert [r["warning"] for r in works.where("warning is not null").collect()] == ["The works service failed on page 2 (away)."]
+    assert sorted(r["paper_id"] for r in literature.openalex_works(works.where("body is not null")).collect()) == ["W1", "W3"]
+
+
 def test_graph_from_source(spark):
     works = spark.createDataFrame([("1", "a", 2020, 5, 0, 0), ("2", "b", 2021, 1, 0, 1)], "paper_id string, title string, year int, citation_count long, influential long, first_seen long")
     edges = spark.createDataFrame([("1", "2")], "source string, target string")

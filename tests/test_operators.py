@@ -324,13 +324,30 @@ def test_status_precedence(spark):
     assert state(collection=index.LEGACY_COLLECTION) == "legacy" and state() == "migration_required"
 
 
-def test_plan_agent(spark, papers, chunks):
-    agent = agents.PlanAgent(spark, papers, chunks, "alpha methods", ["doc-a"])
-    cards = agent.run()
-    assert [t for _, t, _, _ in agent.trace] == list(agents.PLAN_TOOLS)
-    assert cards.count() >= 1 and cards.first()["recommended_papers"].startswith("arxiv-1")
-    empty = agents.PlanAgent(spark, papers, chunks.limit(0), "alpha", ["doc-a"])
-    assert empty.run().count() == 0 and len(empty.trace) == agents.PLAN_STEPS and empty.warnings
+def test_plan_runs(spark, chunks):
+    kinds = "request_id int, direction string, paper_ids array<string>, experiment_result string"
+    asked = spark.createDataFrame([(1, " alpha  methods ", ["doc-a", "doc-b"], "0.7"), (2, "gamma", ["none"], None)], kinds)
+    levels = ["low", "high", "mid", "high"]
+    gaps = ", ".join(f'{{"title": "t{i}", "value_level": "{v}", "description": "d{i}", "evidence_papers": ["e{i}"]}}' for i, v in enumerate(levels))
+    plan = '{"experiments": [{"objective": "o", "datasets": ["d"], "metrics": ["m"], "baselines": ["b"], "steps": ["first"], "risks": ["r"]}]}'
+    chat = lambda p: F.when(F.contains(p, F.lit("GAP_JSON")), '{"gaps": [' + gaps + "]}").when(F.contains(p, F.lit("Measured so far: 0.7")) & F.contains(p, F.lit("t1. d1")), plan).otherwise("none")
+    runs = agents.plan_runs(asked, chunks, chat)
+    cards = runs.cards.orderBy("card").collect()
+    assert [c["title"] for c in cards] == ["alpha  methods：t1", "alpha  methods：t3", "alpha  methods：t0"]
+    assert [c["next_action"] for c in cards][:2] == ["first", "准备评估划分"] and all(c["recommended_papers"][0].startswith("arxiv-1: ") for c in cards)
+    assert "t1 t3 t0" in cards[0]["recommended_papers"][0]
+    steps = runs.trace.orderBy("request_id", "step_index").collect()
+    assert [r["tool_name"] for r in steps if r["request_id"] == 1] == list(agents.PLAN_TOOLS) and len(steps) == len(agents.PLAN_TOOLS) + agents.PLAN_STEPS
+    assert steps[2]["observation"] == "3 passages found in 2 papers." and all(r["thought"] and r["observation"] for r in steps) and steps[-1]["next_decision"] == "complete"
+    told = {r["request_id"]: r["warnings"] for r in runs.warnings.collect()}
+    assert told[2] == [agents.NO_CARDS] and len(told[1]) == 3  # an unknown level, and two plans that fell back
+    silent = agents.plan_runs(asked, chunks, chat, lambda rows: literature.stand_ins(rows.withColumn("most", F.lit(0))))
+    assert silent.cards.where("card = 0").first()["recommended_papers"][:3] == ["e1", "e3", "e0"]
+    assert agents.NO_NEW_PAPERS in silent.warnings.where("request_id = 1").first()["warnings"]
+    for bad in (asked.withColumn("direction", F.lit(" \t")), asked.withColumn("paper_ids", F.array().cast("array<string>"))):
+        with pytest.raises(EngineError):
+            agents.plan_runs(bad, chunks)
+    assert agents.plan_runs(asked.limit(0), chunks).trace.count() == 0
 
 
 def test_reproduction(spark, papers):
@@ -398,7 +415,7 @@ def test_literature_source(spark):
     load = lambda **o: spark.read.format("literature").options(**o).load().collect()
     assert len(load(query="q", limit=3)) == 3 and load(query=" ") == []
     assert [r["paper_id"] for r in load(query="one", fetch="tests.test_operators:fetched")] == ["p1"]
-    assert "no results" in load(query="two", fetch="tests.test_operators:fetched")[0]["warning"]
+    assert "found nothing" in load(query="two", fetch="tests.test_operators:fetched")[0]["warning"]
     assert "failed" in load(query="two", fetch="tests.nowhere:f")[0]["warning"]
 
 
