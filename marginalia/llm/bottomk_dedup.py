@@ -97,7 +97,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                     names=["doc_id", "text_key", "n", "h1", "h2", "sketch"],
                 )
 
-    return _columns(documents).mapInArrow(run, "doc_id long, text_key long, n long, h1 long, h2 long, sketch array<long>")
+    return _columns(documents).mapInArrow(tk.task("near_duplicates", run), "doc_id long, text_key long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def full_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), pa.array(h1), pa.array(h2), tk.list_array(values, counts, pa.int64())], names=["id", "h1", "h2", "shingles"])
 
     key = ["id", "h1", "h2"]
-    found = _columns(documents).select("doc_id", "text").mapInArrow(run, "id long, h1 long, h2 long, shingles array<long>")
+    found = _columns(documents).select("doc_id", "text").mapInArrow(tk.task("near_duplicates", run), "id long, h1 long, h2 long, shingles array<long>")
     once = found.groupBy(*key).agg(F.first("shingles").alias("shingles"))  # a row may be repeated
     return once.join(nodes.select("node", *key), key).select("node", "shingles")
 

@@ -63,7 +63,7 @@ def item_sets(items: DataFrame) -> DataFrame:
                 _, values, counts = tk.distinct_per_doc(*tk.shingles(part, WIDTH), part.size)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), tk.list_array(values.view(np.int64), counts, pa.int64())], names=["item_id", "shingles"])
 
-    return one.mapInArrow(run, "item_id long, shingles array<long>").where("size(shingles) > 0").distinct()
+    return one.mapInArrow(tk.task("contained", run), "item_id long, shingles array<long>").where("size(shingles) > 0").distinct()
 
 
 @dataclass
@@ -152,7 +152,7 @@ def contained(documents: DataFrame, items: DataFrame, percent: int = MIN_PERCENT
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "n_item", "n_shared"])
 
-    return columns.mapInArrow(run, PAIRS)
+    return columns.mapInArrow(tk.task("contained", run), PAIRS)
 
 
 def _by_join(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _by_join(documents: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 signed = (values ^ _U(1 << 63)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), texts.slice(part.lo, part.size), tk.list_array(signed, counts, pa.int64())], names=["doc_id", "text", "vals"])
 
-    hashed = columns.mapInArrow(run, "doc_id long, text string, vals array<long>").select("doc_id", F.xxhash64("text").alias("doc_key"), "vals")
+    hashed = columns.mapInArrow(tk.task("contained", run), "doc_id long, text string, vals array<long>").select("doc_id", F.xxhash64("text").alias("doc_key"), "vals")
     low = hashed.select("doc_id", "doc_key", F.explode("vals").alias("value")).where(F.col("value") <= top).distinct()
     pairs = low.join(retained, "value").groupBy("doc_id", "doc_key", "item_id", "item_key", "n_item", "need").count().where("count >= need")
     docs = hashed.alias("d").join(pairs.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.doc_key") == F.col("p.doc_key"))).select("d.doc_id", "d.doc_key", "vals", "item_id", "item_key", "n_item")
@@ -202,4 +202,4 @@ def clean(documents: DataFrame, items: DataFrame, percent: int = MIN_PERCENT, br
                 keep[[part.lo + d for d, _, _ in shared.value.hits(part, percent)]] = False
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tk.task("contained", run), documents.schema)

@@ -186,7 +186,7 @@ def cooccurrences(documents: DataFrame) -> DataFrame:
                     rows += [(e, t, c, int(i == 0)) for (e, t), seen in met.items() for i, c in enumerate(seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["entity", "term", "context", "first"])
 
-    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "entity long, term long, context long, first long")
+    return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tk.task("disclosure", run), "entity long, term long, context long, first long")
 
 
 def _sorted_hashes(terms: DataFrame, most: int) -> np.ndarray | None:
@@ -217,7 +217,7 @@ def document_frequencies(documents: DataFrame, terms: DataFrame, most: int = BRO
                 value, n = np.unique(values, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["term", "df"])
 
-    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tk.task("disclosure", run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return counted if wanted is not None else counted.join(terms.select("term").distinct(), "term", "left_semi")
 
 
@@ -273,7 +273,7 @@ def _with_terms(documents: DataFrame, terms: DataFrame, most: int) -> tuple[Data
 
     key, own_terms = unused(documents, "key", "terms")
     keyed = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    own = keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"]).mapInArrow(run, "key long, term long")
+    own = keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).dropDuplicates(["key"]).mapInArrow(tk.task("disclosure", run), "key long, term long")
     told = own.join(terms, "term").groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("term", "disclosure")).alias(own_terms))  # a document's own terms
     return keyed.join(told, key, "left").select(*documents.columns, own_terms), None
 
@@ -311,7 +311,7 @@ def digests(documents: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
                     joined[d] = written_spans(sorted([*own, *extra]))
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, n), *(pa.array(c) for c in counts[:4]), pa.array(sha), pa.array(joined), pa.array(counts[4])], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    return rows.mapInArrow(run, DIGEST)
+    return rows.mapInArrow(tk.task("disclosure", run), DIGEST)
 
 
 def sanitised_text(text: str, spans: list[tuple[Span, float]]) -> str:
@@ -347,4 +347,4 @@ def sanitised(documents: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
             columns[place] = pa.array(texts, column.type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tk.task("disclosure", run), schema)

@@ -171,3 +171,6 @@ def vocabulary_size(tokenizer_path: str) -> int:
 def worker_encoder(tokenizer_path: str) -> ChunkEncoder:
     """One encoder a worker process and file; Spark reuses its workers for many tasks."""
     return ChunkEncoder(tokenizer_path)
+
+
+tk.forget_with(worker_encoder.cache_clear)

@@ -170,7 +170,7 @@ def learn(documents: DataFrame) -> Filters:
         if kept:
             yield counted(merged())
 
-    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tk.task("language", run), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))  # one entry a language
     counts = counts.persist()
     totals = {r["lang"]: r["n"] for r in counts.select(F.explode("by").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n")).collect()}
@@ -206,7 +206,7 @@ def predict(documents: DataFrame, filters: Filters) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(part.lo, part.size), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return columns.mapInArrow(tk.task("language", run), "doc_id long, lang_pred string, score double")
 
 
 def recognised(documents: DataFrame, filters: Filters, least_score: float) -> DataFrame:
@@ -222,4 +222,4 @@ def recognised(documents: DataFrame, filters: Filters, least_score: float) -> Da
                 keep[part.lo : part.hi] = (np.array(lang, dtype=object) != "und") & (score >= least_score)
             yield batch.filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tk.task("language", run), documents.schema)

@@ -11,7 +11,9 @@ Nulls read as empty texts.  Buffers are processed in slices of about SLICE_BYTES
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -206,6 +208,41 @@ def ragged_gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + shift
 
 
+#: What a worker remembers between tasks, and the operator it ran last.
+_forgetting: list[Callable[[], None]] = []
+_last: list[str] = []
+
+
+def forget_with(call: Callable[[], None]) -> None:
+    """Register how a module's memory between tasks is dropped."""
+    _forgetting.append(call)
+
+
+def _hand_back() -> None:
+    """Freed memory goes back to the system: Spark keeps its workers for all later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def task(operator: str, run: Callable) -> Callable:
+    """``run`` over a task's batches; a worker that ran another operator before first forgets what that one remembered."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _last != [operator]:
+            for call in _forgetting:
+                call()
+            _last[:] = [operator]
+            _hand_back()
+        yield from run(batches)
+        _hand_back()
+
+    return inner
+
+
 def take_columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 

@@ -201,4 +201,4 @@ def packed(documents: DataFrame, tokenizer_path: str, end_id: int = 2, tiers: tu
         yield rows(groups.rest(powers(left)))
 
     schema = SCHEMA + (", ids binary" if with_ids else "")
-    return columns.mapInArrow(run, schema)
+    return columns.mapInArrow(tk.task("packing", run), schema)
