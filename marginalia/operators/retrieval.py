@@ -61,11 +61,15 @@ def _lexical_order() -> list[Column]:
     return [F.desc("score"), F.asc("page"), F.desc("chunk_id")]
 
 
+def shared_tokens(text: Column, asked: Column) -> Column:
+    """n and shared: how many tokens a text has, and how many of them are asked for; the text is cut once."""
+    return V.bound(X.tokens(text), lambda own: F.struct(F.size(own).alias("n"), F.size(F.array_intersect(asked, own)).alias("shared")))
+
+
 def lexical_scores(chunks: DataFrame, question: str | Column) -> DataFrame:
     asked = X.tokens(F.lit(question) if isinstance(question, str) else question)
-    own = X.tokens(F.col("text"))
-    shared = F.size(F.array_intersect(asked, own))
-    return chunks.withColumn("score", X.token_cosine(shared, F.size(asked), F.size(own)))
+    score = V.bound(shared_tokens(F.col("text"), asked), lambda x: X.token_cosine(x["shared"], F.size(asked), x["n"]))
+    return chunks.withColumn("score", score)
 
 
 def lexical_topk(chunks: DataFrame, question: str, k: int = 5) -> DataFrame:
@@ -77,77 +81,111 @@ def lexical_topk(chunks: DataFrame, question: str, k: int = 5) -> DataFrame:
 PASS_TOKENS, CELLS = 2_000_000, 2_000_000
 
 
-def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key: str = "item_id") -> DataFrame:
+def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key: str = "item_id", group: str | None = None) -> DataFrame:
     """lexical_topk of every question of a table: key, chunk_id, page, score and rank; join the chunks for their texts.
 
     One pass over the chunks scores them against up to PASS_TOKENS question tokens, counted first and sent to every
-    task; more questions are dealt to more passes.  A task keeps k chunks a question of each batch, so only these are
-    shuffled.  Questions without a shared token get the first chunks of the zero order.  Rows that repeat a key are
-    one question each where their tokens differ."""
-    asked = questions.select(key, X.tokens(F.col("question")).alias("asked")).distinct()
+    task; more questions are dealt to more passes.  A task keeps a running best k of each question and sends only these
+    at its end, and only chunks that share a token; questions with fewer go on with the first chunks of the zero order,
+    which is found once.  With ``group``, a column of both tables, a question meets its own group's chunks alone.  Rows
+    that repeat a key are one question each where their tokens differ; null groups meet nothing."""
+    of = F.col(group).cast("string") if group else F.lit("")
+    asked = questions.select(key, of.alias("_group"), X.tokens(F.col("question")).alias("asked")).distinct()
+    own = chunks.select("chunk_id", F.col("page").cast("int").alias("page"), of.alias("_group"), X.tokens(F.col("text")).alias("own"))
+    first = F.row_number().over(Window.partitionBy("_group").orderBy("page", F.desc("chunk_id")))
+    zeros = chunks.select(of.alias("_group"), "chunk_id", F.col("page").cast("int").alias("page")).withColumn("first", first).where(F.col("first") <= 2 * k)
     total = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
     passes = total // PASS_TOKENS + 1
-    own = chunks.select("chunk_id", F.col("page").cast("int").alias("page"), X.tokens(F.col("text")).alias("own"))
     kind = asked.schema[key].dataType.simpleString()
     found = None
     for number in range(passes):
         part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(key, "asked"), F.lit(passes)) == number)
         rows = part.toArrow()  # at most about PASS_TOKENS tokens
-        best = own.mapInArrow(_scored(chunks.sparkSession.sparkContext.broadcast(rows), k), "place int, chunk_id string, page int, score double")
-        keys = chunks.sparkSession.createDataFrame([(i, v) for i, v in enumerate(rows.column(key).to_pylist())], f"place int, {key} {kind}")
-        place = F.row_number().over(Window.partitionBy("place").orderBy(*_lexical_order()))
-        best = best.withColumn("rank", place.cast("long")).where(F.col("rank") <= k).join(keys, "place").select(key, "chunk_id", "page", "score", "rank")
+        spark = chunks.sparkSession
+        best = own.mapInArrow(_scored(spark.sparkContext.broadcast(rows), k), "place int, chunk_id string, page int, score double")
+        by_place = Window.partitionBy("place")
+        best = best.withColumn("rank", F.row_number().over(by_place.orderBy(*_lexical_order())).cast("long")).where(F.col("rank") <= k)
+        keys = spark.createDataFrame([(i, v, g) for i, (v, g) in enumerate(zip(rows.column(key).to_pylist(), rows.column("_group").to_pylist(), strict=True))], f"place int, {key} {kind}, _group string")
+        have = best.groupBy(F.col("place").alias("_place")).agg(F.count("*").alias("have"), F.collect_set("chunk_id").alias("taken"))  # k at most
+        short = keys.join(have, F.col("place") == F.col("_place"), "left").where(F.coalesce("have", F.lit(0)) < k)
+        fill = short.join(zeros, "_group").where(~F.coalesce(F.array_contains("taken", F.col("chunk_id")), F.lit(False)))
+        after = F.row_number().over(by_place.orderBy("first")) + F.coalesce("have", F.lit(0))
+        fill = fill.withColumn("rank", after.cast("long")).where(F.col("rank") <= k).select(key, "chunk_id", "page", F.lit(0.0).alias("score"), "rank")
+        best = best.join(keys, "place").select(key, "chunk_id", "page", "score", "rank").unionByName(fill)
         found = best if found is None else found.unionByName(best)
     return found
 
 
+class _Best:
+    """The best k rows of each question so far: score, then page, then chunk_id descending."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.rows, self.parts = k, 0, []
+        self.bar = np.zeros(questions)
+        self.most = 4 * k * questions + 100_000
+
+    def add(self, question: np.ndarray, chunk_id: pa.Array, page: pa.Array, score: np.ndarray) -> None:
+        self.parts.append(pa.table([pa.array(question.astype(np.int32)), chunk_id, page, pa.array(score)], names=["place", "chunk_id", "page", "score"]))
+        self.rows += len(question)
+        if self.rows > self.most:
+            self.cut()
+
+    def cut(self) -> pa.Table | None:
+        if not self.parts:
+            return None
+        rows = pa.concat_tables(self.parts).sort_by([("place", "ascending"), ("score", "descending"), ("page", "ascending"), ("chunk_id", "descending")])
+        place = np.asarray(rows.column("place"))
+        begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        nth = np.arange(len(place)) - np.repeat(begins, np.diff(np.append(begins, len(place))))
+        full = nth == self.k - 1
+        self.bar[place[full]] = np.asarray(rows.column("score"))[full]
+        rows = rows.filter(pa.array(nth < self.k)).combine_chunks()
+        self.parts, self.rows = [rows], rows.num_rows
+        return rows
+
+
 def _scored(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each batch's best k chunks of every question, by score, page and chunk_id descending."""
+    """A task's best k chunks of every question, of those that share a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value.column("asked").combine_chunks()
         n_asked = np.asarray(asked.value_lengths()).astype(np.int64)
+        groups = shared.value.column("_group").combine_chunks()
+        names = groups.drop_null().unique()
+        group = np.asarray(pc.index_in(groups, names).fill_null(-1)).astype(np.int64)
         vocabulary = asked.flatten().unique()
         token = np.asarray(pc.index_in(asked.flatten(), vocabulary)).astype(np.int64)
         by = np.argsort(token, kind="stable")
         questions = np.repeat(np.arange(len(n_asked)), n_asked)[by]
         begin = np.searchsorted(token[by], np.arange(len(vocabulary) + 1))
         rows = max(1, CELLS // max(1, len(n_asked)))
+        best = _Best(len(n_asked), k)
         for whole in batches:
             for lo in range(0, whole.num_rows if len(n_asked) else 0, rows):
                 batch = whole.slice(lo, rows)
-                order = pc.sort_indices(pa.table({"page": batch.column(1), "chunk_id": batch.column(0)}), sort_keys=[("page", "ascending"), ("chunk_id", "descending")])
-                batch = batch.take(order)
-                own = batch.column(2)
+                own = batch.column(3)
                 n_own = np.asarray(own.value_lengths()).astype(np.int64)
+                of = np.asarray(pc.index_in(batch.column(2), names).fill_null(-2)).astype(np.int64)
                 at = pc.index_in(own.flatten(), vocabulary)
                 known = np.asarray(at.is_valid())
                 row, at = np.repeat(np.arange(len(n_own)), n_own)[known], np.asarray(at.drop_null()).astype(np.int64)
                 width = begin[at + 1] - begin[at]
                 first = np.repeat(begin[at] - np.concatenate(([0], np.cumsum(width)[:-1])), width)
                 cell = np.repeat(row, width) * len(n_asked) + questions[np.arange(int(width.sum())) + first]
-                shared_tokens = np.bincount(cell, minlength=len(n_own) * len(n_asked)).reshape(len(n_own), len(n_asked))
-                score = shared_tokens / np.sqrt((np.maximum(n_asked, 1)[None, :] * np.maximum(n_own, 1)[:, None]).astype(np.float64))
-                kept_row, kept_question = _first_k(score, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kept_question.astype(np.int32)), batch.column(0).take(pa.array(kept_row)), batch.column(1).take(pa.array(kept_row)), pa.array(score[kept_row, kept_question])],
-                    names=["place", "chunk_id", "page", "score"],
-                )
+                counts = np.bincount(cell, minlength=len(n_own) * len(n_asked))
+                hit = np.flatnonzero(counts)
+                row, question = hit // len(n_asked), hit % len(n_asked)
+                score = counts[hit] / np.sqrt((n_asked[question] * n_own[row]).astype(np.float64))
+                keep = (score >= best.bar[question]) & (of[row] == group[question])
+                row, question = row[keep], question[keep]
+                best.add(question, batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), score[keep])
+        found = best.cut()
+        if found is not None:
+            yield from found.to_batches()
 
     return run
 
 
-def _first_k(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each column's k largest cells; of equal cells the upper ones."""
-    n = len(score)
-    if n <= k:
-        return tuple(x.ravel() for x in np.indices(score.shape))
-    least = np.partition(score, n - k, axis=0)[n - k]
-    above, equal = score > least, score == least
-    room = k - above.sum(axis=0)
-    return np.nonzero(above | (equal & (np.cumsum(equal, axis=0) <= room)))
-
-
 def direction_topk(chunks: DataFrame, direction: str, k: int = 8) -> DataFrame:
     """Chunks by how many of the direction's words they contain, then in document order."""
     matched = X.matched_terms(F.col("text"), X.direction_terms(direction))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import model_json as M
@@ -76,8 +76,8 @@ def postings_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
-    asked, own = X.tokens(F.lit(QUESTION)), X.tokens(F.col("text"))
-    return views.chunks(spark, d).select("chunk_id", big(F.size(own)).alias("n_tokens"), big(F.size(F.array_intersect(asked, own))).alias("shared"))
+    found = views.chunks(spark, d).select("chunk_id", retrieval.shared_tokens(F.col("text"), X.tokens(F.lit(QUESTION))).alias("x"))
+    return found.select("chunk_id", big(F.col("x.n")).alias("n_tokens"), big(F.col("x.shared")).alias("shared"))
 
 
 @query
@@ -469,7 +469,9 @@ def citation_star(spark: SparkSession, d: str) -> DataFrame:
 @query
 def graph_enrichment(spark: SparkSession, d: str) -> DataFrame:
     edges = views.citations(spark, d).distinct()
-    refs = edges.groupBy(F.col("source").alias("paper_id")).agg(F.array_sort(F.collect_list("target")).alias("refs"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("target"))
+    first = edges.withColumn("place", place).where(F.col("place") <= 2)
+    refs = first.groupBy(F.col("source").alias("paper_id")).agg(F.array_sort(F.collect_list("target")).alias("refs"))
     citing = edges.join(views.works(spark, d).select(F.col("paper_id").alias("source"), "citation_count"), "source").select(F.col("target").alias("paper_id"), F.col("source").alias("citing_id"), "citation_count")
     found = graph.enriched(refs, citing)
     return found.select("paper_id", joined("references", ",").alias("references"), joined("citations", ",").alias("citations"))
@@ -539,11 +541,8 @@ def openalex_decode(spark: SparkSession, d: str) -> DataFrame:
 @query
 def qa_sources(spark: SparkSession, d: str) -> DataFrame:
     """Every question, asked of the documents on its shelf (ids with the question's remainder by SHELVES)."""
-    chunks, asked, found = views.chunks(spark, d), views.questions(spark, d), None
-    for shelf in range(SHELVES):
-        stored = chunks.where(F.col("doc_id").cast("long") % SHELVES == shelf)
-        one = retrieval.lexical_topk_many(stored, asked.where(F.col("item_id") % SHELVES == shelf), 5)
-        found = one if found is None else found.unionByName(one)
+    shelf = lambda c: (F.col(c).cast("long") % SHELVES).alias("shelf")
+    found = retrieval.lexical_topk_many(views.chunks(spark, d).select("*", shelf("doc_id")), views.questions(spark, d).select("*", shelf("item_id")), 5, group="shelf")
     return found.select("item_id", "rank", "chunk_id", big("page").alias("page"), F.round("score", 6).alias("score"))
 
 

@@ -58,6 +58,33 @@ def test_lexical_ties(chunks):
     assert [(r["item_id"], r["chunk_id"]) for r in many.orderBy("item_id", "rank").collect()] == [(1, "b"), (1, "a"), (2, "d"), (2, "b"), (3, "c"), (3, "d")]
 
 
+def test_a_task_sends_its_best_rows_once():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    asked = pa.table({"item_id": [1, 2, 3, 4], "_group": ["a", "a", "b", None], "asked": [["w1", "w2"], ["w3"], ["w1", "w4", "w5"], ["w1"]]})
+    rows = [(f"c{i}", i % 3, "a" if i % 2 else "b", rng.sample(words, 6)) for i in range(400)]
+    kinds = pa.schema([("chunk_id", pa.string()), ("page", pa.int32()), ("_group", pa.string()), ("own", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows[lo : lo + 20]], schema=kinds) for lo in range(0, 400, 20)]
+    shared = type("Shared", (), {"value": asked})
+    sent = [r for b in retrieval._scored(shared, 3)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for place, (group, tokens) in enumerate(zip(asked["_group"].to_pylist(), asked["asked"].to_pylist())):
+        scored = [(len({*tokens} & {*own}) / (len(tokens) * 6) ** 0.5, page, c) for c, page, g, own in rows if g == group]
+        best = sorted(sorted((x for x in scored if x[0]), key=lambda x: x[2], reverse=True), key=lambda x: (-x[0], x[1]))[:3]
+        want += [(place, c) for _, _, c in best]
+    assert [(r["place"], r["chunk_id"]) for r in sent] == want and len(sent) <= 3 * 4
+    few = retrieval._Best(2, 1)
+    few.most = 3
+    for i in range(10):
+        few.add(pa.array([0, 1]).to_numpy(), pa.array([f"x{i}", f"y{i}"]), pa.array([0, i], pa.int32()), pa.array([i / 10, 0.5]).to_numpy())
+        assert few.rows <= 4
+    assert few.cut()["chunk_id"].to_pylist() == ["x9", "y0"]
+
+
 def test_topk_bounds():
     with pytest.raises(EngineError):
         retrieval.check_k(0)
