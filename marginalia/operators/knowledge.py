@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.errors import EngineError
@@ -17,15 +17,22 @@ def listed_papers(papers: DataFrame, tag: str | None = None, favorites_only: boo
     return papers.where("is_favorite") if favorites_only else papers
 
 
-def paper_search(papers: DataFrame, query: str = "", tag: str | None = None, favorites_only: bool = False) -> DataFrame:
-    """Papers whose title, id or a tag holds the query, or all papers if none does; then the filters."""
+def paper_texts() -> Column:
+    return F.concat(F.array("title", "doc_id"), F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def paper_search(papers: DataFrame, query: str = "", tag: str | None = None, favorites_only: bool = False, narrowed: DataFrame | None = None) -> DataFrame:
+    """Papers whose title, id or a tag holds the query, or all papers if none does; then the filters.
+
+    ``narrowed``: the papers that can match, from an index (see substrings), where there is one."""
     hit = X.contains_folded(F.col("title"), query) | X.contains_folded(F.col("doc_id"), query) | X.any_contains(F.col("tags"), query)
-    return listed_papers(or_else(papers.where(hit), papers), tag, favorites_only)
+    return listed_papers(or_else((papers if narrowed is None else narrowed).where(hit), papers), tag, favorites_only)
 
 
-def chunk_search(chunks: DataFrame, papers: DataFrame, query: str = "") -> DataFrame:
-    known = known_chunks(chunks, papers)
-    return or_first_chunks(known.where(X.contains_folded(F.col("text"), query)), known)
+def chunk_search(chunks: DataFrame, papers: DataFrame, query: str = "", narrowed: DataFrame | None = None) -> DataFrame:
+    """Chunks of known papers that hold the query, or the first ones if none does; ``narrowed`` as in paper_search."""
+    found = known_chunks(chunks if narrowed is None else narrowed, papers).where(X.contains_folded(F.col("text"), query))
+    return or_first_chunks(found, known_chunks(chunks, papers))
 
 
 def note_search(notes: DataFrame, query: str | None = None) -> DataFrame:
@@ -33,14 +40,21 @@ def note_search(notes: DataFrame, query: str | None = None) -> DataFrame:
     return notes.where(X.like_ascii(F.col("title"), query) | X.like_ascii(F.col("content"), query)) if query else notes
 
 
+def gap_texts() -> Column:
+    return F.concat(F.array("gap_id", "title", "value_level", "description"), "evidence_papers")
+
+
 def gap_search(gaps: DataFrame, query: str = "") -> DataFrame:
-    fields = F.concat(F.array("gap_id", "title", "value_level", "description"), "evidence_papers")
-    return gaps.where(X.any_contains(fields, query))
+    return gaps.where(X.any_contains(gap_texts(), query))
 
 
-def experiment_search(experiments: DataFrame, query: str = "") -> DataFrame:
+def experiment_texts(experiments: DataFrame) -> Column:
     lists = [c for c in ("datasets", "metrics", "baselines", "steps", "risks", "support_papers") if c in experiments.columns]
-    return experiments.where(X.any_contains(F.concat(F.array("experiment_id", "gap_id", "objective"), *lists), query))
+    return F.concat(F.array("experiment_id", "gap_id", "objective"), *lists)
+
+
+def experiment_search(experiments: DataFrame, query: str = "") -> DataFrame:
+    return experiments.where(X.any_contains(experiment_texts(experiments), query))
 
 
 def sections(papers: DataFrame, notes: DataFrame, chunks: DataFrame, gaps: DataFrame, experiments: DataFrame, query: str = "", tag: str | None = None, favorites_only: bool = False) -> DataFrame:

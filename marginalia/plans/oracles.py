@@ -297,3 +297,8 @@ SQL |= {
         '验证检索质量 数据集：公开基准；指标：NDCG。' as experiment_suggestion, array_to_string(['arxiv-' || i || ': arXiv study on ' || direction || ' 评估覆盖不足 #' || i for i in range(1, 6)], '; ') as recommended_papers, '标签噪声' as risks, '准备数据' as next_action from run where n > 0""",
     "plan_warnings": f"with {_RUNS} select request_id, case when n > 0 then 'Evidence of gap ' || chr(39) || '评估覆盖不足' || chr(39) || ' filled in.' else 'The steps were used up before any passage was found; there are no cards.' end as warnings from run",
 }
+
+SQL["indexed_notes"] = SQL["knowledge_notes"]
+SQL["indexed_knowledge"] = f"""with {PAPERS}, {CHUNKS}, {GAPS}, {EXPERIMENTS} select 'papers' as section, doc_id as id from papers where contains(lower(title), 'src1') or contains(doc_id, 'src1') or len(list_filter(tags, lambda t: contains(lower(t), 'src1'))) > 0
+    union all select 'chunks', chunk_id from chunks where contains(lower(text), lower({_q(TERM)})) union all select 'gaps', gap_id from gaps where contains(lower(title), 'nation-1') or contains(lower(description), 'nation-1') or len(list_filter(evidence, lambda t: contains(lower(t), 'nation-1'))) > 0
+    union all select 'experiments', experiment_id from experiments where len(list_filter(list_concat([experiment_id, gap_id, objective], datasets, metrics, baselines, support), lambda t: contains(lower(t), 'urgent 1'))) > 0"""

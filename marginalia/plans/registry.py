@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import model_json as M
 from marginalia.functions import text as X
 from marginalia.functions import vectors as V
-from marginalia.operators import cells, extract, graph, index, knowledge, postings, retrieval, store
+from marginalia.operators import cells, extract, graph, index, knowledge, postings, retrieval, store, substrings
 from marginalia.plans import agents, chains, oracles, providers
 from marginalia.sources import literature, views, workspace
 
@@ -272,6 +272,36 @@ def top3_per_group(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.first_per_group(_sections(spark, d)).select("section", "place", "id", "title")
 
 
+@query
+def indexed_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    """What knowledge search finds of one needle in papers, chunks, gaps and experiments, each from an index of its texts."""
+
+    def narrowed(rows: DataFrame, texts: Column, needle: str) -> DataFrame:
+        built = substrings.SubstringIndex.build(rows, texts, workspace.folder(spark, "substrings"))
+        return built.candidates(substrings.pieces_of(needle))
+
+    papers, chunks, gaps, experiments = views.papers(spark, d), views.chunks(spark, d), views.gaps(spark, d), views.experiments(spark, d)
+    found = {
+        "papers": knowledge.paper_search(papers, "SRC1", narrowed=narrowed(papers, knowledge.paper_texts(), "SRC1")).select(F.col("doc_id").alias("id")),
+        "chunks": knowledge.chunk_search(chunks, papers, TERM, narrowed(chunks, F.array("text"), TERM)).select(F.col("chunk_id").alias("id")),
+        "gaps": knowledge.gap_search(narrowed(gaps, knowledge.gap_texts(), "Nation-1"), "Nation-1").select(F.col("gap_id").alias("id")),
+        "experiments": knowledge.experiment_search(narrowed(experiments, knowledge.experiment_texts(experiments), "urgent 1"), "urgent 1").select(F.col("experiment_id").alias("id")),
+    }
+    out = None
+    for name, rows in found.items():
+        rows = rows.select(F.lit(name).alias("section"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def indexed_notes(spark: SparkSession, d: str) -> DataFrame:
+    """knowledge_notes from an index: a pattern with wildcards."""
+    notes, pattern = views.notes(spark, d), "TH_N%ing"
+    built = substrings.SubstringIndex.build(notes, F.array("title", "content"), workspace.folder(spark, "substrings"))
+    return knowledge.note_search(built.candidates(substrings.pattern_pieces(pattern)), pattern).select("note_id", "title")
+
+
 @query
 def missing_papers(spark: SparkSession, d: str) -> DataFrame:
     asked = views.table(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("doc_id"))
