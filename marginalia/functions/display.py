@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def node_radius(importance: Column) -> Column:
@@ -37,7 +38,7 @@ def write_texts(rows: DataFrame, column: str, path: str) -> None:
     rows.select(column).write.mode("errorifexists").text(path)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def decoded_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Little-endian float32 bytes (already out of base64) as a vector; null stays null."""
     for raw in batches:

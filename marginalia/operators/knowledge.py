@@ -40,6 +40,11 @@ def note_search(notes: DataFrame, query: str | None = None) -> DataFrame:
     return notes.where(X.like_ascii(F.col("title"), query) | X.like_ascii(F.col("content"), query)) if query else notes
 
 
+def newest_notes(notes: DataFrame, query: str | None = None, order: str = "created_at") -> DataFrame:
+    """The notes found, the newest first; of equally old ones the greater note_id."""
+    return note_search(notes, query).orderBy(F.desc(order), F.desc("note_id"))
+
+
 def gap_texts() -> Column:
     return F.concat(F.array("gap_id", "title", "value_level", "description"), "evidence_papers")
 

@@ -302,3 +302,21 @@ SQL["indexed_notes"] = SQL["knowledge_notes"]
 SQL["indexed_knowledge"] = f"""with {PAPERS}, {CHUNKS}, {GAPS}, {EXPERIMENTS} select 'papers' as section, doc_id as id from papers where contains(lower(title), 'src1') or contains(doc_id, 'src1') or len(list_filter(tags, lambda t: contains(lower(t), 'src1'))) > 0
     union all select 'chunks', chunk_id from chunks where contains(lower(text), lower({_q(TERM)})) union all select 'gaps', gap_id from gaps where contains(lower(title), 'nation-1') or contains(lower(description), 'nation-1') or len(list_filter(evidence, lambda t: contains(lower(t), 'nation-1'))) > 0
     union all select 'experiments', experiment_id from experiments where len(list_filter(list_concat([experiment_id, gap_id, objective], datasets, metrics, baselines, support), lambda t: contains(lower(t), 'urgent 1'))) > 0"""
+
+SQL |= {
+    "store_upserts": f"""with {GAPS}, again as (select *, case when seq % 2 = 0 then gap_id else 'new-' || gap_id end as g from gaps where seq % 3 = 0)
+        select gap_id, title, value_level, array_to_string(evidence, '; ') as evidence from gaps where gap_id not in (select g from again) union all select g, title, 'changed', array_to_string(evidence, '; ') from again""",
+    "migration_run": f"""with {CHUNKS}, c as (select *, doc_id::bigint as n from chunks), a as (select *, n % 2 = 0 and n % 7 <> 0 and n % 6 <> 0 and n % 5 <> 0 as reused from c), k as (select count(*) filter (reused or length(text) % 4 <> 0) as ok, count(*) filter (not reused and length(text) % 4 = 0) as bad from a)
+        select 'v2:local-hash:sha:16' as profile_key, case when bad = 0 then 'complete' else 'failed' end as status, ok as processed_count, 0::bigint as skipped_count, bad as failed_count, case when bad > 0 then bad || ' chunks have no current vector.' end as error from k""",
+    "index_differences": f"with {IDS} select 'missing' as kind, chunk_id from src where chunk_id not in (select chunk_id from idx) union all select 'orphan', chunk_id from idx where chunk_id not in (select chunk_id from src)",
+    "indexed_ids": f"with {EVENTS} select distinct chunk_id from entries where profile_key = 'v2:mock:click:16'",
+    "recorded_states": f"with {EVENTS} select profile_key, 'c' || event_id as active_collection, status || '-' || event_id as state from entries qualify row_number() over (partition by profile_key order by ts desc, status || '-' || event_id desc) = 1",
+    "legacy_counts": f"with {MIGRATION} select (select count(distinct chunk_id) from legacy) as legacy_vector_count, (select count(distinct chunk_id) from legacy where chunk_id not in (select chunk_id from c)) as legacy_orphan_count",
+    "empty_dimension": f"with {VECTORS} (select 'held' as collection, len(e)::bigint as dimension from vectors order by seq limit 1) union all select 'empty', 16",
+    "graph_expanded": """with w as (select p_partkey as k, p_name from part where p_partkey % 3 = 0)
+        select 'node' as kind, k::varchar as a, p_name as b from w union all select 'node', (k + 1)::varchar, 'ref ' || k from w union all select 'node', (k + 2)::varchar, 'cit ' || k from w union all select 'node', (k + 3)::varchar, 'later ' || k from w where k + 3 not in (select k from w)
+        union all select 'edge', k::varchar, (k + 1)::varchar from w union all select 'edge', k::varchar, (k + 3)::varchar from w union all select 'edge', (k + 2)::varchar, k::varchar from w""",
+    "key_nodes": f"with {WORKS}, {_nodes(25)}, s as (select rank, id, title, round(score / max(score) over (), 3) as i from kept) select rank, id, round(7 + 9 * i, 6) as radius, printf('%.2f', i) as shown, left(title, 8) as short from s where rank <= 3",
+    "newest_notes": f"""with {NOTES}, n as (select note_id, title, split_part(note_id, '-', 1)::bigint * 1000 + split_part(note_id, '-', 2)::bigint as seq from notes where contains(translate(title || chr(10) || content, 'E', 'e'), 'e')),
+        r as (select *, row_number() over (order by seq desc, note_id desc) as place from n) select place, note_id, title from r where place <= 100""",
+}

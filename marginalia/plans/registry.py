@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import display
 from marginalia.functions import model_json as M
 from marginalia.functions import text as X
 from marginalia.functions import vectors as V
@@ -248,6 +249,14 @@ def knowledge_notes(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.note_search(views.notes(spark, d), "TH_N%ing").select("note_id", "title")
 
 
+@query
+def newest_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred newest notes that hold a pattern, with their places."""
+    found = knowledge.newest_notes(views.notes(spark, d), "e", "created_seq").limit(100)
+    place = F.row_number().over(Window.orderBy(F.desc("created_seq"), F.desc("note_id")))  # a hundred rows
+    return found.select(place.cast("long").alias("place"), "note_id", "title")
+
+
 @query
 def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.gap_search(views.gaps(spark, d), "Nation-1").select("gap_id", "value_level", joined("evidence_papers").alias("evidence"))
@@ -394,6 +403,27 @@ def migration_upsert(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("migration_id", "profile_key", "status", iso("started_at").alias("started_at"), iso("completed_at").alias("completed_at"), "writes")
 
 
+@query
+def store_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps put into a store, then every third of them again with another level, and some that are new."""
+    kept = store.Store(spark, workspace.folder(spark, "store"), buckets=4)
+    gaps = views.gaps(spark, d).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    kept.put("gaps", gaps)
+    kept.put("gaps", gaps.where("seq % 3 = 0").withColumns({"gap_id": F.when(F.col("seq") % 2 == 0, F.col("gap_id")).otherwise(F.concat(F.lit("new-"), "gap_id")), "value_level": F.lit("changed")}))
+    return kept.read("gaps").select("gap_id", "title", "value_level", joined("evidence_papers").alias("evidence"))
+
+
+@query
+def migration_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole migration of all chunks: some vectors are reused, some embedded, and the provider refuses some texts."""
+    kept = store.Store(spark, workspace.folder(spark, "store"), buckets=2)
+    chunks, legacy, _ = _migration(spark, d)
+    kept.put("chunks", chunks)
+    provider = providers.Embedding("local-hash", "sha", 16, transport=_sometimes, batch=1, retries=0)
+    index.migrate(kept, provider, legacy)
+    return kept.read("migrations").select("profile_key", "status", *[big(f"{c}_count").alias(f"{c}_count") for c in ("processed", "skipped", "failed")], "error")
+
+
 @query
 def entry_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return views.entry_events(spark, d).groupBy("profile_key", "status").agg(F.count("*").alias("n"))
@@ -423,6 +453,38 @@ def index_orphans(spark: SparkSession, d: str) -> DataFrame:
     return index.orphans(*_ids(spark, d))
 
 
+@query
+def index_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Missing and orphaned ids by digests of ranges."""
+    found = index.differences(*_ids(spark, d))
+    return found.missing.select(F.lit("missing").alias("kind"), "chunk_id").unionByName(found.orphans.select(F.lit("orphan").alias("kind"), "chunk_id"))
+
+
+@query
+def indexed_ids(spark: SparkSession, d: str) -> DataFrame:
+    return index.indexed_ids(views.entry_events(spark, d), "v2:mock:click:16")
+
+
+@query
+def recorded_states(spark: SparkSession, d: str) -> DataFrame:
+    states = views.entry_events(spark, d).select("profile_key", F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("active_collection"), F.concat_ws("-", "status", F.col("event_id").cast("string")).alias("state"), "updated_at")
+    return index.recorded_states(states).select("profile_key", "active_collection", "state")
+
+
+@query
+def legacy_counts(spark: SparkSession, d: str) -> DataFrame:
+    chunks, legacy, _ = _migration(spark, d)
+    return index.legacy_counts(chunks, legacy)
+
+
+@query
+def empty_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """The length of the vectors of each profile's collection: of one that holds rows, and of an empty one the profile's own."""
+    vectors = views.vectors(spark, d)
+    held = index.dimension(vectors, 16).withColumn("collection", F.lit("held"))
+    return held.unionByName(index.dimension(vectors.where("seq < 0"), 16).withColumn("collection", F.lit("empty")))
+
+
 @query
 def index_status(spark: SparkSession, d: str) -> DataFrame:
     found = index.status(index.reconciled(*_ids(spark, d)), F.lit(0))
@@ -485,6 +547,23 @@ def citation_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.links(views.citations(spark, d), graph.nodes(views.works(spark, d), 50))
 
 
+@query
+def graph_expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Every third part is a work that cites the next and the third next, and is cited by the second next: nodes and edges."""
+    key = F.col("p_partkey")
+    stub = lambda k, name: F.struct(k.cast("string").alias("paper_id"), F.concat(F.lit(name), key.cast("string")).alias("title"), F.lit(2000).alias("year"), F.lit(1).cast("long").alias("citation_count"), F.lit(0).cast("long").alias("influential"))
+    works = views.works(spark, d).withColumn("p_partkey", F.col("first_seen")).where("p_partkey % 3 = 0")
+    works = works.withColumns({"references": F.array(stub(key + 1, "ref "), stub(key + 3, "later ")), "citations": F.array(stub(key + 2, "cit "))})
+    nodes, edges = graph.expanded(works)
+    return nodes.select(F.lit("node").alias("kind"), F.col("paper_id").alias("a"), F.col("title").alias("b")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@query
+def key_nodes(spark: SparkSession, d: str) -> DataFrame:
+    found = display.key_nodes(graph.nodes(views.works(spark, d), 25))
+    return found.select("rank", "id", F.round(display.node_radius(F.col("importance_score")), 6).alias("radius"), display.fixed_score(F.col("importance_score")).alias("shown"), display.short_id(F.col("title")).alias("short"))
+
+
 @query
 def graph_counts(spark: SparkSession, d: str) -> DataFrame:
     kept = graph.nodes(views.works(spark, d), 50)

@@ -343,6 +343,34 @@ def test_failed_write_is_marked(spark, tmp_path, monkeypatch):
         store.put_vectors(store.read("chunks").withColumns({"embedding": F.array(F.lit(1.0)), "tags": F.array().cast("array<string>"), "module_source": F.lit(""), "content_hash": F.lit(""), "profile_key": F.lit("p")}), 16)
 
 
+def test_only_ranges_that_differ_are_joined(spark, monkeypatch):
+    ids = lambda values: spark.createDataFrame([(str(v),) for v in values], "chunk_id string")
+    found = index.differences(ids(range(3000)), ids([*range(5, 3000), "x", "y"]))
+    assert {r["chunk_id"] for r in found.missing.collect()} == {"0", "1", "2", "3", "4"} and {r["chunk_id"] for r in found.orphans.collect()} == {"x", "y"}
+    assert 1 <= found.ranges.count() <= 7
+    same = index.differences(ids(range(100)), ids(range(100)))
+    assert same.ranges.count() == same.missing.count() == same.orphans.count() == 0
+    assert index.differences(ids([]), ids([1])).orphans.count() == 1 and index.differences(ids([1]), ids([])).missing.count() == 1
+
+
+def test_command_reports_and_exits(spark, tmp_path):
+    import json
+
+    store = Store(spark, f"file://{tmp_path}", buckets=2)
+    store.put("chunks", spark.createDataFrame([("a", "d", 1, "text"), ("b", "d", 2, "bad")], CHUNK))
+    legacy = spark.createDataFrame([], "chunk_id string, text string, embedding array<double>")
+    (tmp_path / "calls").mkdir()
+    failing = providers.Embedding("local", "m", 4, transport=counting(tmp_path / "calls", ["bad"]), batch=1, retries=0)
+    told, code = index.command(store, failing, legacy)
+    assert json.loads(told)["pending_count"] == 2 and code == 0
+    told, code = index.command(store, failing, legacy, "apply")
+    assert json.loads(told)["failed_count"] == 1 and code == 1
+    told, code = index.command(store, failing, legacy, "verify")
+    assert json.loads(told)["state"] == "degraded" and code == 1
+    with pytest.raises(EngineError):
+        index.command(store, failing, legacy, "other")
+
+
 def test_status_precedence(spark):
     counts = spark.createDataFrame([(2, 1, 1, 0)], "source_count long, indexed_count long, missing_count long, orphan_count long")
     state = lambda **k: index.status(counts, F.lit(k.pop("failed", 0)), **k).first()["state"]
