@@ -52,6 +52,16 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that go to a Python worker at once, for tables of whole texts: Spark's own number, 10,000, takes tens of MB on
+    either side for each task.  A number that the session has set itself stands."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}
