@@ -26,23 +26,28 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what reads as one of the languages learned from the training part of ``docs``; its ``lang`` stays as given."""
+    scratch.small_batches(spark)
     filters = language_filters.learn(docs.where(~language_filters.held_out(F.col("doc_id"))))
     return language_filters.recognised(docs, filters, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return bottomk_dedup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return containment.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return disclosure.sanitised(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return tier_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
