@@ -2,17 +2,21 @@
 
 Base spans (email, ip, card, phone) come from fixed patterns.  Each distinct base value
 is a protected entity.  Corpus co-occurrence then estimates how strongly a term (a run
-of letters) reveals an entity e: with p(e) the share of documents that hold e, and
-p(e|t) the documents that hold t within CONTEXT terms of e over all documents that hold
-t, the disclosure is PMI(t;e) / IC(e) = 1 + log p(e|t) / -log p(e); 1 means that t
-names e.  A term with disclosure of at least GENERALISE for some entity gets a span of
-kind ``term`` wherever it occurs: generalised to [TERM], or removed from REMOVE on.  Base
-spans stay as they are and become [EMAIL], [IP], [CARD], [PHONE].
-
-p(e|t) is smoothed, so that an entity of one document counts with what evidence it has:
-(k + SMOOTH p(e)) / (k + m + SMOOTH), with k the different contexts in which t stands
-beside e (all of a document; copies of one passage count once) and m the documents that
-hold t but not beside e.
+of letters) reveals an entity e: p(e|t), the chance that a text with t is one about e.
+The evidence for it are the different contexts in which t stands within CONTEXT terms of e
+(all of a document; copies of one passage count once; a term that is part of an email's own
+local part has one more), the evidence against it the documents that hold t but not beside
+e.  The disclosure is the lower bound of p(e|t), DEVIATIONS standard deviations below the
+mean of its posterior (a beta distribution with half a case for and against), so it says the
+same in a corpus of any size: with k for and m against, k = 2 and m = 0 give 0.65, 2 and 1
+give 0.41, 11 and 0 give 0.90.  A term with at least LEAST_CONTEXTS contexts whose
+disclosure exceeds the entity's share of all documents (chance) and is at least GENERALISE
+gets a span of kind ``term`` wherever it occurs: generalised to [TERM], or removed from
+REMOVE on.  Base spans stay as they are and become [EMAIL], [IP], [CARD], [PHONE].
+
+One context is no evidence: every rare word has some neighbours.  An entity that stands in
+one context in the whole corpus is therefore protected by its base span alone, unless its
+address holds the term.
 
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased, of at least
 MIN_TERM bytes.  Positions are code points, ends exclusive.  Null and empty texts have
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import scratch
@@ -43,10 +47,12 @@ from marginalia.llm.scratch import unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 6
-SMOOTH = 0.5
 MIN_TERM = 3
-GENERALISE = 0.9
-REMOVE = 0.98
+LEAST_CONTEXTS = 2
+#: Standard deviations of the lower bound, and the least bounds of what is generalised and removed.
+DEVIATIONS = 1.0
+GENERALISE = 0.4
+REMOVE = 0.9
 BROADCAST_TERMS = 2_000_000
 _U = np.uint64
 
@@ -153,6 +159,17 @@ def _hash_text(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Stands for the context that an address gives a term of its own.
+OWN = 1
+
+
+def own_words(address: str) -> set[int]:
+    """Hashes of the terms in an email's local part."""
+    local = address.rpartition("@")[0].encode()
+    whole = tk.Slice(0, 1, np.frombuffer(local, np.uint8), np.array([0, len(local)], np.int64))
+    return set(Terms(whole).hash.view(np.int64).tolist()) if local else set()
+
+
 def _columns(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -183,6 +200,9 @@ def cooccurrences(documents: DataFrame) -> DataFrame:
                         met[e, 0] = {0}
                         for t in near.tolist():
                             met.setdefault((e, t), set()).add(context)
+                        if span[1] == 0:
+                            for t in own_words(text[span[0] : span[2]]) & set(near.tolist()):
+                                met[e, t].add(OWN)
                     rows += [(e, t, c, int(i == 0)) for (e, t), seen in met.items() for i, c in enumerate(seen)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["entity", "term", "context", "first"])
 
@@ -221,19 +241,27 @@ def document_frequencies(documents: DataFrame, terms: DataFrame, most: int = BRO
     return counted if wanted is not None else counted.join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def disclosing_terms(documents: DataFrame, threshold: float = GENERALISE, smooth: float = SMOOTH, most: int = BROADCAST_TERMS) -> DataFrame:
-    """term and its highest disclosure of any entity, for the terms at or above the threshold."""
+def lower_bound(for_it: Column, against: Column) -> Column:
+    """DEVIATIONS below the mean of the posterior of a share, 0 at least."""
+    a, b = for_it + 0.5, against + 0.5
+    mean = a / (a + b)
+    return F.greatest(F.lit(0.0), mean - DEVIATIONS * F.sqrt(mean * (1 - mean) / (a + b + 1)))
+
+
+def disclosing_terms(documents: DataFrame, threshold: float = GENERALISE, most: int = BROADCAST_TERMS) -> DataFrame:
+    """term and its highest disclosure of any entity, for the terms at or above the threshold; written, so found once."""
     met = cooccurrences(documents).groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
     pairs = scratch.written(met.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")), "cooccurrences")
     total = documents.count()
     present = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
-    near = pairs.where("term != 0")
+    near = pairs.where((F.col("term") != 0) & (F.col("contexts") >= LEAST_CONTEXTS))
     df = document_frequencies(documents, near.select("term").distinct(), most)
-    told = near.join(present, "entity").join(df, "term").where(F.col("n_entity") < total)
-    held = F.col("n_entity") / F.lit(float(max(total, 1)))
-    share = (F.col("contexts") + smooth * held) / (F.col("contexts") + F.greatest(F.col("df") - F.col("n"), F.lit(0)) + smooth)
-    score = 1 + F.log2(share) / -F.log2(held)
-    return told.select("term", score.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold)
+    told = near.join(present, "entity").join(df, "term")
+    score = lower_bound(F.col("contexts"), F.greatest(F.col("df") - F.col("n"), F.lit(0)))
+    told = told.select("term", score.alias("disclosure"), (F.col("n_entity") / F.lit(float(max(total, 1)))).alias("chance")).where((F.col("disclosure") >= threshold) & (F.col("disclosure") > F.col("chance")))
+    found = scratch.written(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
+    scratch.drop(pairs)
+    return found
 
 
 class Marker:
