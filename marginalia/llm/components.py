@@ -6,7 +6,10 @@ that repeats; a table of one partition and at most CHUNK edges is then finished
 more contraction.  Larger tables go on with alternating star contractions, which shuffle:
 every node's larger neighbours are hung on its smallest neighbour, then its smaller ones,
 until the edges stay as they are.  Every round is a written table; no link reaches the
-driver, only the count and a checksum of the edges."""
+driver, only the count and a checksum of the edges.
+
+Nodes are numbers and are not null.  Repeated edges, both directions of one and loops change
+nothing.  An empty table gives no rows.  Edges carry no texts and no other columns."""
 
 from __future__ import annotations
 

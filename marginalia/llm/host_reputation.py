@@ -13,7 +13,9 @@ in TWO_LABEL_SUFFIXES; the registered domain has one label more; an IPv4 host is
 own domain with suffix ''; a port is not part of domain or suffix.  Null urls and urls
 without ``://`` have empty host and path and are judged as the host ''.  Null outcomes
 are ignored; repeated outcomes of a page count each.  Pages keep repeated rows; null
-page_ids are judged but have no outcome.  Without outcomes everything is allowed.
+page_ids are judged but have no outcome.  Without outcomes everything is allowed.  A bound of
+exactly MAX_BAD allows.  An empty table of pages gives no rows.  Long urls are read whole.
+Other columns are not read.
 """
 
 from __future__ import annotations

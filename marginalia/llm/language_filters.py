@@ -13,7 +13,9 @@ characters, touch at least two letters, and hold edges only at their ends.
 ``und`` with score 0 for null texts, texts without a letter, and when nothing was
 learned.  A text with letters but no known n-gram gets the most frequent language,
 score 0; ties go to the alphabetically first.  Documents without a language teach
-nothing.  Repeated rows and null doc_ids are handled like any other row.
+nothing.  Repeated rows and null doc_ids are handled like any other row.  Long texts are
+read whole.  An empty table to predict gives no rows.  Other columns are not read by
+``predict`` and pass through ``recognised``.
 """
 
 from __future__ import annotations

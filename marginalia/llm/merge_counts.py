@@ -13,7 +13,8 @@ occurrence merges a round.  Both follow the order in which a queue of best pairs
 with leftmost ties would run.
 
 Null and empty texts have 0 bytes and 0 tokens.  Rows are kept as they come, with
-repeated rows counted each; other columns of the input are ignored.
+repeated rows counted each; other columns of the input are ignored.  Long texts are read
+whole.  An empty table gives no rows.
 """
 
 from __future__ import annotations

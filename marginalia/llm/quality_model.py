@@ -10,7 +10,9 @@ the calibration.  Counts and scores run in Arrow batches without a shuffle.
 Null and empty texts have no words and fail the base rule.  A doc_id with several
 label rows counts as good if most are; null labels are ignored.  Without labels of
 both kinds nothing is learned and only the base rule decides (score null).
-Repeated rows and null doc_ids are judged like any other row.
+Repeated rows and null doc_ids are judged like any other row.  Long texts are read whole.
+A probability of exactly MIN_PROBABILITY keeps.  An empty table gives no rows, and teaches
+nothing.  Other columns are not read.
 """
 
 from __future__ import annotations

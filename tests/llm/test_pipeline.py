@@ -42,3 +42,23 @@ def test_run(spark, tmp_path):
     rows = corpus_pipeline.run(spark, path)
     assert {r[0] for r in rows.select("doc_id").distinct().collect()} >= {0, 5, 205}
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Empty, and with repeated, null and clashing columns and a very long text."""
+    path = f"file://{tmp_path}"
+    docs = corpus(spark, path)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+    long = spark.createDataFrame([(900, "the and over thing with stone " * 30_000, "en"), (0, "the stone and thing over with them " * 9, "en"), (None, "stone the with over and thing here " * 9, "en")], "doc_id long, text string, lang string")
+    first = docs.where("doc_id = 0")
+    more = docs.unionByName(first).unionByName(long, allowMissingColumns=True).withColumns({c: F.lit("clash") for c in ("component", "_id", "_key", "shingles", "entity", "tier")})
+    kept = [more]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(stage(spark, kept[-1], path))
+        assert kept[-1].columns == more.columns
+    rows = kept[-1].select("doc_id", "text").collect()
+    assert sum(r["doc_id"] == 0 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1  # equal rows once, another text under the same id
+    assert sum(r["doc_id"] == 900 and len(r["text"]) > 800_000 for r in rows) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], path)
+    assert packed.where("doc_id = 900").agg(F.sum("length") == F.max("doc_tokens")).first()[0]

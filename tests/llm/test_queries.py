@@ -14,6 +14,18 @@ def test_same_as_sql(spark, name):
     assert_same(queries.queries()[name](spark, SF), connect(SF), queries.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["op1_token_files", "op4_disclosure", "op5_tier_packing", "op7_hidden_markov", "op8_token_counts"])
+def test_registered_query_covers_all_documents(spark, name):
+    found = queries.queries()[name](spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert found.select("doc_id").distinct().count() == docs.count()
+    if name == "op1_token_files":
+        row = found.agg(F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("n")).first()
+        assert row["end"] == row["n"]
+    if name == "op5_tier_packing":
+        assert found.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole")).where("not whole").count() == 0
+
+
 def test_language_query_on_held_out_documents(spark):
     found = queries.op9_language(spark, "/root/testdata/sf0.01").where("held_out")
     lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -44,3 +56,5 @@ def test_reputation_shrinks(spark):
     assert got[0]["verdict"] == got[200]["verdict"] == "block" and got[100]["verdict"] == got[201]["verdict"] == got[202]["verdict"] == "allow"
     assert got[201]["bad_mean"] > got[100]["bad_mean"] and len(got) == len(hosts)
     assert host_reputation.judged(pages.limit(0), outcomes).count() == 0
+    twice = host_reputation.judged(pages.unionByName(pages), outcomes).collect()
+    assert len(twice) == 2 * len(hosts) and {r["verdict"] for r in twice if r["page_id"] == 0} == {"block"}

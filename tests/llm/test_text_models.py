@@ -287,3 +287,45 @@ def test_languages_on_held_out_rows(spark):
 def test_languages_of_awkward_documents(documents):
     docs = documents.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
     assert language_filters.predict(docs, language_filters.learn(docs)).count() == documents.count()
+
+
+def test_filters_against_exact_sets(spark):
+    """Every n-gram of a language's exact set is in its filter; the share of others that are, too, is the rate that counts are corrected by."""
+    rng = random.Random(40)
+    stems = {"aa": "bcdfg", "bb": "hjklm", "cc": "bcdhj"}
+    rows = [(i, "".join(rng.choice("aeiou" + stems[lang] + " ") for _ in range(3000)), lang) for i in range(60) for lang in [["aa", "bb", "cc"][i % 3]]]
+    counts = {lang: collections.Counter() for lang in stems}
+    for _, text, lang in rows:
+        part = next(disclosure.tk.slices(__import__("pyarrow").array([text])))
+        counts[lang].update(language_filters.grams(part)[1].tolist())
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    exact = {lang: {g for g, x in s.items() if x >= language_filters.MIN_SHARE and x >= language_filters.RELATIVE * top[g]} for lang, s in share.items()}
+    filters = language_filters.learn(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert filters.languages == sorted(stems)
+
+    def held(hashes):
+        out = None
+        for at in language_filters.probes(np.array(sorted(hashes), np.uint64)):
+            found = filters.rows[0][at]
+            out = found if out is None else out & found
+        return out
+
+    unknown = set(rng.getrandbits(64) for _ in range(200_000))
+    for number, lang in enumerate(filters.languages):
+        assert ((held(exact[lang]) >> number) & 1).all()
+        false = ((held(unknown) >> number) & 1).mean()
+        assert false == pytest.approx(filters.rates[number], abs=4 * (filters.rates[number] / 200_000) ** 0.5 + 1e-5)
+    # with filters so full that most n-grams are false hits, the corrected counts still tell the languages apart
+    full = language_filters.Filters(filters.languages, filters.rows | (np.random.default_rng(1).random(filters.rows.shape) < 0.8).astype(np.uint8) * np.uint8(2), filters.rates.copy(), 0)
+    full.rates[1] = float(((full.rows[0] >> 1) & 1).mean() ** language_filters.HASHES)
+    for text, want in (("bacadafaga badaf", "aa"), ("hajakalama hajam", "bb")):
+        part = next(disclosure.tk.slices(__import__("pyarrow").array([text * 20])))
+        assert full.decide(part)[0] == [want]
+
+
+def test_empty_tables_give_no_rows(spark):
+    none = frame(spark, [(1, "x")]).limit(0)
+    assert quality_model.judged(none, None).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_model.fit(none, labels) is None
