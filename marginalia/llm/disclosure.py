@@ -228,6 +228,7 @@ def document_frequencies(documents: DataFrame, terms: DataFrame, most: int = BRO
     wanted = _sorted_hashes(terms, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None if wanted is None else np.zeros(len(wanted), np.int64)  # ``most`` at most; sent once a task
         for batch in batches:
             for part in tk.slices(batch.column(0)):
                 found = Terms(part)
@@ -235,7 +236,13 @@ def document_frequencies(documents: DataFrame, terms: DataFrame, most: int = BRO
                 keep = np.ones(len(code), bool) if wanted is None else _among(wanted, code)
                 _, values, _ = tk.distinct_per_doc(found.doc[keep], code[keep], part.size)
                 value, n = np.unique(values, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["term", "df"])
+                if total is not None:
+                    total[np.searchsorted(wanted, value)] += n
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["term", "df"])
+        if total is not None:
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[held]), pa.array(total[held])], names=["term", "df"])
 
     counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tk.task("disclosure", run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return counted if wanted is not None else counted.join(terms.select("term").distinct(), "term", "left_semi")
