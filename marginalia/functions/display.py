@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,15 @@ def short_id(identifier: Column) -> Column:
 
 
 def fixed_score(score: Column) -> Column:
-    """Two decimals, as text."""
-    return F.format_string("%.2f", score)
+    """Two decimals as text, by the double's exact value with ties to even; as it stands where that is 4 or more."""
+    whole = (F.abs(score) * F.lit(float(1 << 60))).cast("long").cast("decimal(38,0)") * F.lit(100).cast("decimal(3,0)")  # exact below 4
+    unit, half = (F.lit(Decimal(1 << n)).cast("decimal(20,0)") for n in (60, 59))
+    cents = F.floor(whole / unit).cast("decimal(20,0)")
+    left = (whole - cents * unit).cast("decimal(38,0)")
+    up = (left > half) | ((left == half) & (cents % 2 == 1))
+    n = (cents + F.when(up, 1).otherwise(0)).cast("long")
+    text = F.concat(F.when(score < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(F.abs(score) < 4, text).otherwise(F.format_string("%.2f", score))
 
 
 def key_nodes(nodes: DataFrame, most: int = 5) -> DataFrame:

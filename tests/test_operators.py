@@ -492,6 +492,14 @@ def test_small_projections(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out").count() == 2
 
 
+def test_scores_round_by_their_exact_value(spark):
+    from marginalia.functions import display
+
+    values = [i / 1000 for i in range(0, 1001)] + [0.125, 0.375, 0.625, 0.875, 1.005, 2.675, 3.995, -0.125, -0.985, 1e-9, 17.256, 0.0]
+    rows = spark.createDataFrame([(v,) for v in values], "s double").select("s", display.fixed_score(F.col("s")).alias("t")).collect()
+    assert [(r["s"], r["t"]) for r in rows if r["t"] != f"{r['s']:.2f}"] == []
+
+
 def test_lock_of_a_dead_process(spark, tmp_path):
     import socket
 
