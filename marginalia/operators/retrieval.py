@@ -77,8 +77,8 @@ def lexical_topk(chunks: DataFrame, question: str, k: int = 5) -> DataFrame:
     return ranked(lexical_scores(chunks, question), _lexical_order(), k)
 
 
-#: Tokens of questions that one pass over the chunks takes to every task, and cells of a task's score table.
-PASS_TOKENS, CELLS = 2_000_000, 2_000_000
+#: Tokens of questions that one pass over the chunks takes to every task, cells of a task's score table, and rows and tokens of a slice.
+PASS_TOKENS, CELLS, SLICE_ROWS, SLICE_TOKENS = 2_000_000, 2_000_000, 256, 65_536
 
 
 def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key: str = "item_id", group: str | None = None) -> DataFrame:
@@ -144,41 +144,81 @@ class _Best:
         return rows
 
 
+class Asked:
+    """The questions of a pass in a task: how many tokens each has, their vocabulary, and who asks for each token."""
+
+    def __init__(self, asked: pa.ListArray):
+        self.n = np.asarray(asked.value_lengths()).astype(np.int64)
+        self.vocabulary = asked.flatten().unique()
+        token = self.places(asked.flatten())[1]
+        by = np.argsort(token, kind="stable")
+        self.questions = np.repeat(np.arange(len(self.n)), self.n)[by]
+        self.begin = np.searchsorted(token[by], np.arange(len(self.vocabulary) + 1))
+
+    def places(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are asked for by anyone, and the places of these in the vocabulary."""
+        at = pc.index_in(tokens, self.vocabulary)
+        return np.asarray(at.is_valid()), np.asarray(at.drop_null()).astype(np.int64)
+
+    def asking(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (which of ``tokens``, question), by question."""
+        width = self.begin[tokens + 1] - self.begin[tokens]
+        first = np.repeat(self.begin[tokens] - (np.cumsum(width) - width), width)
+        question = self.questions[np.arange(int(width.sum())) + first]
+        by = np.argsort(question, kind="stable")
+        return np.repeat(np.arange(len(tokens)), width)[by], question[by]
+
+    def shared(self, row: np.ndarray, at: np.ndarray, rows: int, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Some questions, and how many tokens each row shares with each of them; rows hold a token once.
+
+        A product of 0/1 matrices of CELLS cells at most (or of one row or question): what is in memory does not follow
+        how many pairs of a row and a question share a frequent token."""
+        tokens, column = np.unique(at, return_inverse=True)
+        which, question = self.asking(tokens)
+        some = np.unique(question) if chosen is None else np.intersect1d(question, chosen)
+        held = np.zeros((rows, len(tokens)), np.float32)
+        held[row, column] = 1
+        step = max(1, CELLS // max(1, rows, len(tokens)))
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
+            a, b = np.searchsorted(question, part[0]), np.searchsorted(question, part[-1], "right")
+            place = np.searchsorted(part, question[a:b])
+            mine = part[place] == question[a:b]
+            wanted = np.zeros((len(tokens), len(part)), np.float32)
+            wanted[which[a:b][mine], place[mine]] = 1
+            yield part, held @ wanted
+
+
+def slices(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with SLICE_TOKENS tokens (or one row) and ``most`` rows at most."""
+    ends, lo = np.cumsum(n), 0
+    while lo < len(n):
+        before = ends[lo - 1] if lo else 0
+        hi = min(max(lo + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right"))), lo + most, len(n))
+        yield lo, hi
+        lo = hi
+
+
 def _scored(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's best k chunks of every question, of those that share a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value.column("asked").combine_chunks()
-        n_asked = np.asarray(asked.value_lengths()).astype(np.int64)
+        asked = Asked(shared.value.column("asked").combine_chunks())
         groups = shared.value.column("_group").combine_chunks()
         names = groups.drop_null().unique()
         group = np.asarray(pc.index_in(groups, names).fill_null(-1)).astype(np.int64)
-        vocabulary = asked.flatten().unique()
-        token = np.asarray(pc.index_in(asked.flatten(), vocabulary)).astype(np.int64)
-        by = np.argsort(token, kind="stable")
-        questions = np.repeat(np.arange(len(n_asked)), n_asked)[by]
-        begin = np.searchsorted(token[by], np.arange(len(vocabulary) + 1))
-        rows = max(1, CELLS // max(1, len(n_asked)))
-        best = _Best(len(n_asked), k)
+        best = _Best(len(asked.n), k)
         for whole in batches:
-            for lo in range(0, whole.num_rows if len(n_asked) else 0, rows):
-                batch = whole.slice(lo, rows)
+            for lo, hi in slices(np.asarray(whole.column(3).value_lengths().fill_null(0)), SLICE_ROWS) if len(asked.n) else ():
+                batch = whole.slice(lo, hi - lo)
                 own = batch.column(3)
                 n_own = np.asarray(own.value_lengths()).astype(np.int64)
                 of = np.asarray(pc.index_in(batch.column(2), names).fill_null(-2)).astype(np.int64)
-                at = pc.index_in(own.flatten(), vocabulary)
-                known = np.asarray(at.is_valid())
-                row, at = np.repeat(np.arange(len(n_own)), n_own)[known], np.asarray(at.drop_null()).astype(np.int64)
-                width = begin[at + 1] - begin[at]
-                first = np.repeat(begin[at] - np.concatenate(([0], np.cumsum(width)[:-1])), width)
-                cell = np.repeat(row, width) * len(n_asked) + questions[np.arange(int(width.sum())) + first]
-                counts = np.bincount(cell, minlength=len(n_own) * len(n_asked))
-                hit = np.flatnonzero(counts)
-                row, question = hit // len(n_asked), hit % len(n_asked)
-                score = counts[hit] / np.sqrt((n_asked[question] * n_own[row]).astype(np.float64))
-                keep = (score >= best.bar[question]) & (of[row] == group[question])
-                row, question = row[keep], question[keep]
-                best.add(question, batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), score[keep])
+                known, at = asked.places(own.flatten())
+                for questions, counts in asked.shared(np.repeat(np.arange(len(n_own)), n_own)[known], at, len(n_own)):
+                    score = counts / np.sqrt(np.maximum(1, n_own[:, None] * asked.n[questions][None, :]).astype(np.float64))
+                    row, place = np.nonzero((counts > 0) & (score >= best.bar[questions][None, :]) & (of[:, None] == group[questions][None, :]))
+                    best.add(questions[place], batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), score[row, place])
         found = best.cut()
         if found is not None:
             yield from found.to_batches()
