@@ -22,3 +22,25 @@ def test_scoring_does_not_list_every_pair_that_shares_a_token(spark):
     assert peak < 150e6
     assert found.num_rows == 6000 and set(found.column("chunk_id").to_pylist()) == {"c0000", "c0001", "c0002"}
     assert found.column("score").to_pylist() == pytest.approx([20 / 420**0.5] * 6000)
+
+
+def shuffled(spark):
+    """Bytes that the session's shuffles have written."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_a_posting_index_and_a_search_write_less_than_the_text(spark, tmp_path):
+    import random
+
+    from marginalia.operators import postings
+
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(3000)] + [f"the{i}" for i in range(40)] * 40
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(3000)]
+    chunks = spark.createDataFrame([(f"c{i}", "d", i % 5, t) for i, t in enumerate(texts)], "chunk_id string, doc_id string, page int, text string")
+    asked = spark.createDataFrame([(i, texts[i][:300]) for i in range(20)], "item_id int, question string")
+    before = shuffled(spark)
+    found = postings.PostingIndex.build(chunks.coalesce(2), f"file://{tmp_path}/p").search(asked, 3)
+    assert {(r["item_id"], r["chunk_id"]) for r in found.rows.where("rank = 1").collect()} == {(i, f"c{i}") for i in range(20)}
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) + shuffled(spark) - before < sum(map(len, texts))
