@@ -49,13 +49,20 @@ def _ranges(characters: list[str], gap: int = 16) -> str:
 
 
 _FOLDABLE = _ranges([c for c in FOLDED if c != "ß"])
+#: Those that fold to one character, and those that fold to more.
+_ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+_MORE = {c: f for c, f in FOLDED.items() if len(f) > 1 and c != "ß"}
+_AROUND = "(?={0})|(?<={0})".format(_ranges(list(_MORE)))
 
 
 def fold(text: Column) -> Column:
-    """Full case folding; character by character only where a text holds one of FOLDED beside the common sharp s."""
+    """Full case folding; by tables only where a text holds one of FOLDED beside the common sharp s.
+
+    A text is cut at the characters that fold to more than one, so that the table is searched for these pieces alone."""
     text = F.replace(text, F.lit("ß"), F.lit("ss"))
-    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
-    special = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    table = F.create_map(*[F.lit(x) for pair in _MORE.items() for x in pair])
+    parts = F.split(F.translate(text, "".join(_ONE), "".join(_ONE.values())), _AROUND)
+    special = F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.lower(F.when(text.rlike(_FOLDABLE), special).otherwise(text))
 
 

@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a small file dealt over all cores, for work that is long a row: a row group is read by one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def documents(spark: SparkSession, d: str, ids: list[int] | None = None) -> DataFrame:
     """The documents, or the given ones: the filter is on the stored column, so the scan skips row groups."""
     rows = table(spark, d, "documents")

@@ -68,3 +68,17 @@ def test_sentences(spark):
 def test_citation_numbers(spark):
     got = column(spark, lambda c: X.citation_numbers(c, F.lit(3)), ["[1] [4] [0] [3][3] [x]", ""])
     assert got == [[1, 3, 3], []]
+
+
+def test_folding_of_every_character_that_tables_fold(spark):
+    texts = ["".join(X.FOLDED), "aﬁb", "ﬁﬀ", "ẞßſΣς", "Straﬄe ꭰᏸ ŉx", "plain", ""] + [f"x{c}Y" for c in X.FOLDED]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.fold(F.col("t")).alias("f")).collect()
+    assert {r["t"]: r["f"] for r in rows} == {t: "".join(X.FOLDED.get(c, c) for c in t).lower() for t in texts}
+
+
+def test_cleanup_of_one_row_group_is_dealt_over_tasks(spark, tmp_path):
+    from marginalia.plans import registry
+
+    spark.range(2000).selectExpr("id as p_partkey", "concat('name ', id) as p_name").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    found = registry.queries()["text_cleanup"](spark, f"file://{tmp_path}")
+    assert found.count() == 2000 and found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
