@@ -137,12 +137,12 @@ class Store:
             self._finish(name)
 
     def _finish(self, name: str) -> None:
-        """Move what is complete beside the table into it, and drop what is not."""
+        """Move what is complete beside the table into it, and drop what is not; a large bucket is written by several tasks."""
         for one in self._listed(f"{self.root}/{name}/{PENDING}"):
             path = f"{self.root}/{name}/{PENDING}/{one}"
             if self._fs.exists(self._path(f"{path}/_SUCCESS")):
                 whole = self.spark.read.parquet(path)
-                whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+                whole.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
             self._delete(path)
 
     def recover(self, name: str) -> None:
