@@ -80,7 +80,7 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
 def experiments(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
     parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")  # the sets below drop repeats
     lists = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
         *[F.array_sort(F.collect_set(c)).alias(name) for c, name in (("p_name", "datasets"), ("p_brand", "metrics"), ("p_type", "baselines"))],
         F.transform(F.array_sort(F.collect_set("p_partkey")), lambda x: x.cast("string")).alias("keys"),

@@ -62,3 +62,21 @@ def test_plan_runs_do_not_send_a_text_for_each_request(spark):
     assert told.count() == 2000 and shuffled(spark) - before < 2_000_000
     steps = agents.plan_runs(asked.limit(1), chunks).trace.where("tool_name = 'knowledge_search_tool'").first()
     assert steps["observation"] == "8 passages found in 2 papers."
+
+
+def test_a_substring_index_shuffles_lists_and_not_pieces(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import substrings
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=100)) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    before = shuffled(spark)
+    index = substrings.SubstringIndex.build(rows, F.array("text"), f"file://{tmp_path}/s")
+    assert shuffled(spark) - before < sum(map(len, texts)) * 3 // 2  # places as integers; pieces alone would be more than twice the text
+    needle = texts[7][:20]
+    assert sorted(r["id"] for r in index.candidates(substrings.pieces_of(needle)).where(F.contains("text", F.lit(needle))).collect()) == [i for i, t in enumerate(texts) if needle in t]
