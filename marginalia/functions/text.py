@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.vectors import bound
+
 CHUNK_CHARS = 900
 SNIPPET_CHARS = 180
 UNKNOWN = "unknown"
@@ -49,12 +51,19 @@ def _ranges(characters: list[str], gap: int = 16) -> str:
 
 
 _FOLDABLE = _ranges([c for c in FOLDED if c != "ß"])
+#: Beyond Latin-1, or the micro sign, its one foldable character beside sharp s: a test of two ranges, where _FOLDABLE has many.
+_BEYOND = "[^\\x00-\\xb4\\xb6-\\xff]"
 #: Those that fold to one character, and those that fold to more.
 _ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
 _MORE = {c: f for c, f in FOLDED.items() if len(f) > 1 and c != "ß"}
 _AROUND = "(?={0})|(?<={0})".format(_ranges(list(_MORE)))
 
 
+def _wide(text: Column) -> Column:
+    """Any character beyond ASCII: no pattern has to be matched to know it."""
+    return F.octet_length(text) != F.char_length(text)
+
+
 def fold(text: Column) -> Column:
     """Full case folding; by tables only where a text holds one of FOLDED beside the common sharp s.
 
@@ -63,15 +72,18 @@ def fold(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in _MORE.items() for x in pair])
     parts = F.split(F.translate(text, "".join(_ONE), "".join(_ONE.values())), _AROUND)
     special = F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.lower(F.when(text.rlike(_FOLDABLE), special).otherwise(text))
+    return F.lower(F.when(_wide(text) & text.rlike(_BEYOND) & text.rlike(_FOLDABLE), special).otherwise(text))
 
 
 def tokens(text: Column) -> Column:
     """Distinct folded runs of [a-z0-9_], two characters or more, and bigrams of all CJK characters."""
-    folded = F.coalesce(fold(text), F.lit(""))
-    latin = F.regexp_extract_all(folded, F.lit("[a-z0-9_]{2,}"), 0)
-    cjk = F.regexp_replace(folded, "[^㐀-鿿]+", "")
-    return F.array_distinct(F.concat(latin, F.regexp_extract_all(cjk, F.lit("(?=(..))"), 1)))
+
+    def cut(folded: Column) -> Column:
+        latin = F.regexp_extract_all(folded, F.lit("[a-z0-9_]{2,}"), 0)
+        cjk = F.regexp_extract_all(F.regexp_replace(folded, "[^㐀-鿿]+", ""), F.lit("(?=(..))"), 1)
+        return F.array_distinct(F.when(_wide(folded), F.concat(latin, cjk)).otherwise(latin))
+
+    return bound(F.coalesce(fold(text), F.lit("")), cut)  # folded once
 
 
 def token_cosine(shared: Column, n_query: Column, n_text: Column) -> Column:

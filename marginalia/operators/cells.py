@@ -39,6 +39,8 @@ from marginalia.operators.retrieval import filtered
 #: Most cells; rows that centroids are fitted on (smallest hashes of seq); rows of a slice; questions of a block.
 CELLS, SAMPLE, SLICE_ROWS, BLOCK = 4096, 100_000, 16_384, 1024
 LEVELS = 127
+#: Entries of a table of rows by centroids: it stays in the processor's cache.
+NEAREST_CELLS = 131_072
 FOUND = "_found"
 SLACK = 1e-9
 
@@ -54,6 +56,17 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (a * a).sum(1)[:, None] - 2.0 * (a @ b.T) + (b * b).sum(1)[None, :])
 
 
+def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, by tables of NEAREST_CELLS entries (or one row) at most."""
+    half, out = (centroids * centroids).sum(1) / 2, np.empty(len(points), np.int64)
+    step = max(1, NEAREST_CELLS // len(centroids))
+    for lo in range(0, len(points), step):
+        inner = points[lo : lo + step] @ centroids.T
+        inner -= half
+        out[lo : lo + step] = inner.argmax(axis=1)
+    return out
+
+
 @dataclass
 class CellIndex:
     """An open collection: its folder, centroids, and rows and radius of each cell."""
@@ -63,23 +76,33 @@ class CellIndex:
     centroids: np.ndarray
     rows: np.ndarray
     radius: np.ndarray
+    _listed: DataFrame | None = None
 
     @staticmethod
     def build(vectors: DataFrame, path: str, cells: int | None = None) -> CellIndex:
-        """Fit, assign and write ``vectors`` (seq, embedding and any columns to be returned or filtered by) to a new folder."""
+        """Fit, assign and write ``vectors`` (seq, embedding and any columns to be returned or filtered by) to a new folder.
+
+        They are evaluated once, into a copy that is deleted at the end; so is the sample, which is dealt over all cores."""
         spark, path = vectors.sparkSession, path.rstrip("/")
+        given, sampled = f"{path}/_given", f"{path}/_sample"
+        vectors.write.parquet(given)
+        vectors = spark.read.schema(vectors.schema).parquet(given)
         n, dim, least = vectors.agg(F.count("*"), F.max(F.size("embedding")), F.min(F.coalesce(F.size("embedding"), F.lit(-1)))).first()
         if n and dim != least:
             raise EngineError("vectors of a collection have one length", 409)
         wanted = max(1, min(CELLS, cells or round(n**0.5)))
         centroids = np.zeros((1, dim or 1))
         if n and wanted > 1:
-            sample = vectors.orderBy(F.xxhash64("seq")).limit(SAMPLE).select(array_to_vector("embedding").alias("features"))
+            drawn = vectors.select("seq", "embedding").orderBy(F.xxhash64("seq")).limit(SAMPLE)
+            drawn.repartition(spark.sparkContext.defaultParallelism, "seq").write.parquet(sampled)
+            sample = spark.read.schema(drawn.schema).parquet(sampled).select(array_to_vector("embedding").alias("features"))
             centroids = np.array(KMeans(k=wanted, seed=1, maxIter=8).fit(sample).clusterCenters())
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
         index = CellIndex(spark, path, centroids, np.zeros(len(centroids), np.int64), np.zeros(len(centroids)))
         spark.createDataFrame([], index._stored(vectors)).coalesce(1).write.parquet(f"{path}/columns")
         index.add(vectors)
+        for folder in (given, sampled):
+            index._delete(folder)
         return index
 
     @staticmethod
@@ -91,6 +114,7 @@ class CellIndex:
         return index
 
     def _count(self) -> None:
+        self._listed = None
         for r in self.spark.read.parquet(f"{self.path}/sizes").groupBy("cell").agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius")).collect():  # CELLS at most
             self.rows[r["cell"]], self.radius[r["cell"]] = r["rows"], r["radius"]
 
@@ -99,10 +123,13 @@ class CellIndex:
         more = [("cell", T.IntegerType()), ("code", T.BinaryType()), ("scale", T.DoubleType()), ("away", T.DoubleType())]
         return T.StructType([*vectors.schema.fields, *[T.StructField(*x) for x in more]])
 
+    def _delete(self, path: str) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     def clear(self) -> None:
         """Delete what searches have written; their results can no longer be read."""
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{FOUND}")
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self._delete(f"{self.path}/{FOUND}")
 
     def add(self, vectors: DataFrame) -> None:
         """Append rows to their cells; the centroids stay."""
@@ -114,7 +141,7 @@ class CellIndex:
                 for lo in range(0, batch.num_rows, 4096):
                     part = batch.slice(lo, 4096)
                     points = _matrix(part.column(at), dim)
-                    cell = _squares(points, centroids).argmin(axis=1)
+                    cell = _nearest(points, centroids)
                     rest = points - centroids[cell]
                     scale = np.abs(rest).max(axis=1)
                     code = np.rint(rest * (LEVELS / np.where(scale == 0, 1.0, scale))[:, None]).astype(np.int8)
@@ -133,8 +160,9 @@ class CellIndex:
 
     def vectors(self, cells: list[int] | None = None) -> DataFrame:
         """The rows, or those of some cells: other cells' files are not read."""
-        stored = self.spark.read.schema(self.spark.read.parquet(f"{self.path}/columns").schema).parquet(f"{self.path}/vectors")
-        return stored if cells is None else stored.where(F.col("cell").isin(*cells))
+        if self._listed is None:  # the cells' folders are listed once, not a search
+            self._listed = self.spark.read.schema(self.spark.read.parquet(f"{self.path}/columns").schema).parquet(f"{self.path}/vectors")
+        return self._listed if cells is None else self._listed.where(F.col("cell").isin(*cells))
 
 
 def _routes(index: CellIndex, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

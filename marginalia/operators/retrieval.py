@@ -91,7 +91,7 @@ def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key:
     that repeat a key are one question each where their tokens differ; null groups meet nothing."""
     of = F.col(group).cast("string") if group else F.lit("")
     asked = questions.select(key, of.alias("_group"), X.tokens(F.col("question")).alias("asked")).distinct()
-    own = chunks.select("chunk_id", F.col("page").cast("int").alias("page"), of.alias("_group"), X.tokens(F.col("text")).alias("own"))
+    own = chunks.select("chunk_id", F.col("page").cast("int").alias("page"), of.alias("_group"), F.array_join(X.tokens(F.col("text")), " ").alias("own"))
     first = F.row_number().over(Window.partitionBy("_group").orderBy("page", F.desc("chunk_id")))
     zeros = chunks.select(of.alias("_group"), "chunk_id", F.col("page").cast("int").alias("page")).withColumn("first", first).where(F.col("first") <= 2 * k)
     total = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
@@ -102,7 +102,7 @@ def lexical_topk_many(chunks: DataFrame, questions: DataFrame, k: int = 5, key:
         part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(key, "asked"), F.lit(passes)) == number)
         rows = part.toArrow()  # at most about PASS_TOKENS tokens
         spark = chunks.sparkSession
-        best = own.mapInArrow(_scored(spark.sparkContext.broadcast(rows), k), "place int, chunk_id string, page int, score double")
+        best = own.mapInArrow(_cut(_scored(spark.sparkContext.broadcast(rows), k)), "place int, chunk_id string, page int, score double")
         by_place = Window.partitionBy("place")
         best = best.withColumn("rank", F.row_number().over(by_place.orderBy(*_lexical_order())).cast("long")).where(F.col("rank") <= k)
         keys = spark.createDataFrame([(i, v, g) for i, (v, g) in enumerate(zip(rows.column(key).to_pylist(), rows.column("_group").to_pylist(), strict=True))], f"place int, {key} {kind}, _group string")
@@ -199,6 +199,18 @@ def slices(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _cut(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of batches whose last column lists tokens, sent as one string a row (no token holds a space); rows without any share none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column(batch.num_columns - 1), ""))
+            lists = pc.split_pattern(batch.column(batch.num_columns - 1), " ")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
+
+    return lambda batches: run(cut(batches))
+
+
 def _scored(shared, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's best k chunks of every question, of those that share a token."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
 _own: list[str] = []
@@ -21,3 +21,10 @@ def folder(spark: SparkSession, name: str) -> str:
             _own.append(f"file://{tempfile.mkdtemp(prefix='marginalia-')}")
         shared = _own[0]
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, evaluated once: written to a new folder and read back, so that a reader of few columns reads these alone."""
+    path = folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -106,3 +106,21 @@ def test_recall_on_the_given_vectors(spark, tmp_path):
     near = listed(cells.search(index, asked, 5, probes=len(index.centroids) * 3 // 5, exact=False))
     assert sum(len(set(near[k]) & set(want[k])) for k in want) >= 0.9 * 5 * len(want)
     assert listed(cells.search(index, asked, 5)) == want
+
+
+def test_a_build_evaluates_its_rows_once(spark, tmp_path):
+    """Rows may be costly to make (texts cut and embedded): statistics, the sample and the fit read a copy."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    points = np.random.default_rng(8).normal(size=(300, 4))
+    index = cells.CellIndex.build(spark.createDataFrame(rows(points), KINDS).mapInArrow(counted, KINDS), f"file://{tmp_path}/a")
+    assert made.value == 300 == index.rows.sum() == index.vectors().count()
+    assert not (tmp_path / "a" / "_given").exists() and not (tmp_path / "a" / "_sample").exists()
+    assert index.vectors() is index.vectors()  # listed once
+    near = ((points[:, None, :] - index.centroids[None]) ** 2).sum(2).argmin(1)
+    assert {r["seq"]: r["cell"] for r in index.vectors().collect()} == dict(enumerate(near.tolist()))
