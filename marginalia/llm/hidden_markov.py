@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ ROUNDS = 3
 GROUP_TOKENS = 400_000
 #: Text of a block of sequences, which a task holds at once.
 BLOCK_BYTES = 8 << 20
+#: Steps between two scalings of a recursion, and rows whose emissions are looked up at once (they stay in the cache).
+SCALED, RUN_ROWS = 8, 16_384
 SMOOTH_MOVE, SMOOTH_EMIT = 1.0, 0.05
 END = 0
 _U = np.uint64
@@ -223,6 +225,12 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
+    @cached_property
+    def relative(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each symbol's largest emission, and its emissions as shares of that."""
+        top = self.emit.max(axis=1)
+        return top, self.emit / top[:, None]
+
     @classmethod
     def initial(cls, vocabulary: Vocabulary, states: int = STATES) -> Hmm:
         """Unigram emissions, tilted by a fixed pseudo-random factor for each state and symbol; states mostly stay."""
@@ -252,47 +260,76 @@ class Group:
         self.begin = np.concatenate(([0], np.cumsum(self.active)))
         flat = np.concatenate([texts[i] for i in self.order]).astype(np.int64)
         step = tk.ragged_gather(np.zeros(len(ordered), np.int64), ordered)
-        self.symbols = np.empty(len(flat), np.int64)
-        self.symbols[self.begin[step] + np.repeat(np.arange(len(ordered)), ordered)] = flat
-
-    def forward(self, model: Hmm, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Natural log likelihood of each sequence, in the given order; with ``keep``, the scaled alphas and scales."""
-        n, k = self.active[0], len(model.start)
-        loglik = np.zeros(n)
-        alphas = np.empty((len(self.symbols), k)) if keep else None
-        scales = np.empty(len(self.symbols)) if keep else None
-        alpha = None
-        for t in range(self.steps):
-            lo, m = self.begin[t], self.active[t]
-            seen = model.emit[self.symbols[lo : lo + m]]
-            alpha = seen * model.start if t == 0 else (alpha[:m] @ model.move) * seen
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            loglik[:m] += np.log(scale)
+        sequence = np.repeat(np.arange(len(ordered)), ordered)
+        place = self.begin[step] + sequence
+        self.symbols, self.sequence = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+        self.symbols[place], self.sequence[place] = flat, sequence
+        #: The first row of each step that is scaled: all of every SCALED-th step, else those whose sequences end.
+        self.first = np.append(self.active[1:], 0)
+        self.first[SCALED - 1 :: SCALED] = 0
+
+    def _runs(self) -> Iterator[tuple[int, int]]:
+        """Runs of steps of RUN_ROWS rows (or one step), whose emissions are looked up at once."""
+        lo = 0
+        while lo < self.steps:
+            hi = max(lo + 1, int(np.searchsorted(self.begin, self.begin[lo] + RUN_ROWS, side="right")) - 1)
+            yield lo, hi
+            lo = hi
+
+    def forward(self, model: Hmm, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """Natural log likelihood of each sequence, in the given order; with ``keep``, the alphas; and the scales.
+
+        Emissions are shares of their symbol's largest, so that every SCALED-th step only is scaled to a sum of one;
+        the rows of a sequence's last step are, too.  Scales of the others are one."""
+        top, share = model.relative
+        begin, active, first = self.begin.tolist(), self.active.tolist(), self.first.tolist()
+        alphas = np.empty((len(self.symbols), len(model.start))) if keep else None
+        scales, ones, moved = np.ones(len(self.symbols)), np.ones(len(model.start)), np.empty((active[0], len(model.start)))
+        last = None
+        for lo, hi in self._runs():
+            run = share.take(self.symbols[begin[lo] : begin[hi]], axis=0)
+            for t in range(lo, hi):
+                m, after = active[t], first[t]
+                alpha = run[begin[t] - begin[lo] : begin[t + 1] - begin[lo]]
+                alpha *= model.start if t == 0 else np.dot(last[:m], model.move, out=moved[:m])
+                if after < m:
+                    scale = np.dot(alpha[after:], ones, out=scales[begin[t] + after : begin[t + 1]])
+                    alpha[after:] /= scale[:, None]
+                last = alpha
             if keep:
-                alphas[lo : lo + m], scales[lo : lo + m] = alpha, scale
-        out = np.empty(n)
-        out[self.order] = loglik
+                alphas[begin[lo] : begin[hi]] = run
+        logs = np.log(scales)
+        logs += np.log(top)[self.symbols]
+        out = np.empty(active[0])
+        out[self.order] = np.bincount(self.sequence, weights=logs, minlength=len(out))
         return out, alphas, scales
 
     def expected(self, model: Hmm) -> np.ndarray:
         """Expected counts: a row of states for the start, each state's moves, and each symbol."""
         _, alphas, scales = self.forward(model, keep=True)
-        k = len(model.start)
-        moves = np.zeros((k, k))
-        beta = np.ones((self.active[-1], k))
-        for t in range(self.steps - 1, -1, -1):
-            lo, m = self.begin[t], self.active[t]
-            if t + 1 < self.steps:
-                after, m2 = self.begin[t + 1], self.active[t + 1]
-                ahead = model.emit[self.symbols[after : after + m2]] * beta / scales[after : after + m2, None]
-                moves += alphas[lo : lo + m2].T @ ahead
-                alphas[after : after + m2] *= beta
-                beta = np.ones((m, k))
-                beta[:m2] = ahead @ model.move.T
-        alphas[: self.active[0]] *= beta
+        begin, active, first = self.begin.tolist(), self.active.tolist(), self.first.tolist()
+        share, k, back = model.relative[1], len(model.start), np.ascontiguousarray(model.move.T)
+        moves, carried = np.zeros((k, k)), None
+        for lo, hi in reversed(list(self._runs())):
+            run = share.take(self.symbols[begin[lo] : begin[hi]], axis=0)
+            betas = np.ones_like(run)
+            if carried is not None:
+                betas[begin[hi - 1] - begin[lo] :][: len(carried)] = carried
+            for t in range(hi - 1, lo - 1, -1):
+                if t:
+                    m, after, at = active[t], first[t], begin[t] - begin[lo]
+                    ahead = run[at : at + m]
+                    ahead *= betas[at : at + m]
+                    if after < m:
+                        ahead[after:] /= scales[begin[t] + after : begin[t + 1], None]
+                    moves += np.dot(alphas[begin[t - 1] : begin[t - 1] + m].T, ahead)
+                    if t > lo:
+                        np.dot(ahead, back, out=betas[begin[t - 1] - begin[lo] :][:m])
+                    else:
+                        carried = np.dot(ahead, back)
+            alphas[begin[lo] : begin[hi]] *= betas
         emit = np.stack([np.bincount(self.symbols, weights=alphas[:, s], minlength=len(model.emit)) for s in range(k)], axis=1)
-        return np.concatenate((alphas[: self.active[0]].sum(axis=0)[None], moves * model.move, emit))
+        return np.concatenate((alphas[: active[0]].sum(axis=0)[None], moves * model.move, emit))
 
 
 COUNTS = "own boolean, key long, kind int, n double, shares long"

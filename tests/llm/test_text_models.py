@@ -215,6 +215,37 @@ def test_forward_is_the_sum_over_all_paths():
     assert after > before
 
 
+def test_recursions_are_scaled_now_and_then(monkeypatch):
+    """Against forward and backward scaled at every step; emissions so small that unscaled products would vanish."""
+    monkeypatch.setattr(hidden_markov, "RUN_ROWS", 24)
+    rng = np.random.default_rng(11)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    emit = norm(rng.random((6, 3)), 0) * np.array([1, 1e-60, 1e-9, 1, 1e-200, 1])[:, None]
+    model = hidden_markov.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)) ** 9, 1), emit)
+    texts = [rng.integers(0, 6, n) for n in (5, 37, 1, 20, 37, 8)]
+    want, logs = np.zeros((10, 3)), []
+    for text in texts:
+        alphas, scales = [], []
+        for x in text:
+            alpha = emit[x] * (model.start if not alphas else alphas[-1] @ model.move)
+            scales.append(alpha.sum())
+            alphas.append(alpha / scales[-1])
+        logs.append(np.log(scales).sum())
+        beta = np.ones(3)
+        for t in range(len(text) - 1, -1, -1):
+            want[4 + text[t]] += alphas[t] * beta
+            if t == 0:
+                want[0] += alphas[0] * beta
+                break
+            ahead = emit[text[t]] * beta / scales[t]
+            want[1:4] += np.outer(alphas[t - 1], ahead) * model.move
+            beta = model.move @ ahead
+    group = hidden_markov.Group(texts)
+    found, _, scales = group.forward(model)
+    assert np.allclose(found, logs, rtol=1e-12) and np.allclose(group.expected(model), want)
+    assert (scales == 1).sum() > len(scales) / 2  # most steps are left unscaled
+
+
 def test_language_model(spark, texts):
     rng = random.Random(10)
     follow = {"a": "aaab", "b": "bbbc", "c": "cccd", "d": "ddda"}
