@@ -51,6 +51,31 @@ def test_chunks_encode_like_whole_texts(library, texts, name):
     assert found == [encode(library[name], t) for t in [*texts, *more]]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_sent_together_and_encode_like_whole_texts(library, name):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    pieces = ["the", "The", "TH", "é", "É", "Ünd", "ß", "ÿ", "×", "÷", "H\u0331", "J\u030c", "e\u0301", "İ", "Σ", "ª", "K\u212a", "\u00ad", "日本", "'S", "'ll", "7", "__", "#", "$$", "%", "&&&", "*", "<|", "|>", "<|ENDOFTEXT|>", "<|endoftext|>", "</w>", "Ġ", *"  \n\n.,!", "\u00a0", "\x1c", "\x7f"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 30))) for _ in range(2000)] + ["x" * n for n in (1023, 1024, 1025)] + [" " + "X" * 1024, "É" * 2000]
+    texts += [" ".join("".join(rng.choice(["an", "Ér", "th", "óu", "STE"], 6)) for _ in range(400)) for _ in range(5)]
+    encoder, sent, found = encoding.ChunkEncoder(public_tokenizers.path(name)), [], []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library[name].encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Library()
+    for part in tk.slices(pa.array(texts), limit=20_000):
+        if part.lo >= len(texts) - 5:
+            sent.clear()
+        ids, lengths = encoder.encode(part)
+        found += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert found == [encode(library[name], t) for t in texts]
+    assert len(sent) <= 5  # some 2,000 distinct words were new; at most the first of a text goes alone
+
+
 def test_files_round_trip(spark, documents, library):
     path = public_tokenizers.path("byte_bpe_50k.json")
     blocks, lengths = huffman_files.encode_corpus(documents, path, end_id=0, block_tokens=64)
